@@ -174,8 +174,12 @@ def salted_join(
     ).select(*on, F.lit(salts).alias("__salts"))
     hot = broadcast_if_small(hot)
     row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    # Rows with a null key match nothing; salting them keeps them out of one task.
+    no_key = F.lit(False)
+    for k in on:
+        no_key = no_key | F.col(k).isNull()
     salted = left.join(hot, list(on), "left").withColumn(
-        "__salt", F.when(F.col("__salts").isNotNull(), row_salt).otherwise(F.lit(0))
+        "__salt", F.when(F.col("__salts").isNotNull() | no_key, row_salt).otherwise(F.lit(0))
     )
     copies = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
     spread = right.join(hot, list(on), "left").withColumn("__salt", F.explode(copies).cast("long"))

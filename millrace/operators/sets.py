@@ -57,18 +57,20 @@ def sql_chain(df: DataFrame, steps: Sequence[tuple[str, str]], extra: Mapping[st
     steps = [(n, q) for n, q in steps if q and q.strip()]
     if not steps:
         return df
-    views = {"input": df, **(extra or {})}
-    ctes = []
-    for name, frame in views.items():
-        view = f"chain_{uuid.uuid4().hex}"
-        frame.createOrReplaceTempView(view)
-        ctes.append(f"{name} AS (SELECT * FROM {view})")
+    relations = {"input": df, **(extra or {})}
+    views, ctes = [], []
+    for name, frame in relations.items():
+        views.append(f"chain_{uuid.uuid4().hex}")
+        frame.createOrReplaceTempView(views[-1])
+        ctes.append(f"{name} AS (SELECT * FROM {views[-1]})")
     last = "input"
     for name, query in steps:
         last = re.sub(r"\W+", "_", name).lower()
         body = query.strip().rstrip(";")
         ctes.append(f"{last} AS ({body})")
     out = df.sparkSession.sql(f"WITH {', '.join(ctes)} SELECT * FROM {last}")
+    for view in views:  # the analysed plan no longer needs the names
+        df.sparkSession.catalog.dropTempView(view)
     lowered = [c.lower() for c in out.columns]
     need(len(set(lowered)) == len(lowered), "DUPLICATE_OUTPUT", f"output names repeat: {out.columns}")
     unnamed = [c for c in out.columns if "(" in c]
