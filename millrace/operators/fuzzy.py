@@ -62,7 +62,7 @@ def connected_groups(pairs: DataFrame, scope: Sequence[str] = (), max_rounds: in
     scope = list(scope)
     both = pairs.select(*scope, F.col("left_name").alias("a"), F.col("right_name").alias("b"))
     edges = cut_lineage(both.unionByName(both.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy(*scope, F.col("a").alias("name")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    labels = edges.groupBy(*scope, F.col("a").alias("name")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
     labels = cut_lineage(labels)
     for _ in range(max_rounds):
         seen = labels.select(*scope, F.col("name").alias("b"), F.col("label").alias("other"))
