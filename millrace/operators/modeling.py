@@ -15,7 +15,7 @@ from ..functions.keys import row_hash, surrogate_key
 from ..session import cut_lineage
 from .columns import Split
 from .joins import join_temporal, with_unknown_member
-from .windows import dedupe, lag_lead
+from .windows import dedupe, lag_lead, running
 
 
 def reject_duplicates(df: DataFrame, keys: Sequence[str]) -> Split:
@@ -159,19 +159,23 @@ def publish_reference_validity(
     Rows that only start in the future are published.
     """
     need_columns(incoming, [*key, start, end])
+    # A row clashes with an earlier one that is still open (largest end so far), or the next one.
+    forever = F.lit("9999-12-31").cast("date")
+    year = F.trunc(F.col(start).cast("date"), "year")
+    ends = incoming.withColumn("__end", F.coalesce(F.col(end).cast("date"), forever))
+    ordered = [start, "__end"]
+    reached = running(ends, key, ordered, {"__reach": ("max", F.col("__end"))}, slice_by=year)
     ahead = lag_lead(
-        incoming, key, [start], {"__prev_end": (end, 1), "__prev": (start, 1)}, {"__next_start": (start, 1)},
-        slice_by=F.trunc(F.col(start).cast("date"), "year"),
+        reached, key, ordered, {"__before": ("__reach", 1)}, {"__next_start": (start, 1)}, slice_by=year
     )
-    forever = F.lit("9999-12-31").cast("date")
-    clash = (F.col("__prev").isNotNull() & (F.coalesce("__prev_end", forever) >= F.col(start))) | (
-        F.col("__next_start").isNotNull() & (F.coalesce(F.col(end), forever) >= F.col("__next_start"))
+    clash = F.coalesce(F.col("__before") >= F.col(start), F.lit(False)) | F.coalesce(
+        F.col("__end") >= F.col("__next_start"), F.lit(False)
     )
     known = published.select(*key, F.lit(True).alias("__known")).distinct()
     tagged = ahead.join(known, list(key), "left").withColumn(
         reason,
         F.when(clash, F.lit("overlapping-validity")).when(F.col("__known"), F.lit("duplicate-key")),
-    ).drop("__prev", "__prev_end", "__next_start", "__known")
+    ).drop("__end", "__reach", "__before", "__next_start", "__known")
     good = tagged.filter(F.col(reason).isNull()).drop(reason)
     return Split(published.unionByName(good.select(*published.columns)), tagged.filter(F.col(reason).isNotNull()))
 

@@ -217,32 +217,46 @@ def lag_lead(
     return rows if slice_by is None else _finish(rows)
 
 
-def running_total(
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: Mapping[str, Column],
+    aggregates: Mapping[str, tuple[str, Column]],
     *,
     slice_by: Column | None = None,
 ) -> DataFrame:
-    """Sum from the start of the key up to the current row, row by row."""
+    """``{name: (sum|min|max, value)}`` from the start of the key up to the current row, row by row."""
     need_columns(df, [*keys, *[order_name(o) for o in order]])
+    for fn, _ in aggregates.values():
+        need(fn in ("sum", "min", "max"), "INVALID_FUNCTION", fn)
+    fns = [getattr(F, fn) for fn, _ in aggregates.values()]
     if slice_by is None:
         w = Window.partitionBy(*keys).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    values = {f"__v{i}": c for i, c in enumerate(sums.values())}
+        return df.withColumns({n: f(c).over(w) for f, (n, (_, c)) in zip(fns, aggregates.items(), strict=True)})
+    values = {f"__v{i}": c for i, (_, c) in enumerate(aggregates.values())}
     base = df.withColumns({SLICE: slice_by, **values, MAIN: F.lit(True)})
-    totals = base.groupBy(*keys, SLICE).agg(*[F.sum(v).alias(v) for v in values])
+    totals = base.groupBy(*keys, SLICE).agg(*[f(v).alias(v) for f, v in zip(fns, values, strict=True)])
     earlier = _per_key(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumns({v: F.sum(v).over(earlier) for v in values}).withColumn(MAIN, F.lit(False))
-    rows = base.unionByName(carry, allowMissingColumns=True)
+    carry = totals.withColumns({v: f(v).over(earlier) for f, v in zip(fns, values, strict=True)})
+    rows = base.unionByName(carry.withColumn(MAIN, F.lit(False)), allowMissingColumns=True)
     w = (
         Window.partitionBy(*keys, SLICE)
         .orderBy(F.col(MAIN), *order_columns(order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    summed = rows.withColumns({n: F.sum(v).over(w) for n, v in zip(sums, values, strict=True)})
-    return _finish(summed).drop(*values)
+    made = {n: f(v).over(w) for f, n, v in zip(fns, aggregates, values, strict=True)}
+    return _finish(rows.withColumns(made)).drop(*values)
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, Column],
+    *,
+    slice_by: Column | None = None,
+) -> DataFrame:
+    return running(df, keys, order, {n: ("sum", c) for n, c in sums.items()}, slice_by=slice_by)
 
 
 def rank_family(
