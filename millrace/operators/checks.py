@@ -284,17 +284,14 @@ def anomaly_mean_deviation(
 
 
 def _against_trailing(per_run: DataFrame, value: str, runs: int) -> DataFrame:
-    """Mean of the ``runs`` values before each run, as a self-join on the run number.
-
-    One row per run; the run number is a day count, so no window over the whole table is needed.
-    """
-    number = F.datediff(F.col("run").cast("date"), F.lit("1970-01-01").cast("date"))
-    numbered = per_run.withColumn("__day", number)
-    spread = numbered.select(
-        F.explode(F.sequence(F.col("__day") + 1, F.col("__day") + runs)).alias("__day"), F.col(value).alias("__earlier")
-    )
-    means = spread.groupBy("__day").agg(F.avg("__earlier").alias("baseline"), F.count(F.lit(1)).alias("baseline_runs"))
-    return numbered.join(means, "__day", "left").drop("__day")
+    """Mean of the ``runs`` runs before each run. The runs are cut by month, never one window."""
+    from .windows import SLICE, _finish, with_halo
+
+    keyed = per_run.withColumn("__table", F.lit(1))
+    month = F.trunc(F.col("run").cast("date"), "month")
+    rows = with_halo(keyed, ["__table"], ["run"], month, before=runs)
+    w = Window.partitionBy("__table", SLICE).orderBy("run").rowsBetween(-runs, -1)
+    return _finish(rows.withColumn("baseline", F.avg(value).over(w))).drop("__table")
 
 
 # -- volume, duplicates, references, reconciliation ---------------------------
