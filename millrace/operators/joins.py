@@ -181,8 +181,8 @@ def salted_join(
     salted = left.join(hot, list(on), "left").withColumn(
         "__salt", F.when(F.col("__salts").isNotNull() | no_key, row_salt).otherwise(F.lit(0))
     )
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
-    spread = right.join(hot, list(on), "left").withColumn("__salt", F.explode(copies).cast("long"))
+    copies = F.sequence(F.lit(0).cast("long"), (F.coalesce("__salts", F.lit(1)) - 1).cast("long"))
+    spread = right.join(hot, list(on), "left").withColumn("__salt", F.explode(copies))
     return salted.drop("__salts").join(spread.drop("__salts"), [*on, "__salt"], how).drop("__salt")
 
 

@@ -1 +1 @@
-
+"""All registered queries."""
