@@ -296,10 +296,15 @@ def _cross_source(df: DataFrame, rule: Rule) -> DataFrame:
     there = rule["other"]
     cols = here.columns
     tagged = here.withColumn("__s", F.lit(1)).unionByName(there.select(*cols).withColumn("__s", F.lit(-1)))  # type: ignore[attr-defined]
-    balance = tagged.groupBy(*cols).agg(F.sum("__s").alias("d"), F.count(F.when(F.col("__s") == 1, 1)).alias("n"))
-    agg = balance.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.abs("d")), F.lit(0)).alias("bad"))
+    balance = tagged.groupBy(*cols).agg(
+        F.sum("__s").alias("__gap"), F.count(F.when(F.col("__s") == 1, 1)).alias("__here")
+    )
+    agg = balance.agg(
+        F.coalesce(F.sum("__here"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.abs("__gap")), F.lit(0)).alias("bad")
+    )
+    percent = F.round(100.0 * F.try_divide(F.col("bad"), F.col("total")), 4)
     return agg.select(
-        _result(rule, F.col("n"), F.col("bad"), F.round(100.0 * F.try_divide(F.col("bad"), F.col("n")), 4), F.lit(None), F.col("bad") == 0).alias("r")
+        _result(rule, F.col("total"), F.col("bad"), percent, F.lit(None), F.col("bad") == 0).alias("r")
     ).select("r.*")
 
 

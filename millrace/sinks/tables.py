@@ -213,8 +213,13 @@ def table_ddl(
     return "\n".join(parts)
 
 
-def publish_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def publish_table(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), mode: str = "overwrite", path: str | None = None
+) -> None:
+    """Publish a relation under a name: rows and columns stay as they are."""
     writer = df.write.mode(mode).format("parquet")
+    if path:
+        writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigError, need, need_columns
 from ..functions.sizes import broadcast_if_small
+from ..session import materialise
 
 FORMATS = ("csv", "json", "parquet", "orc", "avro", "text")
 
@@ -51,6 +52,8 @@ def read_tolerant_csv(
     """Typed CSV: rows that do not fit the schema are set aside with their raw text.
 
     A file whose header differs from the schema is rejected as a whole; an empty file is allowed.
+    The text is parsed once and landed as parquet in the shared folder: Spark parses only the CSV
+    columns a query asks for, so whether a row is corrupt must be settled before any projection.
     """
     paths = [path] if isinstance(path, str) else list(path)
     marked = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
@@ -63,7 +66,7 @@ def read_tolerant_csv(
     )
     bad = first_lines(spark, paths).filter(F.trim("first_line") != delimiter.join(schema.names))
     names = broadcast_if_small(bad.select(F.col("file").alias("__file")))
-    usable = rows.join(names, "__file", "left_anti").drop("__file")
+    usable = materialise(rows.join(names, "__file", "left_anti").drop("__file"), "csv")
     return CsvLoad(
         usable.filter(F.col(corrupt).isNull()).drop(corrupt), usable.filter(F.col(corrupt).isNotNull()), bad
     )
