@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, need
 from ..operators.windows import running_total
+from ..session import scratch_path
 from .dates import split_token
 
 FIRST_YEAR, LAST_YEAR = 1900, 2100
@@ -72,13 +73,29 @@ def holidays(spark: SparkSession, calendar_id: str = "US") -> DataFrame:
     return days.filter("holiday IS NOT NULL").distinct()
 
 
+_BUILT: dict[tuple, str] = {}
+
+
 def calendar(
     spark: SparkSession,
     calendar_id: str = "US",
     first_year: int = FIRST_YEAR,
     last_year: int = LAST_YEAR,
 ) -> DataFrame:
-    """Columns ``calendar_date, is_open, open_number`` (open days up to and including the date)."""
+    """Columns ``calendar_date, is_open, open_number`` (open days up to and including the date).
+
+    Written to the shared folder on first use: a calendar is joined several times in one query.
+    """
+    ident = (spark.sparkContext.applicationId, calendar_id, first_year, last_year)
+    if ident not in _BUILT:
+        path = scratch_path(spark, f"calendar-{calendar_id}")
+        build_calendar(spark, calendar_id, first_year, last_year).coalesce(1).write.parquet(path)
+        _BUILT[ident] = path
+    schema = "calendar_id string, calendar_date date, is_open boolean, open_number long"
+    return spark.read.schema(schema).parquet(_BUILT[ident])
+
+
+def build_calendar(spark: SparkSession, calendar_id: str, first_year: int, last_year: int) -> DataFrame:
     days = spark.range(1).select(
         F.explode(
             F.sequence(F.lit(f"{first_year}-01-01").cast("date"), F.lit(f"{last_year}-12-31").cast("date"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -209,8 +210,18 @@ TRUE_WORDS = ("y", "yes", "true", "t", "1")
 FALSE_WORDS = ("n", "no", "false", "f", "0")
 
 
+def layout_shape(layout: str) -> str:
+    """Regular expression of the texts a layout can match."""
+    shape = re.sub(r"[^A-Za-z]", lambda m: re.escape(m.group()), layout)
+    for part, digits in (("yyyy", r"\d{4}"), ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"), ("dd", r"\d{2}")):
+        shape = shape.replace(part, digits)
+    return f"^{shape}$"
+
+
 def parse_date(value: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(p)) for p in layouts]).cast("date")
+    """First layout that fits. A parser runs only on texts of its shape: a failed parse is dear."""
+    tries = [F.when(value.rlike(layout_shape(p)), F.try_to_timestamp(value, F.lit(p))) for p in layouts]
+    return F.coalesce(*tries).cast("date")
 
 
 def parse_boolean(value: Column) -> Column:

@@ -9,8 +9,9 @@ what a slice needs from its neighbours arrives as a few extra rows:
 * row frames, lag and lead: the last (first) n rows of the slices before (after),
 * time frames: the rows of earlier slices that still lie inside the frame.
 
-The per-slice side tables are built by map-side combined aggregates. ``slice_by=None`` runs a
-plain window, for keys known to be small.
+The rows are shuffled once, by (key, slice): side tables are computed on that same exchange (Spark
+reuses it), and the extra rows are placed by the same partitioning, so the union above needs no
+further shuffle. ``slice_by=None`` runs a plain window, for keys known to be small.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def with_halo(
 ) -> DataFrame:
     """Rows with their slice, plus up to ``before``/``after`` neighbour rows marked ``__main = false``."""
     need(bool(order), "MISSING_ORDER", "ordered windows need an order")
-    base = df.withColumn(SLICE, slice_by)
+    base = df.withColumn(SLICE, slice_by).repartition(*keys, SLICE)
     packed = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     out = base.withColumn(MAIN, F.lit(True))
     per_key = _per_key(keys, order)
@@ -163,7 +164,7 @@ def with_halo(
             .select(SLICE, "__item.__row.*")
             .withColumn(MAIN, F.lit(False))
         )
-        out = out.unionByName(halo)
+        out = out.unionByName(halo.repartition(*keys, SLICE))
     return out
 
 
@@ -234,11 +235,12 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: f(c).over(w) for f, (n, (_, c)) in zip(fns, aggregates.items(), strict=True)})
     values = {f"__v{i}": c for i, (_, c) in enumerate(aggregates.values())}
-    base = df.withColumns({SLICE: slice_by, **values, MAIN: F.lit(True)})
+    base = df.withColumns({SLICE: slice_by, **values, MAIN: F.lit(True)}).repartition(*keys, SLICE)
     totals = base.groupBy(*keys, SLICE).agg(*[f(v).alias(v) for f, v in zip(fns, values, strict=True)])
     earlier = _per_key(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumns({v: f(v).over(earlier) for f, v in zip(fns, values, strict=True)})
-    rows = base.unionByName(carry.withColumn(MAIN, F.lit(False)), allowMissingColumns=True)
+    placed = carry.withColumn(MAIN, F.lit(False)).repartition(*keys, SLICE)
+    rows = base.unionByName(placed, allowMissingColumns=True)
     w = (
         Window.partitionBy(*keys, SLICE)
         .orderBy(F.col(MAIN), *order_columns(order))
@@ -280,7 +282,7 @@ def rank_family(
             made[name] = F.ntile(int(bins.group(1))).over(w) if bins else getattr(F, fn)().over(w)
         return df.withColumns(made)
 
-    base = df.withColumns({SLICE: slice_by, MAIN: F.lit(True)})
+    base = df.withColumns({SLICE: slice_by, MAIN: F.lit(True)}).repartition(*keys, SLICE)
     shape = [F.count(F.lit(1)).alias("__n")]
     if "dense_rank" in outputs.values():
         shape.append(F.count_distinct(F.struct(*[F.col(order_name(o)) for o in order])).alias("__d"))
@@ -294,7 +296,7 @@ def rank_family(
     if "dense_rank" in outputs.values():
         carried["__dense"] = F.coalesce(F.sum("__d").over(earlier), F.lit(0))
     carry = sizes.withColumns(carried).drop("__n", "__d").withColumn(MAIN, F.lit(False))
-    rows = base.unionByName(carry, allowMissingColumns=True)
+    rows = base.unionByName(carry.repartition(*keys, SLICE), allowMissingColumns=True)
 
     whole = Window.partitionBy(*keys, SLICE)
     w = whole.orderBy(F.col(MAIN), *order_columns(order))
@@ -374,47 +376,80 @@ def lookback(df: DataFrame, window_step, emit: Column) -> DataFrame:
 FRAME = re.compile(
     r"(rows|range)\s+between\s+(unbounded|\d+)\s+preceding\s+and\s+(current\s+row|\d+\s+following)", re.I
 )
+RANKS = ("row_number", "rank", "dense_rank", "cume_dist", "percent_rank")
+AGGREGATES = ("sum", "avg", "min", "max", "count")
+
+
+def _frame(spec: Mapping[str, object]) -> tuple[int | None, int]:
+    """Rows before (None: all of them) and after the current row."""
+    text = str(spec.get("frame", "rows between unbounded preceding and current row")).strip()
+    match = FRAME.fullmatch(text)
+    need(match is not None, "INVALID_FRAME", text)
+    need(match.group(1).lower() == "rows", "INVALID_FRAME", "time frames: use rolling_days")
+    end = match.group(3).lower()
+    before = None if match.group(2).lower() == "unbounded" else int(match.group(2))
+    return before, 0 if end.startswith("current") else int(end.split()[0])
 
 
 def apply_specs(
     df: DataFrame, specs: Sequence[Mapping[str, object]], *, slice_by: Column | None = None
 ) -> DataFrame:
-    """Add one column per ``{column, function, argument, partition_by, order_by, frame}``."""
+    """Add one column per ``{column, function, argument, partition_by, order_by, frame}``.
+
+    Specs over the same keys and order share one pass per kind: ranks, totals from the start, and
+    everything that looks a bounded number of rows around.
+    """
+    groups: dict[tuple, list[Mapping[str, object]]] = {}
     for spec in specs:
-        name, fn = str(spec["column"]), str(spec["function"]).lower()
-        keys = list(spec.get("partition_by", []))
-        order = list(spec.get("order_by", []))
-        arg = spec.get("argument")
-        need(bool(keys), "MISSING_PARTITION", f"{name}: a window over the whole table is refused")
-        frame = str(spec.get("frame", "rows between unbounded preceding and current row"))
-        match = FRAME.fullmatch(frame.strip())
-        need(match is not None, "INVALID_FRAME", frame)
-        if fn in ("lag", "lead"):
-            step = {name: (str(arg), int(spec.get("offset", 1)))}
-            df = lag_lead(df, keys, order, step if fn == "lag" else None, step if fn == "lead" else None, slice_by=slice_by)
-            continue
-        if fn in ("row_number", "rank", "dense_rank", "cume_dist", "percent_rank") or fn.startswith("ntile"):
-            df = rank_family(df, keys, order, {name: fn}, slice_by=slice_by)
-            continue
-        need(fn in ("sum", "avg", "min", "max", "count"), "INVALID_FUNCTION", fn)
-        need(match.group(1).lower() == "rows", "INVALID_FRAME", "time frames: use rolling_days")
-        start, end = match.group(2).lower(), match.group(3).lower()
-        after = 0 if end.startswith("current") else int(end.split()[0])
-        value = F.col(str(arg)) if arg and arg != "*" else F.lit(1)
-        if start == "unbounded":
-            if slice_by is not None:
-                need(fn in ("sum", "count") and after == 0, "INVALID_FRAME", f"{fn} over {frame}")
-                one = value if fn == "sum" else value.isNotNull().cast("long")
-                df = running_total(df, keys, order, {name: one}, slice_by=slice_by)
+        keys, order = tuple(spec.get("partition_by", ())), tuple(spec.get("order_by", ()))
+        need(bool(keys), "MISSING_PARTITION", f"{spec['column']}: a window over the whole table is refused")
+        groups.setdefault((keys, order), []).append(spec)
+    for (keys, order), members in groups.items():
+        df = _apply_group(df, list(keys), list(order), members, slice_by)
+    return df
+
+
+def _apply_group(df, keys, order, specs, slice_by):
+    ranks: dict[str, str] = {}
+    totals: dict[str, tuple[str, Column]] = {}
+    near: dict[str, tuple[str, str | None, int, int]] = {}
+    for spec in specs:
+        name, fn, arg = str(spec["column"]), str(spec["function"]).lower(), spec.get("argument")
+        if fn in RANKS or fn.startswith("ntile"):
+            ranks[name] = fn
+        elif fn in ("lag", "lead"):
+            near[name] = (fn, str(arg), int(spec.get("offset", 1)), 0)
+        else:
+            need(fn in AGGREGATES, "INVALID_FUNCTION", fn)
+            before, after = _frame(spec)
+            value = F.col(str(arg)) if arg and arg != "*" else F.lit(1)
+            if before is not None:
+                near[name] = (fn, None if arg in (None, "*") else str(arg), before, after)
                 continue
-            w = Window.partitionBy(*keys).orderBy(*order_columns(order))
-            df = df.withColumn(name, getattr(F, fn)(value).over(w.rowsBetween(Window.unboundedPreceding, after)))
-            continue
-        before = int(start)
-        rows, parts = df, keys
-        if slice_by is not None:
-            rows, parts = with_halo(df, keys, order, slice_by, before, after), [*keys, SLICE]
-        w = Window.partitionBy(*parts).orderBy(*order_columns(order)).rowsBetween(-before, after)
-        rows = rows.withColumn(name, getattr(F, fn)(value).over(w))
-        df = rows if slice_by is None else _finish(rows)
+            need(after == 0 and fn != "avg", "INVALID_FRAME", f"{fn} from the start ends at the current row")
+            totals[name] = ("sum", value.isNotNull().cast("long")) if fn == "count" else (fn, value)
+    if near:
+        df = _nearby(df, keys, order, near, slice_by)
+    if ranks:
+        df = rank_family(df, keys, order, ranks, slice_by=slice_by)
+    if totals:
+        df = running(df, keys, order, totals, slice_by=slice_by)
     return df
+
+
+def _nearby(df, keys, order, near, slice_by):
+    before = max((n for fn, _, n, _ in near.values() if fn != "lead"), default=0)
+    after = max([n for fn, _, n, _ in near.values() if fn == "lead"] + [m for *_, m in near.values()], default=0)
+    rows, parts = df, list(keys)
+    if slice_by is not None:
+        rows, parts = with_halo(df, keys, order, slice_by, before, after), [*keys, SLICE]
+    w = Window.partitionBy(*parts).orderBy(*order_columns(order))
+    made = {}
+    for name, (fn, arg, n, m) in near.items():
+        if fn in ("lag", "lead"):
+            made[name] = getattr(F, fn)(arg, n).over(w)
+        else:
+            value = F.lit(1) if arg is None else F.col(arg)
+            made[name] = getattr(F, fn)(value).over(w.rowsBetween(-n, m))
+    rows = rows.withColumns(made)
+    return rows if slice_by is None else _finish(rows)

@@ -82,7 +82,7 @@ def main(argv: list[str]) -> int:
     names = [n for n in names if not n.startswith("@")]
     if not QUERIES:
         importlib.import_module("millrace.plans")
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
     failed = 0
