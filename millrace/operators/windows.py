@@ -7,7 +7,7 @@ what a slice needs from its neighbours arrives as a few extra rows:
 
 * running totals and ranks: one row per slice holding what came before,
 * row frames, lag and lead: the last (first) n rows of the slices before (after),
-* time frames: the rows of earlier slices that still lie inside the frame.
+* time frames: running aggregates of a slice and of the one before (see ``rolling_days``).
 
 The rows are shuffled once, by (key, slice): side tables are computed on that same exchange (Spark
 reuses it), and the extra rows are placed by the same partitioning, so the union above needs no
@@ -338,29 +338,63 @@ def rolling_days(
     time: str,
     aggregates: Mapping[str, tuple[str, str]],
     days: int,
-    *,
-    slice_days: int | None = None,
 ) -> DataFrame:
     """``{name: (function, column)}`` over the rows of the last ``days`` days up to each row's time.
 
-    Slices are ``slice_days`` wide (at least the frame), so a row is copied to at most one later
-    slice.
+    Spark evaluates a sliding frame row by row, at a cost of rows times frame size. Here time is
+    cut into slices exactly as wide as the frame. The frame of a row then ends in its own slice
+    and begins in the one before, so it is a running aggregate from the slice's start, merged
+    with a running aggregate towards the end of the slice before. Both are linear, and no task
+    holds more than a key's slice.
     """
     need_columns(df, [*keys, time, *[c for _, c in aggregates.values()]])
-    for fn, _ in aggregates.values():
+    need(days > 0, "INVALID_DAYS", str(days))
+    parts: dict[str, tuple[str, str]] = {}  # helper column -> (merge function, source column)
+    for fn, c in aggregates.values():
         need(fn in ("sum", "avg", "min", "max", "count"), "INVALID_FUNCTION", fn)
-    width = max(days, slice_days or days, 1)
-    day_number = F.datediff(F.col(time), F.lit("1970-01-01").cast("date"))
-    own, last = F.floor(day_number / width), F.floor((day_number + days) / width)
-    spread = df.withColumn("__own", own).withColumn(SLICE, F.explode(F.sequence(F.col("__own"), last)))
-    spread = spread.withColumn(MAIN, F.col(SLICE) == F.col("__own")).drop("__own")
-    parts = ", ".join([f"`{k}`" for k in keys] + [SLICE])
-    over = (
-        f"(PARTITION BY {parts} ORDER BY `{time}` "
-        f"RANGE BETWEEN INTERVAL {int(days)} DAYS PRECEDING AND CURRENT ROW)"
+        for part in {"avg": ("sum", "count")}.get(fn, (fn,)):
+            parts[f"__{part}_{c}"] = (part, c)
+    if isinstance(df.schema[time].dataType, T.TimestampType):
+        number = F.floor(F.unix_micros(time) / F.lit(days * 86_400_000_000))
+    else:
+        number = F.floor(F.datediff(F.col(time), F.lit("1970-01-01").cast("date")) / days)
+    base = df.withColumn(SLICE, number).repartition(*keys, SLICE)
+
+    def span(*order: Column):
+        w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+        return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    from_start, to_end = span(F.col(time).asc()), span(F.col(time).desc())
+    made = base.withColumns(
+        {f"{h}_head": getattr(F, fn)(c).over(from_start) for h, (fn, c) in parts.items()}
+        | {f"{h}_tail": getattr(F, fn)(c).over(to_end) for h, (fn, c) in parts.items()}
+    )
+    heads, tails = [f"{h}_head" for h in parts], [f"{h}_tail" for h in parts]
+    rows = F.struct(*[F.col(f"`{c}`") for c in [*df.columns, *heads]])
+    data = made.select(*keys, SLICE, F.col(time).alias("__t"), F.lit(0).alias("__kind"), *tails, F.lit(None).cast(made.select(rows).schema[0].dataType).alias("__row"))
+    begin = F.col(time) - F.expr(f"INTERVAL {int(days)} DAYS")
+    probes = made.select(
+        *keys, (F.col(SLICE) - 1).alias(SLICE), begin.alias("__t"), F.lit(1).alias("__kind"),
+        *[F.lit(None).cast(made.schema[c].dataType).alias(c) for c in tails], rows.alias("__row"),
+    )
+    # Latest first: the last data row before a probe is the earliest one inside its frame.
+    back = Window.partitionBy(*keys, SLICE).orderBy(F.col("__t").desc(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = data.unionByName(probes.repartition(*keys, SLICE)).withColumns(
+        {c: F.last(c, ignorenulls=True).over(back) for c in tails}
     )
-    made = {name: F.expr(f"{fn}(`{c}`) OVER {over}") for name, (fn, c) in aggregates.items()}
-    return _finish(spread.withColumns(made))
+    found = met.filter("__kind = 1").select("__row.*", *tails)
+
+    def merged(h: str) -> Column:
+        fn = parts[h][0]
+        head, tail = F.col(f"{h}_head"), F.col(f"{h}_tail")
+        if fn in ("min", "max"):
+            return (F.least if fn == "min" else F.greatest)(head, tail)
+        return F.when(head.isNull(), tail).otherwise(head + F.coalesce(tail, F.lit(0)))
+
+    out = {}
+    for name, (fn, c) in aggregates.items():
+        out[name] = F.try_divide(merged(f"__sum_{c}"), merged(f"__count_{c}")) if fn == "avg" else merged(f"__{fn}_{c}")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for n, v in out.items()])
 
 
 def lookback(df: DataFrame, window_step, emit: Column) -> DataFrame:
