@@ -115,17 +115,10 @@ def complete(t, frame, label):
 
     writer = frame.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", check)
     finish(writer.trigger(availableNow=True).start())
-    newest = max(int(p) for p in _batches(t, path))
+    newest = jobs.list_versions(t.spark, path, "batch")
     return t.spark.read.parquet(f"{path}/batch={newest}")
 
 
-def _batches(t, path):
-    hadoop = t.spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    names = [s.getPath().getName() for s in root.getFileSystem(t.spark._jsc.hadoopConfiguration()).listStatus(root)]
-    return [n.split("=")[1] for n in names if n.startswith("batch=")]
-
-
 @query(
     "str_window_agg",
     "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -148,12 +141,26 @@ def _(t):
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", F.round("total", 4).alias("total"))
 
 
-@query(
-    "str_publish",
-    """SELECT sha256(user_id || '|' || event_id) AS key, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS value FROM events""",
-)
+PUBLISH_SQL = """SELECT sha256(user_id || '|' || event_id) AS key, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS value FROM events"""
+
+
+@query("str_publish", PUBLISH_SQL)
 def _(t):
     path, check = scratch_path(t.spark, "publish"), scratch_path(t.spark, "publish-checkpoint")
     rows = events(t).select("event_id", "user_id")
     finish(jobs.publish_stream(rows, ["user_id", "event_id"], "parquet", check, available_now=True, path=path))
     return t.spark.read.schema("key string, value string").parquet(path)
+
+
+@query(
+    "snk_stream_publish",
+    """SELECT sha256(CAST(c_custkey AS VARCHAR)) AS key, '{"id":' || c_custkey || ',"op":"UPSERT"}' AS value FROM customer
+       UNION ALL SELECT sha256(CAST(c_custkey AS VARCHAR)), '{"id":' || c_custkey || ',"op":"UPSERT"}' FROM customer WHERE c_mktsegment = 'BUILDING'""",
+)
+def _(t):
+    # Inserts and post-images of a change stream; deletes have no post-image.
+    path, check = scratch_path(t.spark, "post-images"), scratch_path(t.spark, "post-images-checkpoint")
+    changes = jobs.parse_changes(change_messages(t), "id BIGINT, balance DOUBLE")
+    images = changes.filter("after IS NOT NULL").select("after.id", "op")
+    finish(jobs.publish_stream(images, ["id"], "parquet", check, available_now=True, path=path))
+    return t.spark.read.schema("key string, value string").parquet(path)

@@ -141,7 +141,8 @@ def apply_changes_stream(
     """Keep a current-state table: batch n reads version n-1 and writes version n.
 
     Versions are directories, so a batch that runs again after a lost driver rebuilds the same
-    version from the same input instead of applying its changes twice.
+    version from the same input instead of applying its changes twice. A batch costs one pass
+    over the state, whatever its size: choose long triggers, or a table format with MERGE.
     """
     spark = initial.sparkSession
     schema = initial.schema
@@ -154,6 +155,8 @@ def apply_changes_stream(
         rows = flatten(batch) if flatten else batch
         merged = apply_changes(base, rows, keys, op, order).state
         merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(version(batch_id))
+        # A repeated batch needs the version before it and none older.
+        _filesystem(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(version(batch_id - 2)), True)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -166,12 +169,15 @@ def current_state(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return versions.filter(F.col("version") == newest).drop("version")
 
 
-def list_versions(spark: SparkSession, path: str) -> int:
+def _filesystem(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root  # type: ignore[attr-defined]
+
+
+def list_versions(spark: SparkSession, path: str, name: str = "version") -> int:
     """Largest version directory, from the file listing (no data is read)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs  # type: ignore[union-attr]
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())  # type: ignore[attr-defined]
+    fs, root = _filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(root)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    found = [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
     need(bool(found), "NO_VERSION", path)
     return max(found)
