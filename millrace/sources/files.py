@@ -160,7 +160,7 @@ def read_paged_json(
     spark: SparkSession, path: str, page_schema: T.StructType | str, response_path: str, *, incremental: str | None = None, after: object = None
 ) -> DataFrame:
     """Landed response pages (one JSON document per file) to rows under ``response_path``."""
-    pages = spark.read.option("wholetext", "true").text(path)
+    pages = spark.read.text(path, wholetext=True)
     return explode_pages(pages, "value", page_schema, response_path, incremental=incremental, after=after)
 
 
