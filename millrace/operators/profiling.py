@@ -37,7 +37,7 @@ def profile(df: DataFrame, declared: Mapping[str, str] | None = None, columns: S
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(~given, F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
-        F.coalesce(F.max(F.length("value")), F.lit(0)).alias("max_length"),
+        F.coalesce(F.max(F.length("value")), F.lit(0)).cast("long").alias("max_length"),
         F.coalesce(F.sum(F.when(given & valid, F.col("n"))), F.lit(0)).alias("valid_count"),
         F.coalesce(F.max(F.when(given, F.col("n"))), F.lit(0)).alias("top_count"),
     )

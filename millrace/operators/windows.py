@@ -279,7 +279,8 @@ def rank_family(
         made = {}
         for name, fn in outputs.items():
             bins = re.fullmatch(r"ntile\((\d+)\)", fn)
-            made[name] = F.ntile(int(bins.group(1))).over(w) if bins else getattr(F, fn)().over(w)
+            value = F.ntile(int(bins.group(1))).over(w) if bins else getattr(F, fn)().over(w)
+            made[name] = value if fn in ("cume_dist", "percent_rank") else value.cast("long")
         return df.withColumns(made)
 
     base = df.withColumns({SLICE: slice_by, MAIN: F.lit(True)}).repartition(*keys, SLICE)
@@ -307,18 +308,18 @@ def rank_family(
     made = {}
     for name, fn in outputs.items():
         if fn == "row_number":
-            made[name] = number.cast("int")
+            made[name] = number
         elif fn == "rank":
-            made[name] = rank.cast("int")
+            made[name] = rank
         elif fn == "dense_rank":
-            made[name] = (F.dense_rank().over(w) - 1 + F.max("__dense").over(whole)).cast("int")
+            made[name] = F.dense_rank().over(w) - 1 + F.max("__dense").over(whole)
         elif fn == "cume_dist":
             upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
             made[name] = (upto - 1 + before) / total
         elif fn == "percent_rank":
             made[name] = F.when(total > 1, (rank - 1) / (total - 1)).otherwise(F.lit(0.0))
         else:
-            made[name] = _ntile(number, total, int(fn[6:-1])).cast("int")
+            made[name] = _ntile(number, total, int(fn[6:-1])).cast("long")
     return _finish(rows.withColumns(made)).drop("__before", "__all", "__dense")
 
 

@@ -124,7 +124,7 @@ def _(t):
 
 @query(
     "agg_bucket",
-    """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period_bucket, l_returnflag, sum(l_quantity) AS l_quantity_sum, round(avg(l_quantity), 4) AS l_quantity_avg,
+    """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period_bucket, l_returnflag, sum(l_quantity) AS l_quantity_sum, round(avg(l_quantity), 8) AS l_quantity_avg,
               max(l_extendedprice) AS l_extendedprice_max, count(DISTINCT l_partkey) AS l_partkey_distinct_count, count(*) AS row_count
        FROM lineitem GROUP BY 1, 2""",
 )
@@ -132,7 +132,7 @@ def _(t):
     out = op.bucket_aggregate(
         t.lineitem, "l_shipdate", "month", ["l_returnflag"], {"l_quantity": ["sum", "avg"], "l_extendedprice": ["max"]}, distinct=["l_partkey"]
     )
-    return out.withColumn("l_quantity_avg", F.round("l_quantity_avg", 4))
+    return out.withColumn("l_quantity_avg", F.round("l_quantity_avg", 8))
 
 
 def _bucket_sql(unit: str, expr: str) -> str:
@@ -287,9 +287,9 @@ def _downsample_sql(unit: str, method: str, value: str) -> str:
     "agg_downsample",
     " UNION ALL ".join([
         _downsample_sql("hour", "last", "arg_max(value, ts)"),
-        _downsample_sql("day", "average", "round(avg(value), 4)"),
+        _downsample_sql("day", "average", "round(avg(value), 8)"),
         _downsample_sql("week", "first", "arg_min(value, ts)"),
-        _downsample_sql("month", "average", "round(avg(value), 4)"),
+        _downsample_sql("month", "average", "round(avg(value), 8)"),
     ]),
 )
 def _(t):
@@ -298,7 +298,7 @@ def _(t):
         part = op.downsample(t.events, "ts", unit, ["event_type"], "value", method)
         part = part.select(
             F.lit(unit).alias("unit"), F.lit(method).alias("method"), "event_type", F.col("period_bucket").cast("timestamp_ntz").alias("period_bucket"),
-            (F.round("value", 4) if method == "average" else F.col("value")).alias("value"),
+            (F.round("value", 8) if method == "average" else F.col("value")).alias("value"),
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -307,8 +307,8 @@ def _(t):
 @query(
     "agg_metrics",
     """WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS total, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY 1)
-       SELECT day, n, bought, round(total / n, 4) AS per_event, round(100.0 * bought / n, 4) AS conversion,
-              round(avg(total) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling_total FROM d""",
+       SELECT day, n, bought, round(total / n, 8) AS per_event, round(100e0 * bought / n, 8) AS conversion,
+              round(avg(total) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS rolling_total FROM d""",
 )
 def _(t):
     from ..operators.windows import rolling_rows
@@ -319,5 +319,5 @@ def _(t):
     rolled = rolling_rows(
         daily.withColumn("all", F.lit(1)), ["all"], ["day"], {"rolling": F.avg("total")}, 6, slice_by=F.trunc("day", "month")
     )
-    out = op.derived_metrics(rolled, {"per_event": "total / n", "conversion": "100.0 * bought / n", "rolling_total": "rolling"})
+    out = op.derived_metrics(rolled, {"per_event": "total / n", "conversion": "100e0 * bought / n", "rolling_total": "rolling"}, digits=8)
     return out.drop("all", "total", "rolling")

@@ -7,7 +7,7 @@ from .registry import Tables, query
 
 MART_SQL = """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period_bucket, c_mktsegment AS segment, n_name AS nation, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
-       round(avg(l_quantity), 4) AS avg_quantity, count(DISTINCT o_orderkey) AS orders, count(*) AS lines
+       round(avg(l_quantity), 8) AS avg_quantity, count(DISTINCT o_orderkey) AS orders, count(*) AS lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3"""
 
 
@@ -37,7 +37,7 @@ def sales_mart(t: Tables):
     )
     out = monthly.select(
         "period_bucket", F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.round("revenue_sum", 4).alias("revenue"),
-        F.round("l_quantity_avg", 4).alias("avg_quantity"), F.col("l_orderkey_distinct_count").alias("orders"), F.col("row_count").alias("lines"),
+        F.round("l_quantity_avg", 8).alias("avg_quantity"), F.col("l_orderkey_distinct_count").alias("orders"), F.col("row_count").alias("lines"),
     )
     return sets.sort(out, ["period_bucket", "segment", "nation"])
 

@@ -134,7 +134,7 @@ def _(t):
 @query(
     "src_fan_in",
     """WITH b AS (SELECT 'click' AS source, event_id, row_number() OVER (ORDER BY ts) AS position FROM events WHERE event_type = 'click' UNION ALL SELECT 'view', event_id, row_number() OVER (ORDER BY ts) FROM events WHERE event_type = 'view')
-       SELECT source, event_id, CAST(position AS INTEGER) AS position FROM b""",
+       SELECT source, event_id, position FROM b""",
 )
 def _(t):
     parts = {k: t.events.filter(F.col("event_type") == k) for k in ("click", "view")}
