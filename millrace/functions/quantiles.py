@@ -1,16 +1,16 @@
 """Exact quantiles without gathering a column in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in memory. Here an approximate
-sketch only proposes cut points; the values are counted exactly per distinct value and per band
-between cut points, the band that holds the wanted rank is found on that small table, and only
-that band's distinct values are ranked.
+sketch only proposes cut points. Rows are counted exactly per band between cut points (a handful
+of counters leave each task), the band that holds the wanted rank follows from those counts, and
+only that band's values are shuffled and ranked. A value that fills a band is one row there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import need, need_columns
@@ -30,12 +30,8 @@ def exact_quantiles(
     n = int(first["n"])
     if n == 0:
         return [None for _ in probabilities]
-    cuts = sorted(set(first["cuts"]))
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # Band number: how many cut points lie at or below the value.
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    banded = counted.withColumn("band", F.size(F.filter(bounds, lambda c: c <= F.col("v"))))
-    per_band = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.sum("n").alias("n")).collect()}
+    banded = values.withColumn("band", _band(sorted(set(first["cuts"]))))
+    per_band = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, start = {}, 0
     for band in sorted(per_band):
         before[band] = start
@@ -47,7 +43,8 @@ def exact_quantiles(
         wanted |= {int(position), min(int(position) + 1, n - 1)}
     hit = sorted({b for b in before for r in wanted if before[b] <= r < before[b] + per_band[b]})
     w = Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = banded.filter(F.col("band").isin(hit)).withColumn("upto", F.sum("n").over(w))
+    counted = banded.filter(F.col("band").isin(hit)).groupBy("band", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.withColumn("upto", F.sum("n").over(w))
     offset = F.create_map(*[x for b in hit for x in (F.lit(b), F.lit(before[b]))])
     ranked = ranked.withColumn("last", F.element_at(offset, F.col("band")) + F.col("upto") - 1).withColumn(
         "first", F.col("last") - F.col("n") + 1
@@ -67,3 +64,19 @@ def exact_quantiles(
         high = min(low + 1, n - 1)
         out.append(at(low) + (position - low) * (at(high) - at(low)))
     return out
+
+
+def _band(cuts: Sequence[float], width: int = 16) -> Column:
+    """How many cut points lie at or below ``v``: first among every 16th, then within its run."""
+    runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if not runs:
+        return F.lit(0)
+
+    def at_or_below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c <= F.col("v")))
+
+    heads = F.array(*[F.lit(float(r[0])) for r in runs])
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in r]) for r in runs])
+    run = at_or_below(heads)
+    inside = (run - 1) * width + at_or_below(F.element_at(table, run))
+    return F.when(run == 0, F.lit(0)).otherwise(inside)

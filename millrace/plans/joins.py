@@ -10,14 +10,14 @@ from .registry import query
 
 @query(
     "jn_equi",
-    """SELECT n.id AS id, n.name AS name, n.n_regionkey, r.id AS right_id, r.name AS right_name
-       FROM (SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation WHERE n_regionkey <> 0) n
-       FULL OUTER JOIN (SELECT r_regionkey AS id, r_name AS name FROM region) r ON n.n_regionkey = r.id""",
+    """SELECT s.id AS id, s.name AS name, s.s_nationkey, n.id AS right_id, n.name AS right_name
+       FROM (SELECT s_suppkey AS id, s_name AS name, s_nationkey FROM supplier WHERE s_acctbal > 0) s
+       FULL OUTER JOIN (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 0) n ON s.s_nationkey = n.id""",
 )
 def _(t):
-    nations = t.nation.filter("n_regionkey <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
-    regions = t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return op.join_equi(nations, regions, [("n_regionkey", "id")], "full_outer")
+    suppliers = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_nationkey")
+    nations = t.nation.filter("n_regionkey <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return op.join_equi(suppliers, nations, [("s_nationkey", "id")], "full_outer")
 
 
 @query(

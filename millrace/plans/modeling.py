@@ -139,15 +139,15 @@ def _(t):
 
 @query(
     "mdl_reference_versioned",
-    "SELECT n_nationkey, n_name, 1 AS version FROM nation UNION ALL SELECT n_nationkey, lower(n_name), 2 FROM nation",
+    "SELECT p_partkey, p_name, 1 AS version FROM part UNION ALL SELECT p_partkey, upper(p_name), 2 FROM part",
 )
 def _(t):
-    columns = ["n_nationkey", "n_name"]
-    first = op.publish_version(None, t.nation, columns)
-    unchanged = op.publish_version(first, t.nation.orderBy(F.desc("n_name")), columns)
+    columns = ["p_partkey", "p_name"]
+    first = op.publish_version(None, t.part, columns)
+    unchanged = op.publish_version(first, t.part.repartition(3, "p_name"), columns)
     if unchanged is not None:
         first = first.unionByName(unchanged)
-    second = op.publish_version(first, t.nation.withColumn("n_name", F.lower("n_name")), columns)
+    second = op.publish_version(first, t.part.withColumn("p_name", F.upper("p_name")), columns)
     return first.unionByName(second)
 
 

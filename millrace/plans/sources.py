@@ -182,12 +182,12 @@ def _(t):
 
 @query(
     "src_file_inventory",
-    """SELECT kind, CAST(n AS BIGINT) AS file_count, n = 1 AS is_ready FROM (SELECT 'template' AS kind, 1 AS n UNION ALL SELECT 'glob', 2 UNION ALL SELECT 'regex', 2 UNION ALL SELECT 'too_big', 0), (SELECT count(*) AS c FROM region) WHERE c > 0""",
+    """SELECT kind, CAST(n AS BIGINT) AS file_count, n = 1 AS is_ready FROM (SELECT 'template' AS kind, 1 AS n UNION ALL SELECT 'glob', 2 UNION ALL SELECT 'regex', 2 UNION ALL SELECT 'too_big', 0), (SELECT count(*) AS c FROM supplier) WHERE c > 0""",
 )
 def _(t):
     root = scratch_path(t.spark, "landing")
     for folder in ("expected/partner_daily_20260506.csv", "expected/partner_daily_20260507.csv", "wrong-prefix/partner_daily_20260506.csv"):
-        tables.write_files(t.region.coalesce(1), f"{root}/{folder}", fmt="csv")
+        tables.write_files(t.supplier.coalesce(1), f"{root}/{folder}", fmt="csv")
     # Spark writes directories; each landed name is judged by its one data file.
     listed = loads.list_files(t.spark, root).filter(F.col("path").contains("/part-")).withColumn("path", F.regexp_replace("path", "/part-[^/]*$", ""))
     head = f"{root}/expected"
