@@ -21,6 +21,16 @@ class Split(NamedTuple):
     rejected: DataFrame
 
 
+def compute_once(df: DataFrame, columns: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Project to kept columns and the given named expressions, each evaluated once per row.
+
+    Catalyst copies the expressions of a projection into later filters and projections. For dear
+    ones (parsing, patterns) a one-element generator keeps them in one place. Filters on kept
+    columns still reach the scan.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
+
+
 def add_column(df: DataFrame, name: str = "", expression: str = "") -> DataFrame:
     if not name.strip() or not expression.strip():
         return df
@@ -159,7 +169,11 @@ def standardize(
         exprs[c] = F.upper(exprs.get(c, F.trim(c)))
     for c in [*digits, *phones]:
         exprs[c] = F.regexp_replace(exprs.get(c, F.col(c)), "[^0-9]", "")
-    shaped = df.withColumns({**raw_phone, **exprs}) if raw_phone or exprs else df
+    shaped = df
+    if exprs:
+        made = [v.alias(n) for n, v in {**exprs, **raw_phone}.items()]
+        once = compute_once(df, made, [c for c in df.columns if c not in exprs])
+        shaped = once.select(*[F.col(f"`{c}`") for c in [*df.columns, *raw_phone]])
     reasons = {f"invalid_email:{c}": ~F.col(c).rlike(EMAIL_PATTERN) for c in emails}
     for c in phones:
         given = F.coalesce(F.col(f"__raw_{c}"), F.lit("")) != ""
@@ -232,11 +246,11 @@ def parse_boolean(value: Column) -> Column:
 def contract_values(df: DataFrame, columns: Sequence[Mapping[str, object]]) -> Split:
     """Contract with value normalisation; a given value that fits no layout rejects the row."""
     need_columns(df, [str(c["source"]) for c in columns])
+    given = [F.trim(F.col(f"`{c['source']}`").cast("string")) for c in columns]
+    texts = compute_once(df, [F.when(g != "", g).alias(f"__t{i}") for i, g in enumerate(given)])
     typed, reasons = [], {}
-    for c in columns:
-        name, kind = str(c["name"]), str(c.get("type", "string"))
-        raw = F.trim(F.col(f"`{c['source']}`").cast("string"))
-        raw = F.when(raw != "", raw)
+    for i, c in enumerate(columns):
+        name, kind, raw = str(c["name"]), str(c.get("type", "string")), F.col(f"__t{i}")
         if kind == "date":
             value = parse_date(raw)
         elif kind == "boolean":
@@ -245,12 +259,11 @@ def contract_values(df: DataFrame, columns: Sequence[Mapping[str, object]]) -> S
             value = F.upper(raw) if c.get("upper") else raw
         else:
             value = raw.try_cast(kind)
-        typed.append(value.alias(name))
+        typed += [value.alias(name), raw.isNotNull().alias(f"__given_{name}")]
         if kind != "string":
-            typed.append((raw.isNotNull() & value.isNull()).alias(f"__bad_{name}"))
-            reasons[f"bad_cast:{name}"] = F.col(f"__bad_{name}")
-    split = reject_by(df.select(*typed), reasons)
-    helpers = [f"__bad_{c['name']}" for c in columns]
+            reasons[f"bad_cast:{name}"] = F.col(f"__given_{name}") & F.col(name).isNull()
+    split = reject_by(compute_once(texts, typed), reasons)
+    helpers = [f"__given_{c['name']}" for c in columns]
     return Split(split.accepted.drop(*helpers), split.rejected.drop(*helpers))
 
 

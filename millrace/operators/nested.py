@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import need, need_columns
-from .columns import Split
+from .columns import Split, compute_once
 
 
 def flatten_fields(df: DataFrame, column: str, fields: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
@@ -106,19 +106,23 @@ def array_policy(df: DataFrame, policy: str = "explode") -> DataFrame:
 def parse_json(df: DataFrame, column: str, schema: T.StructType | str, *, raw: str = "raw_payload", out: str = "payload") -> DataFrame:
     """Parse a text payload; one that does not parse is kept as raw text."""
     need_columns(df, [column])
-    parsed, ok = _permissive(F.col(column), schema)
-    return df.withColumns({out: F.when(ok, parsed), raw: F.when(~ok, F.col(column))}).drop(
-        *([column] if column not in (out, raw) else [])
-    )
+    others = [F.col(f"`{c}`") for c in df.columns if c != column]
+    made = [F.when(F.col("__ok"), F.col("__e")).alias(out), F.when(~F.col("__ok"), F.col(column)).alias(raw)]
+    return parsed_once(df, column, schema).select(*others, *made)
 
 
-def _permissive(text: Column, schema: T.StructType | str) -> tuple[Column, Column]:
-    """Parsed struct (without the corrupt marker) and whether the text was valid JSON."""
+def parsed_once(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
+    """The frame with ``__e`` (parsed struct) and ``__ok`` (the text was valid JSON).
+
+    The text is parsed once per row, whatever reads the two columns afterwards.
+    """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    ok = parsed.isNotNull() & parsed["_corrupt_record"].isNull()
-    return F.struct(*[parsed[f.name].alias(f.name) for f in fields.fields]), F.coalesce(ok, F.lit(False))
+    parsed = F.from_json(F.col(column), marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    once = compute_once(df, [parsed.alias("__p")], df.columns)
+    ok = F.col("__p").isNotNull() & F.col("__p._corrupt_record").isNull()
+    event = F.struct(*[F.col("__p")[f.name].alias(f.name) for f in fields.fields])
+    return once.select(*[F.col(f"`{c}`") for c in df.columns], event.alias("__e"), F.coalesce(ok, F.lit(False)).alias("__ok"))
 
 
 def events_to_lines(
@@ -136,8 +140,7 @@ def events_to_lines(
     An empty array gives no row; malformed text or a missing required parent rejects the event.
     """
     need_columns(df, [payload])
-    parsed, ok = _permissive(F.col(payload), schema)
-    shaped = df.withColumns({"__ok": ok, "__e": parsed})
+    shaped = parsed_once(df, payload, schema)
     why = F.when(~F.col("__ok"), F.lit("malformed-json"))
     for r in required:
         why = why.when(F.col(f"__e.{r}").isNull(), F.lit(f"missing-{r}"))

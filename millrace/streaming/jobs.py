@@ -30,12 +30,11 @@ def read_files_stream(spark: SparkSession, path: str, schema: T.StructType | str
 
 def parse_messages(messages: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Envelope columns, parsed payload, raw text where it does not parse, and the event day."""
-    from ..operators.nested import _permissive
+    from ..operators.nested import parsed_once
 
-    parsed, ok = _permissive(F.col("value"), schema)
-    return messages.select(
+    return parsed_once(messages, "value", schema).select(
         "topic", "partition", "offset", F.col("timestamp").alias("event_ts"), F.col("key").alias("message_key"),
-        F.when(ok, parsed).alias("payload"), F.when(~ok, F.col("value")).alias("raw_payload"),
+        F.when(F.col("__ok"), F.col("__e")).alias("payload"), F.when(~F.col("__ok"), F.col("value")).alias("raw_payload"),
         F.col("timestamp").cast("date").alias("ds"),
     )
 
