@@ -1,8 +1,9 @@
 """Exact dedup by content sort.
 
-Rows are range-partitioned by sampled splitters over the leading bytes of their text (Spark's own
-range partitioner, so splitters stay short however long the texts are), sorted externally by the
-whole text, and grouped where neighbours compare equal in full. A text that fills more than a
+Rows are range-partitioned by sampled splitters over the leading characters of their text and, where
+many texts begin alike, a digest (Spark's own range partitioner; splitters stay short however long
+the texts are). Ranges are sorted externally by the whole text, and neighbours that compare equal in
+full form a group; the windows need no further shuffle. A text that fills more than a
 partition's share is found by a count beforehand; its rows are spread over several ranges by a salt
 and their keeper comes from one map-side combined aggregate, so no task meets a whole hot group.
 
@@ -35,14 +36,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFram
     total = docs.count()
     # At most ``parts`` digests can exceed a share of 1 / parts, so this list is bounded.
     hot = {r["_digest"]: r["_n"] for r in counts.filter(F.col("_n") * parts > total).filter("_n > 1").collect()}
-    salt = F.lit(0)
     if hot:
         shares = F.create_map(*[F.lit(v) for k, n in hot.items() for v in (k, -(-n * parts // total) + 1)])
         salt = F.coalesce(F.pmod(F.xxhash64("_id"), shares[digest]), F.lit(0)).cast("int")
 
-    laid = named.withColumn("_lead", F.substring("_text", 1, SPLITTER_CHARS)).withColumn("_salt", salt)
-    laid = laid.repartitionByRange("_lead", "_salt")
-    run = W.partitionBy("_lead", "_text", "_salt")
+    laid = named.withColumn("_lead", F.substring("_text", 1, SPLITTER_CHARS)).withColumn("_digest", digest)
+    order = ["_lead", "_digest"]
+    if hot:
+        laid, order = laid.withColumn("_salt", salt), [*order, "_salt"]
+    laid = laid.repartitionByRange(*order)
+    run = W.partitionBy(*order, "_text")
     first = F.col("_id").asc_nulls_last() if keep == "min" else F.col("_id").desc_nulls_last()
     found = laid.withColumn("_rank", F.row_number().over(run.orderBy(first)))
     found = found.withColumn("_keep", best("_id").over(run)).withColumn("_size", F.count(F.lit(1)).over(run))
