@@ -45,8 +45,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, by doubling."""
+    """base**0 ... base**(n-1) modulo 2**64, by doubling; kept up to a few megabytes."""
+    known = _POWERS.get(int(base))
+    if known is not None and len(known) >= n:
+        return known[:n]
     out = np.ones(max(n, 1), np.uint64)
     have, top = 1, int(base)
     while have < n:
@@ -54,6 +60,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         out[have : have + take] = out[:take] * np.uint64(top)
         have += take
         top = top * top & _MASK
+    if n <= 1 << 22:
+        _POWERS[int(base)] = out
     return out
 
 

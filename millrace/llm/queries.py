@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, secrets
+from . import bpe, chat, exact, langid, neardup, secrets
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -44,6 +44,11 @@ def _(t):
     return langid.predict_language(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op7_minhash")
+def _(t):
+    return neardup.group_near_copies(t("documents"))
+
+
 @query("op8_secrets")
 def _(t):
     found = secrets.find_secrets(t("documents"))
