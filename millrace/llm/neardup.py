@@ -37,7 +37,8 @@ from .shingles import WORDS, shingle_hashes, shingle_sets, word_hashes
 PERMUTATIONS = 128
 BANDS = 32
 THRESHOLD = 75  # percent
-BLOCK = 1024
+SMALL = 64
+BLOCK = 512
 CHUNK_BYTES = 1 << 20
 
 
@@ -115,8 +116,37 @@ def _may_link(values: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.n
             yield a[new], b[new]
 
 
+class _Joined:
+    """Links confirmed inside a block pair; components that have been linked are compared no more."""
+
+    def __init__(self, sets: pa.ListArray, percent: int):
+        self.values, self.bounds, self.percent = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())]), percent
+        self.parent: dict[int, int] = {}
+
+    def _root(self, code: int) -> int:
+        while (up := self.parent.get(code, code)) != code:
+            code = up
+        return code
+
+    def confirm(self, a: np.ndarray, b: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        true = []
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self._root(int(codes[i])), self._root(int(codes[j]))
+            if x == y:
+                continue
+            left, right = self.values[self.bounds[i] : self.bounds[i + 1]], self.values[self.bounds[j] : self.bounds[j + 1]]
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * both >= self.percent * (len(left) + len(right) - both):
+                self.parent[max(x, y)] = min(x, y)
+                true.append(k)
+        return a[true], b[true]
+
+
 def _cross_pairs(percent: int):
-    """Rows sorted by bucket and block pair in, candidate pairs out; a block pair is held at a time."""
+    """Rows sorted by bucket and block pair in, pairs out; one block pair is held at a time.
+
+    Where rows carry their sets the pairs are confirmed links, otherwise candidates.
+    """
 
     def block(rows: pa.Table):
         ids, comp, size = (rows.column(c).combine_chunks() for c in ("id", "comp", "n"))
@@ -124,9 +154,13 @@ def _cross_pairs(percent: int):
         codes, side = comp.dictionary_encode().indices.to_numpy(), rows.column("own").to_numpy()
         lo, hi, band = rows["lo"][0].as_py(), rows["hi"][0].as_py(), rows["band"][0].as_py()
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        sets = rows.column("set").combine_chunks() if "set" in rows.column_names else None
+        links = _Joined(sets, percent) if sets is not None else None
         for a, b in _may_link(values, size.to_numpy(), codes, left, right, band, percent):
             if lo == hi:
                 a, b = a[a < b], b[a < b]
+            if links is not None:
+                a, b = links.confirm(a, b, codes)
             if len(a):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
@@ -186,14 +220,19 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = members.join(comps, members["id"] == comps["node"], "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band", "key")
     open_ = placed.join(mixed, ["band", "key"]).join(nodes, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "n", "sig")
-    dealt = open_.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
     pair_type = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    pairs = dealt.mapInArrow(_cross_pairs(percent), pair_type).distinct()
-    more = _confirmed(materialise(pairs, "pairs"), sets, percent)
+    keys = ["band", "key", "lo", "hi"]
+
+    def crossed(rows_: DataFrame) -> DataFrame:
+        return rows_.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross_pairs(percent), pair_type).distinct()
+
+    columns = ["own", "id", "comp", "n", "sig"]
+    small = open_.filter(F.col("size") <= SMALL).select("band", "key", *[F.lit(0).alias(c) for c in ("lo", "hi", "own")], *columns[1:])
+    large = open_.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
+    large = large.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns, "set")
+    more = _confirmed(materialise(crossed(small), "pairs"), sets, percent).unionByName(materialise(crossed(large), "links"))
     comps = connected_components(links.unionByName(more))
 
     labelled = rows.select("id", "n", "k1", "k2").join(owners, ["n", "k1", "k2"], "left")

@@ -51,6 +51,7 @@ def test_tables(spark, sf):
 def test_chains_and_hot_groups(rows, monkeypatch):
     """Chains of small changes, a large group around the threshold, in blocks smaller than the group."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "SMALL", 24)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(4000)]
     data, text = [], [rng.choice(vocabulary) for _ in range(120)]
