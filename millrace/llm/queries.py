@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, neardup, secrets
+from . import bpe, chat, exact, langid, neardup, secrets, suffix
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query("op1_suffix_dedup")
+def _(t):
+    cut = suffix.remove_repeats(t("documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_byte_bpe")
 def _(t):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
