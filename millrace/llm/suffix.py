@@ -167,51 +167,61 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 #: What the first sort settles: ``kind`` 0 asks for a comparison of contexts around ``a``; 1 removes the
-#: context [a, b) of an anchor; 2 removes a span that a task had settled before.
+#: context [a, b) of an anchor; 2 removes a span that a task had settled before; 3 names in ``a`` a rank
+#: with more than MANY contexts to compare.
 MARK = "doc long, a long, b long, kind int"
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(many: int):
     """Rows sorted by (rank, context, document) in, marks out; keeps one open rank between batches."""
-    last = None  # rank, context, first document of the context, whether the rank has two first documents
-    waiting = np.zeros((0, 2), np.int64)  # first holders of the open rank, all of one document
 
-    for batch in batches:
-        k, c, doc, pos = (batch.column(x).to_numpy() for x in ("k", "c", "doc", "pos"))
-        done = pos < 0
-        out = [(doc[done], -1 - pos[done], c[done], np.full(int(done.sum()), 2, np.int32))]
-        k, c, doc, pos = k[~done], c[~done], doc[~done], pos[~done]
-        if len(k):
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            new[0] = last is None or last[0] != k[0] or last[1] != c[0]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            first = np.where(head >= 0, doc[head], last[2] if last else 0)
-            lost = doc != first
-            out.append((doc[lost], pos[lost] - REACH, pos[lost] + LENGTH, np.ones(int(lost.sum()), np.int32)))
-
-            same = last is not None and last[0] == k[0]
-            ranks, holders, places = k[~lost], doc[~lost], pos[~lost]
-            if same and len(waiting):
-                ranks = np.concatenate([np.full(len(waiting), k[0]), ranks])
-                holders, places = np.concatenate([waiting[:, 0], holders]), np.concatenate([waiting[:, 1], places])
-            mixed_last = False
-            waiting = np.zeros((0, 2), np.int64)
-            if len(ranks):
-                cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-                mixed = np.minimum.reduceat(holders, cuts) != np.maximum.reduceat(holders, cuts)
-                if same and ranks[0] == k[0]:
-                    mixed[0] |= last[3]
-                ask = np.repeat(mixed, np.diff(np.concatenate([cuts, [len(ranks)]])))
-                if ranks[-1] == k[-1]:
-                    mixed_last = bool(mixed[-1])
-                    if not mixed_last:
-                        waiting = np.stack([holders[cuts[-1] :], places[cuts[-1] :]], 1)
-                out.append((holders[ask], places[ask], np.zeros(int(ask.sum()), np.int64), np.zeros(int(ask.sum()), np.int32)))
-            if same and k[-1] == last[0]:
-                mixed_last |= last[3]
-            last = (k[-1], c[-1], first[-1], mixed_last)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(4)], ["doc", "a", "b", "kind"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # rank, context, its first document, whether the rank has two first documents, positions asked for
+        waiting = np.zeros((0, 2), np.int64)  # first holders of the open rank, all of one document
+
+        for batch in batches:
+            k, c, doc, pos = (batch.column(x).to_numpy() for x in ("k", "c", "doc", "pos"))
+            done = pos < 0
+            out = [(doc[done], -1 - pos[done], c[done], np.full(int(done.sum()), 2, np.int32))]
+            k, c, doc, pos = k[~done], c[~done], doc[~done], pos[~done]
+            if len(k):
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+                new[0] = last is None or last[0] != k[0] or last[1] != c[0]
+                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+                first = np.where(head >= 0, doc[head], last[2] if last else 0)
+                lost = doc != first
+                out.append((doc[lost], pos[lost] - REACH, pos[lost] + LENGTH, np.ones(int(lost.sum()), np.int32)))
+
+                same = last is not None and last[0] == k[0]
+                ranks, holders, places = k[~lost], doc[~lost], pos[~lost]
+                if same and len(waiting):
+                    ranks = np.concatenate([np.full(len(waiting), k[0]), ranks])
+                    holders, places = np.concatenate([waiting[:, 0], holders]), np.concatenate([waiting[:, 1], places])
+                mixed_last, asked_last = False, 0
+                waiting = np.zeros((0, 2), np.int64)
+                if len(ranks):
+                    cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+                    mixed = np.minimum.reduceat(holders, cuts) != np.maximum.reduceat(holders, cuts)
+                    if same and ranks[0] == k[0]:
+                        mixed[0] |= last[3]
+                    sizes = np.diff(np.concatenate([cuts, [len(ranks)]]))
+                    ask, asked = np.repeat(mixed, sizes), sizes * mixed
+                    if same and ranks[0] == k[0]:
+                        asked[0] += last[4]
+                    big = ranks[cuts[asked > many]]
+                    out.append((np.zeros(len(big), np.int64), big, np.zeros(len(big), np.int64), np.full(len(big), 3, np.int32)))
+                    if ranks[-1] == k[-1]:
+                        mixed_last, asked_last = bool(mixed[-1]), int(asked[-1])
+                        if not mixed_last:
+                            waiting = np.stack([holders[cuts[-1] :], places[cuts[-1] :]], 1)
+                    out.append((holders[ask], places[ask], np.zeros(int(ask.sum()), np.int64), np.zeros(int(ask.sum()), np.int32)))
+                if same and k[-1] == last[0]:
+                    mixed_last, asked_last = mixed_last or last[3], max(asked_last, last[4])
+                last = (k[-1], c[-1], first[-1], mixed_last, asked_last)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(4)], ["doc", "a", "b", "kind"])
+
+    return run
 
 
 CONTEXT = "k long, doc long, pos long, lead int, body binary"
@@ -354,21 +364,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.withColumn("base", base)
     found = texts.filter(F.octet_length("text") >= LENGTH).select("doc", "base", "text").mapInArrow(_find_anchors, ANCHOR)
     order = ["k", "c", "doc", "pos"]
-    marks = materialise(found.repartition("k").sortWithinPartitions(*order).mapInArrow(_settle, MARK), "marks")
+    marks = materialise(found.repartition("k").sortWithinPartitions(*order).mapInArrow(_settle(MANY), MARK), "marks")
 
     packed = texts.mapInArrow(_pack, "doc long, base long, z binary")
     owner = F.shiftleft(F.shiftright("a", COPY), COPY).alias("base")
     asked = marks.filter("kind = 0").groupBy("doc", owner).agg(F.collect_list("a").alias("at"))
-    contexts = materialise(packed.join(asked, ["doc", "base"]).mapInArrow(_cut_contexts, CONTEXT), "contexts")
-    many = contexts.groupBy("k").count().filter(F.col("count") > MANY).select("k")
-    few = contexts.join(many, "k", "left_anti").repartition("k").sortWithinPartitions("k").mapInArrow(_compare_contexts, SPAN)
-    parts = few.unionByName(_compare_many(contexts.join(many, "k", "left_semi")))
+    contexts = packed.join(asked, ["doc", "base"]).mapInArrow(_cut_contexts, CONTEXT)
+    many = marks.filter("kind = 3").select(F.col("a").alias("k")).distinct()
+    crowded = many.limit(1).count() > 0
+    few = contexts
+    if crowded:
+        contexts = materialise(contexts, "contexts")
+        few = contexts.join(many, "k", "left_anti")
+    parts = few.repartition("k").sortWithinPartitions("k").mapInArrow(_compare_contexts, SPAN)
+    if crowded:
+        parts = parts.unionByName(_compare_many(contexts.join(many, "k", "left_semi")))
     parts = parts.select("doc", F.col("pos"), "a", "b", F.shiftleft(F.shiftright("pos", COPY), COPY).alias("base"))
     return _removed(marks, parts, packed, id_col)
 
 
 def _removed(marks: DataFrame, parts: DataFrame, packed: DataFrame, id_col: str) -> DataFrame:
-    whole = marks.filter("kind > 0").withColumn("pos", F.when(F.col("kind") == 1, F.col("a") + REACH).otherwise(F.lit(-1)))
+    whole = marks.filter("kind in (1, 2)").withColumn("pos", F.when(F.col("kind") == 1, F.col("a") + REACH).otherwise(F.lit(-1)))
     inside = F.shiftleft(F.shiftright(F.col("b") - 1, COPY), COPY)
     whole = whole.select("doc", "pos", "a", "b", inside.alias("base"))
     lost = whole.unionByName(parts).groupBy("doc", "base").agg(F.collect_list(F.struct("pos", "a", "b")).alias("lost"))
