@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, neardup, secrets, suffix
+from . import bpe, chat, decontaminate, exact, langid, lines, neardup, secrets, suffix, toxicity
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -16,6 +16,18 @@ def _(t):
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def fold(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+@query("op2_toxicity")
+def _(t):
+    docs = t("documents").select("doc_id", "text")
+    model = toxicity.train(docs, t("labels").filter(fold(5) != 0).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op3_byte_bpe")
 def _(t):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -45,12 +57,17 @@ def _(t):
 @query("op5_language")
 def _(t):
     docs = t("documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = fold(4) == 2
     dictionaries = langid.train_dictionaries(docs, ~held_out & F.col("lang").isNotNull())
     # The id alone says which rows were held out; it is not an input of the prediction.
     return langid.predict_language(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op6_decontaminate")
+def _(t):
+    return decontaminate.find_leaks(t("documents"), t("benchmark"))
+
+
 @query("op7_minhash")
 def _(t):
     return neardup.group_near_copies(t("documents"))
@@ -65,6 +82,24 @@ def _(t):
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+@query(
+    "op9_line_dedup",
+    """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+       w AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM l),
+       f AS (SELECT *, pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) > 1 AS dup FROM w),
+       g AS (SELECT *, dup OR coalesce(lag(dup) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM f),
+       h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g)
+       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_runs,
+              sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       FROM h GROUP BY doc_id""",
+)
+def _(t):
+    cut = lines.drop_repeated_lines(t("documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op10_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
