@@ -157,7 +157,13 @@ def test_secrets(spark, rows, documents):
     frame = rows("doc_id long, text string, found string", *[(i, t, "clash") for i, t in enumerate(texts)])
     got = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.found) for r in secrets.find_secrets(frame).collect()}
     assert got == {i: brute_secrets(t or "") for i, t in enumerate(texts)}
-    assert QUERIES["op8_secrets"](spark, PATH).count() == len(documents)
+    digests = {r.doc_id: r for r in QUERIES["op8_secrets"](spark, PATH).collect()}
+    assert len(digests) == len(documents)
+    for doc_id, text, _ in documents:
+        row, want = digests[doc_id], brute_secrets(text or "")
+        base = ",".join(s for s in want.split(",") if s.split(":")[0] in ("assign", "access", "hex"))
+        assert row.spans == want and row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(s.startswith(k) for s in want.split(",")) for k in ("assign", "access", "hex")]
 
 
 def test_trigram_queries():
