@@ -216,23 +216,24 @@ def _word_lists(sample: DataFrame) -> tuple[list[str], list[str]]:
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
     tokens = sample.select("toxic", F.split(plain, r"\s+").alias("w")).filter("size(w) > 1")
     follows = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.col("w")[i - 1].alias("before"), F.col("w")[i].alias("word")))
-    words = tokens.select("toxic", F.explode(follows).alias("x")).select("toxic", "x.*").filter("length(word) between 3 and 60").distinct()
-    totals = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    uses = tokens.select("toxic", F.explode(follows).alias("x")).select("toxic", "x.*").filter("length(word) between 3 and 60").distinct()
+    words = uses.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    words = materialise(words, "words")
+    totals = words.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     marked = F.concat(F.lit("^"), "word")
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
-    pieces = [cut(4), cut(5)]
-    parts = F.array_distinct(F.when(F.length("word") > 3, F.concat(*pieces)).otherwise(pieces[0]))
+    parts = F.array_distinct(F.when(F.length("word") > 3, F.concat(cut(4), cut(5))).otherwise(cut(4)))
     grams = words.withColumn("gram", F.explode(parts))
-    counts = grams.select("toxic", "before", "gram").distinct().groupBy("gram").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-    odds = F.log((F.col("p") + 0.5) / (totals.get(1, 0) + 1)) - F.log((F.col("n") + 0.5) / (totals.get(0, 0) + 1))
-    marks = counts.filter(F.col("p") >= LEAST_USES).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).select("gram").limit(WORDS)
-    uses = grams.join(F.broadcast(marks), "gram").groupBy("toxic", "gram", "word").agg(F.count("*").alias("u"))
-    tops = uses.filter("toxic = 1").groupBy("gram").agg(F.max_by("word", "u").alias("top"), (F.max("u") > 0.5 * F.sum("u")).alias("one"))
-    found = uses.join(F.broadcast(tops), "gram").filter("not one or word = top").groupBy("toxic", "word").count().filter("count > 1")
+    counts = grams.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    odds = F.log((F.col("p") + 0.5) / (totals["p"] + 1)) - F.log((F.col("n") + 0.5) / (totals["n"] + 1))
+    marks = counts.filter((F.col("p") >= LEAST_USES) & (odds >= LEAST_ODDS)).select("gram").limit(WORDS)
+    held = grams.join(F.broadcast(marks), "gram")
+    tops = held.groupBy("gram").agg(F.max_by("word", "p").alias("top"), (F.max("p") > 0.5 * F.sum("p")).alias("one"))
+    found = held.join(F.broadcast(tops), "gram").filter("not one or word = top").groupBy("word", "p", "n").count().filter("count > 1")
     order = [F.xxhash64("word"), "word"]
-    drawn = lambda df, n: [r["word"] for r in df.select("word").distinct().orderBy(*order).limit(n).collect()]
-    clean = {*drawn(found.filter("toxic = 0"), WORDS), *drawn(words.filter("toxic = 0"), 2 * WORDS)}
-    return [w for w in drawn(found.filter("toxic = 1"), WORDS) if w not in clean], sorted(clean, key=hash_order)
+    drawn = lambda df, n: [r["word"] for r in df.select("word").orderBy(*order).limit(n).collect()]
+    clean = {*drawn(found.filter("n > 0"), WORDS), *drawn(words.filter("n > 0"), 2 * WORDS)}
+    return [w for w in drawn(found.filter("p > 0"), WORDS) if w not in clean], sorted(clean, key=hash_order)
 
 
 def hash_order(word: str) -> int:
