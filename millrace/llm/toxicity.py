@@ -11,8 +11,9 @@ A document's three largest margins and its number of insults give the score, by
 
 Only documents are labelled. Words of toxic documents count as insults where two parts of them,
 four or five characters long, are marks; if one word makes up most uses of a mark, it counts for
-that word only. A mark follows at least ``LEAST_USES`` different words in sampled toxic documents and is far more
-frequent there than in clean ones. Every word of a clean document is a negative, those with such parts first.
+that word only. A mark follows at least ``LEAST_USES`` different words in sampled toxic documents (and as many as
+``LEAST_SHARE`` of these) and is far more frequent there than in clean ones. Words of clean documents
+are negatives: those with such parts, a draw of all, and twice the ones a first machine mistakes.
 
 The training sample is bounded: at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` documents, ``WORDS`` words
 of each kind. Scores read every whole text.
@@ -42,6 +43,8 @@ CLEAN_DOCS = 3000
 WORDS = 6000
 LANDMARKS = 192
 LEAST_USES = 10
+LEAST_SHARE = 0.015
+MINING = 2
 LEAST_ODDS = 2.5
 SPAN = 6
 DECAY = 0.6
@@ -210,7 +213,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     return texts.join(drawn, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def _word_lists(sample: DataFrame) -> tuple[list[str], list[str]]:
+def _word_lists(sample: DataFrame, least: int) -> tuple[list[str], list[str], DataFrame]:
     """Insults and other words. Parts of words are counted by the words that they follow, so that
     near copies of a text, which repeat their neighbours too, count once."""
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
@@ -226,14 +229,29 @@ def _word_lists(sample: DataFrame) -> tuple[list[str], list[str]]:
     grams = words.withColumn("gram", F.explode(parts))
     counts = grams.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (totals["p"] + 1)) - F.log((F.col("n") + 0.5) / (totals["n"] + 1))
-    marks = counts.filter((F.col("p") >= LEAST_USES) & (odds >= LEAST_ODDS)).select("gram").limit(WORDS)
+    marks = counts.filter((F.col("p") >= least) & (odds >= LEAST_ODDS)).select("gram").limit(WORDS)
     held = grams.join(F.broadcast(marks), "gram")
     tops = held.groupBy("gram").agg(F.max_by("word", "p").alias("top"), (F.max("p") > 0.5 * F.sum("p")).alias("one"))
     found = held.join(F.broadcast(tops), "gram").filter("not one or word = top").groupBy("word", "p", "n").count().filter("count > 1")
     order = [F.xxhash64("word"), "word"]
     drawn = lambda df, n: [r["word"] for r in df.select("word").orderBy(*order).limit(n).collect()]
     clean = {*drawn(found.filter("n > 0"), WORDS), *drawn(words.filter("n > 0"), 2 * WORDS)}
-    return [w for w in drawn(found.filter("p > 0"), WORDS) if w not in clean], sorted(clean, key=hash_order)
+    return [w for w in drawn(found.filter("p > 0"), WORDS) if w not in clean], sorted(clean, key=hash_order), words
+
+
+def _hardest(words: DataFrame, weights: np.ndarray, bias: float) -> list[str]:
+    """Words of clean documents that the machine takes for insults, or nearly so; the worst first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bounds = text_bytes(batch.column("word"))
+            value, sizes = margins(raw[bounds[0] : bounds[-1]], bounds - bounds[0], weights, bias)
+            found = np.full(len(sizes), -9.0)
+            found[sizes > 0] = np.maximum.reduceat(value, (np.cumsum(sizes) - sizes)[sizes > 0]) if len(value) else -9.0
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found)], ["word", "margin"])
+
+    scored = words.filter("n > 0").select("word").mapInArrow(run, "word string, margin double").filter("margin > -0.5")
+    return [r["word"] for r in scored.orderBy(F.desc("margin"), "word").limit(WORDS).collect()]
 
 
 def hash_order(word: str) -> int:
@@ -249,10 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
         return None
-    insults, others = _word_lists(sample)
+    insults, others, words = _word_lists(sample, max(LEAST_USES, round(LEAST_SHARE * counts[1])))
     if not insults or not others:
         return None
     weights, bias = train_words(insults, others)
+    for _ in range(MINING):
+        hard = _hardest(words, weights, bias)
+        others = sorted({*others, *hard}, key=hash_order)
+        weights, bias = train_words(insults, others)
     shaped = sample.select("toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_featured(weights, bias), "toxic int, f array<double>")
     rows = shaped.collect()  # five numbers for each sampled document
     x, y = np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows], float)
