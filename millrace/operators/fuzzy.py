@@ -92,7 +92,12 @@ def dedupe_fuzzy(
     same_soundex: bool = True,
     group: str = "group_name",
 ) -> DataFrame:
-    """One row per group of similar names; names without a near match are their own group."""
+    """One row per group of similar names; names without a near match are their own group.
+
+    Rows without a name resemble nothing: all of them stay, with a null group.
+    """
+    nameless = df.filter(F.col(name).isNull()).withColumn(group, F.lit(None).cast("string"))
+    df = df.filter(F.col(name).isNotNull())
     groups = connected_groups(similar_pairs(df, name, exact=exact, max_edits=max_edits, same_soundex=same_soundex), exact)
     own = F.lower(F.trim(F.col(name)))
     side = groups.withColumnsRenamed({"name": "__name", "group_name": "__group"})
@@ -102,4 +107,4 @@ def dedupe_fuzzy(
         .withColumn(group, F.coalesce("__group", "__name"))
         .select(*df.columns, group)
     )
-    return dedupe(tagged, [*exact, group], order)
+    return dedupe(tagged, [*exact, group], order).unionByName(nameless)

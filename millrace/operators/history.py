@@ -92,17 +92,21 @@ def effective_history(
     *,
     close_offset_days: int = 1,
     slice_by: str | None = "year",
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive ``[effective_start, effective_end]`` periods from dated snapshots.
 
+    Of several snapshots of a key on one day the last counts: by time, then by ``tie_break``
+    (descending), then by the tracked values, so the choice never depends on row order.
+
     A period ends the day before the next change; the current one has no end. Repeated equal
     snapshots collapse. ``slice_by`` is the calendar unit hot keys are cut by.
     """
     need(bool(keys) and all(keys), "MISSING_BUSINESS_KEY", "history needs a business key")
-    need_columns(snapshots, [*keys, *tracked, effective])
-    base = snapshots.select(
-        *keys, F.struct(*tracked).alias("__values"), F.col(effective).cast("date").alias("effective_start")
-    )
+    need_columns(snapshots, [*keys, *tracked, effective, *tie_break])
+    latest = F.struct(F.col(effective).alias("__at"), *[F.col(c).alias(f"__t{i}") for i, c in enumerate(tie_break)], F.struct(*tracked).alias("__values"))
+    days = snapshots.groupBy(*keys, F.col(effective).cast("date").alias("effective_start")).agg(F.max(latest).alias("__last"))
+    base = days.select(*keys, F.col("__last.__values").alias("__values"), "effective_start")
     unit = F.trunc("effective_start", slice_by) if slice_by else None
     seen = lag_lead(base, keys, ["effective_start"], {"__before": ("__values", 1)}, slice_by=unit)
     changes = seen.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__values")))

@@ -58,9 +58,9 @@ def join_theta(left: DataFrame, right: DataFrame, condition: str, how: str = "in
 
 
 def join_cross(left: DataFrame, right: DataFrame, max_rows: int = 1_000) -> DataFrame:
-    """Every left row with every row of a right side proven small; a larger one is refused."""
-    need(fits(right, max_rows), "CROSS_JOIN_TOO_LARGE", f"right side exceeds {max_rows} rows")
-    joined = left.alias("l").crossJoin(F.broadcast(right).alias("r"))
+    """Every left row with every row of the right side, which is broadcast where it is proven small."""
+    side = F.broadcast(right) if fits(right, max_rows) else right
+    joined = left.alias("l").crossJoin(side.alias("r"))
     return joined.select(*_both_sides(left, right))
 
 
@@ -208,11 +208,13 @@ def join_temporal(
     slice_by: str = "month",
     max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Dimension version valid at the fact's time: ``valid_from <= t < valid_to``, or open.
+    """Dimension version valid at the fact's time: the latest that began by then, unless it has closed.
 
     A small dimension is broadcast. Otherwise facts and versions are laid in one time order per
     key and the last version is carried forward; keys are cut into calendar slices (see
-    ``windows``), so no task holds a whole hot key. Versions of a key must not overlap.
+    ``windows``), so no task holds a whole hot key. Both ways give the same answer: a later version
+    ends the ones before it, of versions that begin together one is taken by its content, and null
+    keys or times match nothing.
     """
     need(how in ("left", "inner"), "INVALID_JOIN_TYPE", how)
     need_columns(facts, [*key, event_time])
@@ -220,13 +222,17 @@ def join_temporal(
     payload = F.struct(
         F.col(valid_to).alias("__to"), *[F.col(c).alias(f"__c_{c}") for c in columns]
     )
+    known = versions.dropna(subset=[*key, valid_from]).withColumn("__v", payload)
+    versions = known.groupBy(*key, valid_from).agg(F.max_by("__v", F.xxhash64(F.to_json("__v"))).alias("__v"))
+    payload = F.col("__v")
     if fits(versions, max_broadcast):
-        side = versions.select(
-            *[F.col(k).alias(f"__k_{k}") for k in key], F.col(valid_from).alias("__from"), payload.alias("__v")
-        )
-        cond = (F.col(event_time) >= F.col("__from")) & (
-            F.col("__v.__to").isNull() | (F.col(event_time) < F.col("__v.__to"))
+        later = Window.partitionBy(*key).orderBy(valid_from)
+        side = versions.withColumn("__next", F.lead(valid_from).over(later)).select(
+            *[F.col(k).alias(f"__k_{k}") for k in key], F.col(valid_from).alias("__from"), "__next", "__v"
         )
+        time = F.col(event_time)
+        cond = (time >= F.col("__from")) & (F.col("__next").isNull() | (time < F.col("__next")))
+        cond = cond & (F.col("__v.__to").isNull() | (time < F.col("__v.__to")))
         for k in key:
             cond = cond & (F.col(k) == F.col(f"__k_{k}"))
         joined = facts.join(F.broadcast(side), cond, how)

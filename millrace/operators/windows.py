@@ -398,12 +398,13 @@ def rolling_days(
     return found.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for n, v in out.items()])
 
 
-def lookback(df: DataFrame, window_step, emit: Column) -> DataFrame:
+def lookback(df: DataFrame, window_step, emit: Column, context: Column) -> DataFrame:
     """Run a window step over the context rows, then emit only the wanted ones.
 
-    The filter reads a column the window does not partition by, so it stays above the window.
+    ``context`` holds for the rows to emit and all that their windows reach back to. It is applied
+    below the window, so with a bound on a plain column it reaches the scan.
     """
-    return window_step(df).filter(emit)
+    return window_step(df.filter(context)).filter(emit)
 
 
 # -- declarative window list --------------------------------------------------

@@ -139,6 +139,7 @@ def _(t):
         t.events.select("event_id", "user_id", "ts"),
         lambda df: op.rolling_days(df, ["user_id"], "ts", {"n_7d": ("count", "event_id")}, 7),
         F.col("ts").cast("date") == F.lit("2024-01-15").cast("date"),
+        F.col("ts").between(F.lit("2024-01-08").cast("timestamp_ntz"), F.lit("2024-01-16").cast("timestamp_ntz")),
     )
     return out.select("event_id", "n_7d")
 

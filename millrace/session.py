@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import need
+
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -29,9 +31,11 @@ _LOCAL_ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
+    """The cluster's shared folder; one of this machine only for a local master that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        need(master.startswith("local") and "cluster" not in master, "MISSING_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="millrace-")

@@ -123,3 +123,10 @@ def test_business_days(spark, days):
         d, m = r["d"], in_month(r["d"])
         assert (r["p"], r["p4"], r["n"], r["n6"]) == (step(d, -1), step(d, -4), step(d, 1), step(d, 6)), d
         assert (r["f"], r["l"], r["x"], r["none"], r["gap"]) == (m[0], m[-1], m[2], None, 6), d
+
+
+def test_alias_with_offset():
+    from millrace.functions.dates import split_token
+
+    assert split_token(" mtd_start-1 ") == ("BOM", -1) and split_token("LAST_COMPLETED_MONTH_END-1") == ("EOM", -2)
+    assert split_token("T+10") == ("T", 10) and split_token("TODAY") == ("TODAY", 0) and split_token("T-") == ("T-", 0)
