@@ -308,11 +308,11 @@ def _featured(weights: np.ndarray, bias: float):
     return run
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with ``toxicity`` (0 to 1) in ``_score``; all their columns stay."""
-    if model is None:
-        return docs.select("*", F.lit(0.0).alias("_score"))
+def _scored(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """``row`` (all columns of a document) and its ``score``."""
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    if model is None:
+        return docs.select(payload.alias("row"), F.lit(0.0).alias("score"))
     shaped = docs.select(payload.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = T.StructType([shaped.schema["row"], T.StructField("score", T.DoubleType())])
 
@@ -322,5 +322,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             z = ((found - model.scale[0]) / model.scale[1]) @ model.slopes[:-1] + model.slopes[-1]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["row", "score"])
 
-    scored = shaped.mapInArrow(run, schema)
-    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("score").alias("_score"))
+    return shaped.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "_score") -> DataFrame:
+    """The documents with their toxicity (0 to 1) in ``out``, which replaces a column of that name."""
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != out]
+    return _scored(docs, model, text_col).select(*columns, F.col("score").alias(out))
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The documents that score below the bound, with the columns they came with."""
+    return _scored(docs, model, text_col).filter(F.col("score") < below).select("row.*")

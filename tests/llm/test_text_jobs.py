@@ -138,6 +138,8 @@ def test_toxicity_changed_insults(rows):
     assert sum(s >= 0.5 for d, s in found if d >= 100) <= 1
     none = toxicity.train(train_docs, label_rows.filter("toxic = 0"))
     assert none is None and {r._score for r in toxicity.score(train_docs, None).collect()} == {0.0}
+    clean = toxicity.keep_clean(train_docs, model)
+    assert clean.columns == train_docs.columns and {r._score for r in clean.collect()} == {"clash", None}
 
 
 def test_margins_follow_the_kernel():
