@@ -19,8 +19,7 @@ TOXIC_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the bound; the model learns from the labels of documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.filter(F.col("_score") < TOXIC_FROM).drop("_score")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels), below=TOXIC_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
