@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, need, need_columns
-from .windows import dedupe, order_name
+from .windows import dedupe, descending, order_columns, order_name
 
 
 class MergeResult(NamedTuple):
@@ -49,23 +49,34 @@ def apply_changes(
     *,
     upsert_values: Sequence[str] = ("UPSERT",),
     delete_values: Sequence[str] = ("DELETE",),
+    truncate_values: Sequence[str] = ("TRUNCATE",),
     deletes: str = "hard_delete",
     deleted_flag: str = "is_deleted",
 ) -> MergeResult:
     """Last change per key wins; the report names every inserted, updated and deleted key.
 
     ``deletes``: ``hard_delete`` removes the row, ``soft_delete`` marks it, ``ignore`` keeps it.
+    A truncation needs no key: it deletes every row of the target and every change up to it, in
+    ``order``; changes at the same place in the order are before it.
     """
     need(deletes in ("hard_delete", "soft_delete", "ignore"), "INVALID_DELETE_HANDLING", deletes)
     need(bool(order), "MISSING_ORDER", "changes need an order")
     need_columns(target, keys)
     need_columns(changes, [*keys, op, *[order_name(o) for o in order]])
-    unknown = changes.filter(~F.col(op).isin(*upsert_values, *delete_values) | F.col(op).isNull())
-    need(unknown.isEmpty(), "INVALID_MERGE_OPERATION", f"changes use operations outside {upsert_values, delete_values}")
+    known = (*upsert_values, *delete_values, *truncate_values)
+    unknown = changes.filter(~F.col(op).isin(*known) | F.col(op).isNull())
+    need(unknown.isEmpty(), "INVALID_MERGE_OPERATION", f"changes use operations outside {known}")
+    newest_first = [o if " " in o.strip() else f"{o} desc" for o in order]
+    truncations = changes.filter(F.col(op).isin(*truncate_values))
+    changes = changes.filter(~F.col(op).isin(*truncate_values))
+    mark = None if deletes == "ignore" else truncations.orderBy(*order_columns(newest_first)).select(*map(order_name, order)).first()
+    cleared = mark is not None
+    if cleared:
+        changes = changes.filter(_comes_first(newest_first, mark))
 
     fields = [c for c in target.columns if c != deleted_flag]
     present = [c for c in fields if c in changes.columns]
-    last = dedupe(changes, keys, [o if " " in o.strip() else f"{o} desc" for o in order])
+    last = dedupe(changes, keys, newest_first)
     ks = [f"__k{i}" for i in range(len(keys))]
     left = target.select(*[F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)], F.struct(*target.columns).alias("old"))
     right = last.select(
@@ -74,13 +85,13 @@ def apply_changes(
         F.struct(*present).alias("new"),
     )
     both = left.join(right, ks, "full_outer")
-    has_old, has_new, delete = F.col("old").isNotNull(), F.col("new").isNotNull(), F.coalesce("__delete", F.lit(False))
+    has_old, has_new, delete = F.col("old").isNotNull(), F.col("new").isNotNull(), F.coalesce("__delete", F.lit(cleared))
     put = has_new & ~delete
 
     def value(c: str) -> Column:
         kind = target.schema[c].dataType
         if c not in present:
-            return F.col("old")[c]
+            return F.when(~(put & F.lit(cleared)), F.col("old")[c])
         return F.when(put, F.col("new")[c].cast(kind)).otherwise(F.col("old")[c])
 
     out = [value(c).alias(c) for c in fields]
@@ -103,6 +114,20 @@ def apply_changes(
     return MergeResult(state, report.filter(F.col("action").isNotNull()))
 
 
+def _comes_first(order: Sequence[str], mark: Row) -> Column:
+    """Rows that stand before ``mark`` in the order; nulls stand last where it descends, else first."""
+    before, equal = F.lit(False), F.lit(True)
+    for item, value in zip(order, mark, strict=True):
+        c, v = F.col(order_name(item)), F.lit(value)
+        if descending(item):
+            ahead = c.isNotNull() if value is None else F.coalesce(c > v, F.lit(False))
+        else:
+            ahead = F.lit(False) if value is None else F.coalesce(c < v, F.lit(True))
+        before = before | (equal & ahead)
+        equal = equal & c.eqNullSafe(v)
+    return before
+
+
 def bootstrap_or_apply(
     target: DataFrame, snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], op: str, order: Sequence[str], **options
 ) -> DataFrame:

@@ -40,15 +40,22 @@ def sample(df: DataFrame, fraction: float, *, key: str | None = None, seed: int
     return df.sample(withReplacement=False, fraction=share, seed=seed)
 
 
-def union_all(frames: Sequence[DataFrame], *, positional: bool = False, allow_missing: bool = False) -> DataFrame:
+def union_all(frames: Sequence[DataFrame], *, positional: bool = True, allow_missing: bool = False) -> DataFrame:
+    """All rows under the first input's names: columns meet by position, as in SQL, or by name.
+
+    ``allow_missing`` joins by name and fills columns that an input lacks with nulls.
+    """
     need(bool(frames), "MISSING_INPUT", "union needs inputs")
+    positional = positional and not allow_missing
+    widths = {len(f.columns) for f in frames}
+    need(not positional or len(widths) == 1, "COLUMN_COUNT_DIFFERS", f"{sorted(widths)}")
     out = frames[0]
     for f in frames[1:]:
         out = out.union(f) if positional else out.unionByName(f, allowMissingColumns=allow_missing)
     return out
 
 
-def union_distinct(frames: Sequence[DataFrame], *, positional: bool = False) -> DataFrame:
+def union_distinct(frames: Sequence[DataFrame], *, positional: bool = True) -> DataFrame:
     return union_all(frames, positional=positional).distinct()
 
 

@@ -92,6 +92,20 @@ def _(t):
     return op.effective_history(snapshots, ["o_custkey"], ["priority"], "d")
 
 
+@query(
+    "hist_scd2_same_day",
+    """WITH d AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS effective_start, o_orderpriority AS priority FROM orders
+         QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+       c AS (SELECT * FROM d QUALIFY lag(priority) OVER (PARTITION BY o_custkey ORDER BY effective_start) IS DISTINCT FROM priority)
+       SELECT o_custkey, priority, effective_start, CAST(lead(effective_start) OVER w - INTERVAL 1 DAY AS DATE) AS effective_end, lead(effective_start) OVER w IS NULL AS is_current
+       FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY effective_start)""",
+)
+def _(t):
+    # Several orders of a customer on one day: the last of the day counts.
+    snapshots = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("d"), F.col("o_orderpriority").alias("priority"))
+    return op.effective_history(snapshots, ["o_custkey"], ["priority"], "d", tie_break=["o_orderkey"])
+
+
 BITEMPORAL_SQL = """
 WITH r AS (SELECT o_custkey, o_orderdate AS eff, o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders),
 k AS (SELECT * FROM r WHERE rn = 1)
@@ -201,6 +215,22 @@ def _(t):
     return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
+@query(
+    "mrg_cdc_truncate",
+    """SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY'
+       UNION ALL SELECT s_suppkey + 100000000, 'SUPPLIER', round(s_acctbal, 2) FROM supplier""",
+)
+def _(t):
+    # The table is emptied after the first changes; machinery and suppliers come (back) afterwards.
+    early = customer_changes(t).filter("c_mktsegment <> 'SUPPLIER'")
+    back = customers(t).filter("c_mktsegment = 'MACHINERY'").withColumns({"op": F.lit("UPSERT"), "seq": F.lit(4)})
+    late = customer_changes(t).filter("c_mktsegment = 'SUPPLIER'").withColumn("seq", F.lit(4))
+    emptied = t.region.agg(F.lit(None).cast("long").alias("c_custkey"), F.lit("TRUNCATE").alias("op"), (F.count(F.lit(1)) * 0 + 3).cast("int").alias("seq"))
+    changes = early.unionByName(back).unionByName(late).unionByName(emptied, allowMissingColumns=True)
+    out = merge.apply_changes(customers(t), changes, ["c_custkey"], "op", ["seq"]).state
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
 @query(
     "mrg_cdc_report",
     """SELECT c_custkey, 'updated' AS action FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 'deleted' FROM customer WHERE c_mktsegment = 'FURNITURE'

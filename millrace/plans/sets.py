@@ -35,7 +35,16 @@ def _(t):
 def _(t):
     a = t.customer.select(F.col("c_nationkey").alias("nation_key"), F.col("c_acctbal").alias("balance"), F.lit("customer").alias("kind"))
     b = t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation_key"))
-    return op.union_all([a, b])
+    return op.union_all([a, b], positional=False)
+
+
+@query(
+    "set_union_positional",
+    "SELECT c_nationkey AS nation_key, c_acctbal AS balance, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, s_acctbal, 'supplier' FROM supplier",
+)
+def _(t):
+    a = t.customer.select(F.col("c_nationkey").alias("nation_key"), F.col("c_acctbal").alias("balance"), F.lit("customer").alias("kind"))
+    return op.union_all([a, t.supplier.select("s_nationkey", "s_acctbal", F.lit("supplier"))])
 
 
 @query(
@@ -44,7 +53,7 @@ def _(t):
 )
 def _(t):
     a = t.lineitem.select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"))
-    return op.union_distinct([a, t.part.select("p_partkey", F.lit("A"))], positional=True)
+    return op.union_distinct([a, t.part.select("p_partkey", F.lit("A"))])
 
 
 @query(

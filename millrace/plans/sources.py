@@ -49,7 +49,7 @@ def _(t):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("status"),
     )
     tables.write_files(lines, good, fmt="csv", options={"header": "true"})
-    tables.write_files(lines.coalesce(1).withColumnRenamed("day", "date"), other, fmt="csv", options={"header": "true"})
+    tables.write_files(lines.repartitionByRange("k").withColumnRenamed("day", "date"), other, fmt="csv", options={"header": "true"})
     load = files.read_tolerant_csv(t.spark, [good, other], CSV_SCHEMA)
     out = load.accepted.withColumn("outcome", F.lit("row"))
     out = out.unionByName(load.rejected.select(F.lit("corrupt").alias("outcome")), allowMissingColumns=True)
@@ -262,6 +262,32 @@ def _(t):
     return t.spark.read.parquet(path).select("event_id", "value", F.col("ds").cast("date").alias("ds"))
 
 
+@query(
+    "snk_merge_moved",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS status FROM orders""",
+)
+def _(t):
+    path = scratch_path(t.spark, "merge-moved")
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    tables.overwrite_partitions(rows.drop("o_orderpriority"), path, ["status"])
+    # Urgent orders change their partition; that of status P is left without rows.
+    delta = rows.filter("o_orderpriority = '1-URGENT' OR status = 'P'").select("o_orderkey", F.lit("X").alias("status"), F.lit(1).alias("seq"))
+    for _run in range(2):
+        tables.merge_files(t.spark, path, delta, ["o_orderkey"], ["seq desc"], ["status"])
+    return t.spark.read.parquet(path)
+
+
+@query("snk_compact_partitions", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderstatus = 'F' AS clustered FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "small-files")
+    t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").repartition(24).write.partitionBy("o_orderstatus").parquet(path)
+    tables.compact(t.spark, path, target_files=2, cluster_by=["o_custkey"], partition={"o_orderstatus": "F"}, partition_by=["o_orderstatus"])
+    rows = t.spark.read.parquet(path)
+    files = rows.select("o_orderstatus", F.col("_metadata.file_name").alias("f")).groupBy("o_orderstatus").agg(F.count_distinct("f").alias("n"))
+    small = F.broadcast(files.select("o_orderstatus", (F.col("n") <= 2).alias("clustered")))  # one row for each partition
+    return rows.join(small, "o_orderstatus").select("o_orderkey", "o_custkey", "o_orderstatus", "clustered")
+
+
 @query(
     "snk_jdbc",
     """WITH r AS (SELECT CASE WHEN l_returnflag = 'A' AND l_quantity = 1 THEN NULL ELSE l_orderkey END AS k, l_shipdate, l_quantity, l_extendedprice FROM lineitem)

@@ -88,7 +88,23 @@ def _(t):
     return fuzzy.dedupe_fuzzy(rows, "p_name", exact=["p_type"], order=["p_partkey"], max_edits=2, same_soundex=False)
 
 
-@query("win_dedupe_soundex")
+# The code of a word: its first letter, then the classes of the others without vowels, H, W and repeats.
+SOUNDEX_SQL = """
+WITH RECURSIVE codes AS (SELECT DISTINCT p_brand, lower(trim(p_name)) AS n,
+  regexp_replace(translate(upper(trim(p_name)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202'), '[^0-9]', '0', 'g') AS c FROM part),
+runs AS (SELECT p_brand, n, replace(left(c, 1), '7', '0') || replace(substr(c, 2), '7', '') AS c FROM codes),
+single AS (SELECT p_brand, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,
+  '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS c FROM runs),
+names AS (SELECT p_brand, n, CASE WHEN regexp_matches(n, '^[a-z]') THEN upper(left(n, 1)) || left(replace(substr(c, 2), '0', '') || '000', 3) ELSE n END AS sound FROM single),
+edges AS (SELECT a.p_brand, a.n AS x, b.n AS y FROM names a JOIN names b ON a.p_brand = b.p_brand AND a.sound = b.sound AND a.n <> b.n AND levenshtein(a.n, b.n) <= 1),
+reach AS (SELECT p_brand, n AS x, n AS y FROM names UNION SELECT r.p_brand, r.x, e.y FROM reach r JOIN edges e ON r.p_brand = e.p_brand AND r.y = e.x),
+grp AS (SELECT p_brand, x, min(y) AS group_name FROM reach GROUP BY 1, 2)
+SELECT p_partkey, p_name, p_brand, group_name FROM (
+  SELECT p.p_partkey, p.p_name, p.p_brand, group_name, row_number() OVER (PARTITION BY p.p_brand, group_name ORDER BY p_partkey) AS rn
+  FROM part p JOIN grp g ON p.p_brand = g.p_brand AND lower(trim(p.p_name)) = g.x) WHERE rn = 1"""
+
+
+@query("win_dedupe_soundex", SOUNDEX_SQL)
 def _(t):
     rows = t.part.select("p_partkey", "p_name", "p_brand")
     return fuzzy.dedupe_fuzzy(rows, "p_name", exact=["p_brand"], order=["p_partkey"], max_edits=1)

@@ -14,7 +14,7 @@ from ..functions.keys import row_hash
 from ..operators.columns import Split
 from ..operators.merge import upsert
 from ..operators.windows import dedupe
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 
 
 def write_files(
@@ -49,19 +49,36 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str],
 def merge_files(
     spark: SparkSession, path: str, delta: DataFrame, keys: Sequence[str], order: Sequence[str], partition_by: Sequence[str]
 ) -> None:
-    """Upsert into a partitioned table: rewrite only the partitions the delta's keys touch.
+    """Upsert into a partitioned table: rewrite the partitions the delta names or its keys stand in.
 
-    Keys must determine their partition. The new partitions are staged in the shared folder and
-    read back before the overwrite, so the job never reads the files it replaces.
+    A key that moves to another partition leaves the old one, which is rewritten too, or removed
+    where nothing stays in it. The new partitions are staged in the shared folder and read back
+    before the overwrite, so the job never reads the files it replaces, and running it again after
+    a failure gives the same table.
     """
     need_columns(delta, [*keys, *partition_by])
-    touched = delta.select(*partition_by).distinct()
     target = spark.read.parquet(path)
-    current = target.join(touched, list(partition_by), "left_semi")
-    merged = upsert(current, delta, keys, order)
-    stage = scratch_path(spark, "merge")
-    merged.write.mode("overwrite").parquet(stage)
-    overwrite_partitions(spark.read.schema(merged.schema).parquet(stage), path, partition_by)
+    kinds = [F.col(c).cast(target.schema[c].dataType).alias(c) for c in partition_by]
+    held = target.select(*keys, *partition_by).join(delta.select(*keys).distinct(), list(keys), "left_semi")
+    touched = materialise(delta.select(*kinds).union(held.select(*partition_by)).distinct(), "merge-touched")
+    merged = materialise(upsert(_in_partitions(target, touched, partition_by), delta, keys, order), "merge")
+    left = merged.select(*kinds).distinct()
+    emptied = _in_partitions(touched, left, partition_by, "left_anti")
+    files = target.select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("f"))
+    folders = [] if emptied.isEmpty() else _in_partitions(files, emptied, partition_by).select("f").distinct().collect()
+    overwrite_partitions(merged, path, partition_by)
+    for row in folders:  # names of emptied partitions only
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["f"]))  # type: ignore[union-attr]
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # type: ignore[attr-defined]
+
+
+def _in_partitions(rows: DataFrame, partitions: DataFrame, partition_by: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """Rows in (or with ``left_anti`` outside) the named partitions; the null partition is one of them."""
+    named = partitions.select(*[F.col(c).alias(f"__p_{c}") for c in partition_by])
+    same = F.lit(True)
+    for c in partition_by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+    return rows.join(named, same, how)
 
 
 def prepare_upsert(df: DataFrame, keys: Sequence[str], updated_at: str, tie: Sequence[str] = ()) -> Split:
@@ -180,18 +197,31 @@ def evolve_write(df: DataFrame, path: str, policy: str = "strict", mode: str = "
     write_files(padded, path, mode=mode)
 
 
-def compact(spark: SparkSession, path: str, *, target_files: int, cluster_by: Sequence[str] = (), partition: Mapping[str, object] | None = None) -> str:
-    """Rewrite files into fewer, clustered ones beside the original; returns the new path."""
+def compact(
+    spark: SparkSession, path: str, *, target_files: int, cluster_by: Sequence[str] = (),
+    partition: Mapping[str, object] | None = None, partition_by: Sequence[str] = (),
+) -> str:
+    """Replace a table's files by fewer, clustered ones; returns its path.
+
+    A table in partitions keeps them: ``partition_by`` names all its partition columns, and
+    ``partition`` limits the work to some of them, leaving the others as they are. The rows
+    are copied to the shared folder first, from which a failed replacement can be repeated.
+    """
+    need(not partition or bool(partition_by), "MISSING_PARTITIONS", "a part of a table needs its partition columns")
     rows = spark.read.parquet(path)
+    need_columns(rows, [*partition_by, *(partition or {})])
+    outside = [c for c in partition or {} if c not in partition_by]
+    need(not outside, "NOT_A_PARTITION", f"{outside}")
     for c, v in (partition or {}).items():
         rows = rows.filter(F.col(c) == F.lit(v))
-    if cluster_by:
-        rows = rows.repartitionByRange(target_files, *cluster_by).sortWithinPartitions(*cluster_by)
+    inner = [*partition_by, *cluster_by]
+    staged = materialise(rows, "compact")
+    laid_out = staged.repartitionByRange(target_files, *inner).sortWithinPartitions(*inner) if inner else staged.repartition(target_files)
+    if partition_by:
+        overwrite_partitions(laid_out, path, partition_by)
     else:
-        rows = rows.repartition(target_files)
-    out = scratch_path(spark, "compact")
-    rows.write.mode("overwrite").parquet(out)
-    return out
+        write_files(laid_out, path)
+    return path
 
 
 def table_ddl(

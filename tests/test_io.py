@@ -151,6 +151,27 @@ def test_merge_files_touches_only_its_partitions(spark, tmp_path, rows, values):
     assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t" / "ds=2024-01-02").iterdir()} == before
 
 
+def test_merge_files_follows_a_key_to_its_new_partition(spark, tmp_path, rows, values):
+    path = str(tmp_path / "t")
+    tables.overwrite_partitions(rows("id int, v int, ds date", (1, 1, "2024-01-01"), (2, 2, "2024-01-02"), (3, 3, "2024-01-02"), (4, 4, None)), path, ["ds"])
+    delta = rows("id int, v int, ds date", (1, 9, "2024-01-02"), (5, 5, None))
+    for _ in range(2):
+        tables.merge_files(spark, path, delta, ["id"], ["v desc"], ["ds"])
+    assert values(spark.read.parquet(path), "id", "v") == [(1, 9), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["ds=2024-01-02", "ds=__HIVE_DEFAULT_PARTITION__"]
+
+
+def test_compact_keeps_partitions(spark, tmp_path, rows, values):
+    path = str(tmp_path / "t")
+    tables.overwrite_partitions(rows("id int, ds date", *[(i, f"2024-01-0{1 + i % 2}") for i in range(20)]).repartition(5), path, ["ds"])
+    done = tables.compact(spark, path, target_files=1, cluster_by=["id"], partition={"ds": date(2024, 1, 1)}, partition_by=["ds"])
+    assert done == path and sorted(values(spark.read.parquet(path), "id")) == [(i,) for i in range(20)]
+    assert len(list((tmp_path / "t" / "ds=2024-01-01").glob("*.parquet"))) == 1
+    assert len(list((tmp_path / "t" / "ds=2024-01-02").glob("*.parquet"))) > 1
+    with pytest.raises(ConfigError, match="MISSING_PARTITIONS"):
+        tables.compact(spark, path, target_files=1, partition={"ds": date(2024, 1, 1)})
+
+
 def test_backfill_plan(spark):
     plan = loads.plan_chunks(spark, date(2024, 1, 1), date(2024, 1, 10), 4).collect()
     assert [(r["chunk_start"].day, r["chunk_end"].day) for r in plan] == [(1, 4), (5, 8), (9, 10)]

@@ -224,3 +224,18 @@ def test_next_asof(rows, values):
         1: datetime(2024, 4, 1), 2: datetime(2024, 2, 29), 3: datetime(2024, 6, 30), 4: datetime(2025, 1, 1), 5: datetime(2024, 3, 11, 4),
         6: datetime(2024, 5, 6), 7: datetime(2024, 3, 10, 7), 8: datetime(2024, 5, 1),
     }
+
+
+@pytest.mark.parametrize("deletes,left", [("hard_delete", [(2, "b2", None), (5, "e", None)]), ("ignore", [(1, "a", "x"), (2, "b2", "y"), (3, "c", "z"), (4, "d", None), (5, "e", None)])])
+def test_truncate_clears_what_came_before(rows, values, deletes, left):
+    target = rows("id int, v string, own string", (1, "a", "x"), (2, "b", "y"), (3, "c", "z"))
+    changes = rows(
+        "id int, v string, op string, seq int",
+        (4, "d", "UPSERT", 1), (None, None, "TRUNCATE", 1), (None, None, "TRUNCATE", 3), (3, "c3", "DELETE", 3), (2, "b2", "UPSERT", 4), (5, "e", "UPSERT", 4),
+    )
+    done = merge.apply_changes(target, changes, ["id"], "op", ["seq"], deletes=deletes)
+    assert values(done.state, "id", "v", "own") == left
+    soft = merge.apply_changes(target, changes, ["id"], "op", ["seq desc"], deletes="soft_delete").state
+    assert values(soft, "id", "is_deleted") == [(1, True), (2, False), (3, True), (5, False)]
+    if deletes == "hard_delete":
+        assert values(done.report, "id", "action") == [(1, "deleted"), (2, "updated"), (3, "deleted"), (5, "inserted")]
