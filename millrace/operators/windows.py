@@ -155,12 +155,20 @@ def with_halo(
         lists = edges.groupBy(*keys, SLICE).agg(
             F.sort_array(F.collect_list(F.struct(F.col("__pos"), packed.alias("__row")))).alias("__near")
         )
-        frame = per_key.rowsBetween(-n, -1) if backwards else per_key.rowsBetween(1, n)
-        gathered = F.collect_list("__near").over(frame)
-        nearest = F.reverse(gathered) if backwards else gathered
+        # A slice sends its edge rows to the slices beyond it until n rows lie between; the window
+        # over a key's slices sees their sizes, never their rows.
+        frame = per_key.rowsBetween(1, n) if backwards else per_key.rowsBetween(-n, -1)
+        beyond = F.collect_list(F.struct(F.col(SLICE).alias("to"), F.size("__near").alias("rows"))).over(frame)
+        lists = lists.withColumn("__beyond", beyond if backwards else F.reverse(beyond))
+
+        def left(place: Column, n: int = n) -> Column:
+            between = F.aggregate(F.slice("__beyond", 1, place), F.lit(0), lambda total, x: total + x["rows"])
+            return F.lit(n) - between
+
+        targets = F.transform("__beyond", lambda x, i: F.struct(x["to"].alias("to"), left(i).alias("rows")))
         halo = (
-            lists.withColumn("__rows", F.slice(F.flatten(nearest), 1, n))
-            .select(SLICE, F.explode("__rows").alias("__item"))
+            lists.select("__near", F.explode(F.filter(targets, lambda x: x["rows"] > 0)).alias("__target"))
+            .select(F.col("__target.to").alias(SLICE), F.explode(F.slice("__near", 1, F.col("__target.rows"))).alias("__item"))
             .select(SLICE, "__item.__row.*")
             .withColumn(MAIN, F.lit(False))
         )
@@ -410,20 +418,22 @@ def lookback(df: DataFrame, window_step, emit: Column, context: Column) -> DataF
 # -- declarative window list --------------------------------------------------
 
 FRAME = re.compile(
-    r"(rows|range)\s+between\s+(unbounded|\d+)\s+preceding\s+and\s+(current\s+row|\d+\s+following)", re.I
+    r"(rows|range)\s+between\s+(unbounded|\d+)(?:\s+days?)?\s+preceding\s+and\s+(current\s+row|\d+\s+following)", re.I
 )
 RANKS = ("row_number", "rank", "dense_rank", "cume_dist", "percent_rank")
 AGGREGATES = ("sum", "avg", "min", "max", "count")
 
 
 def _frame(spec: Mapping[str, object]) -> tuple[int | None, int]:
-    """Rows before (None: all of them) and after the current row."""
+    """Rows before (None: all of them) and after the current row; for a time frame, days before and -1."""
     text = str(spec.get("frame", "rows between unbounded preceding and current row")).strip()
     match = FRAME.fullmatch(text)
     need(match is not None, "INVALID_FRAME", text)
-    need(match.group(1).lower() == "rows", "INVALID_FRAME", "time frames: use rolling_days")
     end = match.group(3).lower()
     before = None if match.group(2).lower() == "unbounded" else int(match.group(2))
+    if match.group(1).lower() == "range":
+        need(before is not None and end.startswith("current"), "INVALID_FRAME", f"{text}: a time frame reaches a number of days back")
+        return before, -1
     return before, 0 if end.startswith("current") else int(end.split()[0])
 
 
@@ -432,13 +442,15 @@ def apply_specs(
 ) -> DataFrame:
     """Add one column per ``{column, function, argument, partition_by, order_by, frame}``.
 
-    Specs over the same keys and order share one pass per kind: ranks, totals from the start, and
-    everything that looks a bounded number of rows around.
+    Specs over the same keys and order share one pass per kind: ranks, totals from the start, time
+    frames (``range between 7 days preceding and current row``, over one time column), and
+    everything that looks a bounded number of rows around. A window over the whole table needs
+    ``slice_by``: its rows are spread by slice, and only one row for each slice meets in one task.
     """
     groups: dict[tuple, list[Mapping[str, object]]] = {}
     for spec in specs:
         keys, order = tuple(spec.get("partition_by", ())), tuple(spec.get("order_by", ()))
-        need(bool(keys), "MISSING_PARTITION", f"{spec['column']}: a window over the whole table is refused")
+        need(bool(keys) or slice_by is not None, "MISSING_PARTITION", f"{spec['column']}: a window over the whole table needs slices")
         groups.setdefault((keys, order), []).append(spec)
     for (keys, order), members in groups.items():
         df = _apply_group(df, list(keys), list(order), members, slice_by)
@@ -448,6 +460,8 @@ def apply_specs(
 def _apply_group(df, keys, order, specs, slice_by):
     ranks: dict[str, str] = {}
     totals: dict[str, tuple[str, Column]] = {}
+    averages: list[str] = []
+    days: dict[int, dict[str, tuple[str, str]]] = {}
     near: dict[str, tuple[str, str | None, int, int]] = {}
     for spec in specs:
         name, fn, arg = str(spec["column"]), str(spec["function"]).lower(), spec.get("argument")
@@ -459,10 +473,18 @@ def _apply_group(df, keys, order, specs, slice_by):
             need(fn in AGGREGATES, "INVALID_FUNCTION", fn)
             before, after = _frame(spec)
             value = F.col(str(arg)) if arg and arg != "*" else F.lit(1)
+            if after == -1:
+                need(len(order) == 1 and not descending(order[0]), "INVALID_FRAME", f"{name}: a time frame needs one ascending time column")
+                days.setdefault(before, {})[name] = (fn, str(arg) if arg and arg != "*" else order_name(order[0]))
+                continue
             if before is not None:
                 near[name] = (fn, None if arg in (None, "*") else str(arg), before, after)
                 continue
-            need(after == 0 and fn != "avg", "INVALID_FRAME", f"{fn} from the start ends at the current row")
+            need(after == 0, "INVALID_FRAME", f"{fn} from the start ends at the current row")
+            if fn == "avg":
+                averages.append(name)
+                totals |= {f"__sum_{name}": ("sum", value), f"__n_{name}": ("sum", value.isNotNull().cast("long"))}
+                continue
             totals[name] = ("sum", value.isNotNull().cast("long")) if fn == "count" else (fn, value)
     if near:
         df = _nearby(df, keys, order, near, slice_by)
@@ -470,6 +492,10 @@ def _apply_group(df, keys, order, specs, slice_by):
         df = rank_family(df, keys, order, ranks, slice_by=slice_by)
     if totals:
         df = running(df, keys, order, totals, slice_by=slice_by)
+    for name in averages:
+        df = df.withColumn(name, F.try_divide(f"__sum_{name}", f"__n_{name}")).drop(f"__sum_{name}", f"__n_{name}")
+    for length, members in days.items():
+        df = rolling_days(df, keys, order_name(order[0]), members, length)
     return df
 
 

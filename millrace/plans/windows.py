@@ -181,6 +181,31 @@ def _(t):
     return out.select("event_id", F.round("near_sum", 4).alias("near_sum"), "two_back", "number", "seen")
 
 
+@query(
+    "win_spec_frames",
+    """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW), 4) AS sum_7d,
+              count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW) AS n_3d,
+              avg(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS avg_so_far,
+              lag(event_id, 3) OVER (ORDER BY ts, event_id) AS three_back, max(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top
+       FROM events""",
+)
+def _(t):
+    user = {"partition_by": ["user_id"], "order_by": ["ts"]}
+    table = {"partition_by": [], "order_by": ["ts", "event_id"]}
+    out = op.apply_specs(
+        t.events,
+        [
+            {"column": "sum_7d", "function": "sum", "argument": "value", "frame": "range between 7 days preceding and current row", **user},
+            {"column": "n_3d", "function": "count", "argument": "*", "frame": "range between 3 days preceding and current row", **user},
+            {"column": "avg_so_far", "function": "avg", "argument": "user_id", "partition_by": ["event_type"], "order_by": ["ts", "event_id"]},
+            {"column": "three_back", "function": "lag", "argument": "event_id", "offset": 3, **table},
+            {"column": "top", "function": "max", "argument": "value", **table},
+        ],
+        slice_by=day(),
+    )
+    return out.select("event_id", F.round("sum_7d", 4).alias("sum_7d"), "n_3d", "avg_so_far", "three_back", "top")
+
+
 @query(
     "win_rank_family",
     """SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS drnk, ntile(7) OVER w2 AS bin, cume_dist() OVER w AS cd, percent_rank() OVER w AS pr, row_number() OVER w2 AS rn
