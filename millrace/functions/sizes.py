@@ -1,20 +1,28 @@
-"""Checked sizes: nothing is broadcast unless its row count has been proven small."""
+"""Checked sizes: nothing is broadcast unless its rows and bytes have been proven few."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
+#: Bytes of a field beside its text, and of a row beside its fields.
+FIELD_BYTES, ROW_BYTES = 8, 32
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the frame has at most ``max_rows`` rows and ``max_bytes`` bytes; reads no more than one row beyond."""
+    fixed = ROW_BYTES + FIELD_BYTES * len(df.columns)
+    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    payload = F.octet_length(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(wide)]))) if wide else F.lit(0)
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(payload), F.lit(0)).alias("b")).first()
+    return size["n"] <= max_rows and size["b"] + size["n"] * fixed <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count; a larger frame stays on the shuffled path."""
+    """Broadcast hint behind a check of its size; a larger frame stays on the shuffled path."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
 

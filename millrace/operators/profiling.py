@@ -23,21 +23,32 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Longer values are told apart by length and digest, so that whole texts are never shuffled.
+DIGEST_FROM = 64
+
+
+def _cell(column: str, declared: str) -> Column:
+    """What a profile needs of one value: itself or its digest, its length, whether it fits its declared type."""
+    text = F.trim(F.col(f"`{column}`").cast("string"))
+    value = F.when(text != "", text)
+    short = F.when(F.length(value) > DIGEST_FROM, F.sha2(value, 256)).otherwise(value)
+    valid = F.lit(True) if declared == "string" else F.coalesce(value.try_cast(declared).isNotNull(), F.lit(False))
+    return F.struct(F.lit(column).alias("column_name"), short.alias("value"), F.length(value).alias("size"), valid.alias("valid"))
+
+
 def profile(df: DataFrame, declared: Mapping[str, str] | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """Per column: rows, nulls, distinct values, longest text, share valid for its declared type, top value."""
     names = list(columns) or df.columns
+    need(bool(names), "MISSING_COLUMNS", "profile needs columns")
     types = {c: (declared or {}).get(c, "string") for c in names}
-    counts = value_counts(df, names)
-    valid: Column = F.lit(True)
-    for c, t in types.items():
-        if t != "string":
-            valid = F.when(F.col("column_name") == c, F.col("value").try_cast(t).isNotNull()).otherwise(valid)
-    given = F.col("value").isNotNull()
+    cells = [_cell(c, types[c]) for c in names]
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column_name", "value", "size", "valid").agg(F.count(F.lit(1)).alias("n"))
+    given, valid = F.col("value").isNotNull(), F.col("valid")
     out = counts.groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(~given, F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
-        F.coalesce(F.max(F.length("value")), F.lit(0)).cast("long").alias("max_length"),
+        F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("max_length"),
         F.coalesce(F.sum(F.when(given & valid, F.col("n"))), F.lit(0)).alias("valid_count"),
         F.coalesce(F.max(F.when(given, F.col("n"))), F.lit(0)).alias("top_count"),
     )

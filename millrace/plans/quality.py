@@ -487,18 +487,19 @@ def _(t):
 
 def _profile_sql(c: str, valid: str) -> str:
     return f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER (v IS NULL) AS null_count, count(DISTINCT v) AS distinct_count, coalesce(max(length(v)), 0) AS max_length,
-      count(*) FILTER ({valid}) AS valid_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT CAST({c} AS VARCHAR) AS x FROM {PROFILED}) WHERE x IS NOT NULL GROUP BY x)) AS top_count
-      FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {PROFILED})"""
+      count(*) FILTER ({valid}) AS valid_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT nullif(trim(CAST({c} AS VARCHAR)), '') AS x FROM {PROFILED}) WHERE x IS NOT NULL GROUP BY x)) AS top_count
+      FROM (SELECT nullif(trim(CAST({c} AS VARCHAR)), '') AS v FROM {PROFILED})"""
 
 
-PROFILED = "(SELECT doc_id, lang, source, CASE WHEN lang = 'de' THEN n_chars END AS size FROM documents)"
+PROFILED = "(SELECT doc_id, lang, source, text, CASE WHEN lang = 'de' THEN n_chars END AS size FROM documents)"
 PROFILE_SQL = " UNION ALL ".join([
     _profile_sql("doc_id", "TRY_CAST(v AS INTEGER) IS NOT NULL"), _profile_sql("lang", "v IS NOT NULL"), _profile_sql("source", "TRY_CAST(v AS INTEGER) IS NOT NULL"), _profile_sql("size", "v IS NOT NULL"),
+    _profile_sql("text", "v IS NOT NULL"),
 ])
 
 
 def profiled(t):
-    return t.documents.select("doc_id", "lang", "source", F.expr("CASE WHEN lang = 'de' THEN n_chars END").alias("size"))
+    return t.documents.select("doc_id", "lang", "source", "text", F.expr("CASE WHEN lang = 'de' THEN n_chars END").alias("size"))
 
 
 @query("dqc_profile", f"SELECT *, round(null_count / row_count, 6) AS null_rate, round(valid_count / (row_count - null_count), 6) AS valid_share FROM ({PROFILE_SQL})")

@@ -187,7 +187,7 @@ def _(t):
 def _(t):
     root = scratch_path(t.spark, "landing")
     for folder in ("expected/partner_daily_20260506.csv", "expected/partner_daily_20260507.csv", "wrong-prefix/partner_daily_20260506.csv"):
-        tables.write_files(t.supplier.coalesce(1), f"{root}/{folder}", fmt="csv")
+        tables.write_files(t.supplier.groupBy("s_nationkey").count().coalesce(1), f"{root}/{folder}", fmt="csv")  # a row for each nation
     # Spark writes directories; each landed name is judged by its one data file.
     listed = loads.list_files(t.spark, root).filter(F.col("path").contains("/part-")).withColumn("path", F.regexp_replace("path", "/part-[^/]*$", ""))
     head = f"{root}/expected"

@@ -162,3 +162,22 @@ def test_connected_groups(spark):
     df = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in chain], "left_name string, right_name string")
     got = {r["name"]: r["group_name"] for r in fuzzy.connected_groups(df).collect()}
     assert got == {**{f"n{i:03d}": "n000" for i in range(41)}, "x": "x", "y": "x", "z": "x"}
+
+
+def test_profile_tells_long_texts_apart(rows):
+    from millrace.operators import profiling
+
+    long = "x" * 500
+    df = rows("t string, n string", (long + "a", "1"), (long + "b", "x"), (long + "a", " "), (None, "2"), ("", None))
+    got = {r["column_name"]: r for r in profiling.profile(df, {"n": "int"}).collect()}
+    t, n = got["t"], got["n"]
+    assert (t["row_count"], t["null_count"], t["distinct_count"], t["max_length"], t["valid_count"], t["top_count"]) == (5, 2, 2, 501, 3, 2)
+    assert (n["row_count"], n["null_count"], n["distinct_count"], n["max_length"], n["valid_count"], n["top_count"]) == (5, 2, 3, 1, 2, 1)
+
+
+def test_broadcast_needs_few_rows_and_bytes(rows):
+    from millrace.functions.sizes import fits
+
+    df = rows("t string, n int", ("x" * 5000, 1), ("y" * 5000, 2))
+    assert fits(df, 2) and not fits(df, 1)
+    assert not fits(df, 2, max_bytes=10_000) and fits(df.select("n"), 2, max_bytes=10_000)
