@@ -125,7 +125,9 @@ def complete(t, frame, label):
 )
 def _(t):
     hourly = jobs.window_aggregate(events(t), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], watermark="40 days")
-    out = complete(t, hourly, "hourly")
+    path, check = scratch_path(t.spark, "hourly"), scratch_path(t.spark, "hourly-checkpoint")
+    finish(jobs.update_stream(hourly, path, check, available_now=True))
+    out = jobs.latest_groups(t.spark, path, hourly.schema, ["event_type", "window_start"])
     return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 

@@ -95,6 +95,28 @@ def append_stream(
     return writer.start(path)
 
 
+def update_stream(grouped: DataFrame, path: str, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
+    """Write the groups that each batch changed, ``batch=n``; read them with ``latest_groups``.
+
+    Update mode lets the watermark drop closed windows from the state, and rows later than it. A
+    batch that runs again replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch={batch_id}")
+
+    writer = grouped.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_groups(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest image of every group that ``update_stream`` wrote."""
+    need(bool(keys), "MISSING_KEYS", "groups need keys")
+    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = F.max_by(F.struct(*schema.names), "batch").alias("row")
+    return written.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(newest).select("row.*")
+
+
 def publish_stream(stream: DataFrame, keys: Sequence[str], fmt: str, checkpoint: str, *, available_now: bool = False, **options: str) -> StreamingQuery:
     """Encode rows as messages and publish them with a checkpoint."""
     from ..sinks.kafka import encode

@@ -172,6 +172,26 @@ def test_compact_keeps_partitions(spark, tmp_path, rows, values):
         tables.compact(spark, path, target_files=1, partition={"ds": date(2024, 1, 1)})
 
 
+def test_windows_take_rows_up_to_the_watermark_and_drop_later_ones(spark, tmp_path, rows, values):
+    from pyspark.sql import functions as F
+
+    from millrace.streaming import jobs
+
+    source, path, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def run(*times):
+        rows("id int, ts timestamp", *enumerate(times)).write.mode("append").parquet(source)
+        stream = jobs.read_files_stream(spark, source, "id int, ts timestamp")
+        hourly = jobs.window_aggregate(stream, "ts", "1 hour", [], [F.count(F.lit(1)).alias("n")], watermark="2 hours")
+        jobs.update_stream(hourly, path, check, available_now=True).awaitTermination()
+        out = jobs.latest_groups(spark, path, hourly.schema, ["window_start"])
+        return values(out.select(F.hour("window_start").alias("h"), "n"), "h", "n")
+
+    assert run("2024-01-01 08:10:00", "2024-01-01 14:10:00") == [(14, 1), (8, 1)]
+    # Two hours before 14:10 a window that ended at 9:00 is closed, that of 13:00 is not.
+    assert run("2024-01-01 08:20:00", "2024-01-01 13:20:00", "2024-01-01 14:20:00") == [(13, 1), (14, 2), (8, 1)]
+
+
 def test_backfill_plan(spark):
     plan = loads.plan_chunks(spark, date(2024, 1, 1), date(2024, 1, 10), 4).collect()
     assert [(r["chunk_start"].day, r["chunk_end"].day) for r in plan] == [(1, 4), (5, 8), (9, 10)]
