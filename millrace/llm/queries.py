@@ -96,11 +96,32 @@ def _(t):
        FROM h GROUP BY doc_id""",
 )
 def _(t):
-    cut = lines.drop_repeated_lines(t("documents"))
+    return cut_lines(lines.drop_repeated_lines(t("documents")))
+
+
+def cut_lines(cut):
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return cut.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query(
+    "op9_long_lines",
+    """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+       w AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS pair,
+                    len(regexp_extract_all(line, '[^\\x09-\\x0D ]+')) > 50 AS long FROM l),
+       f AS (SELECT *, pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) > 1 AS dup,
+                    long AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS alone FROM w),
+       g AS (SELECT *, dup OR alone OR coalesce(lag(dup) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM f),
+       h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g)
+       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_runs,
+              sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       FROM h GROUP BY doc_id""",
+)
+def _(t):
+    return cut_lines(lines.drop_repeated_lines(t("documents"), alone=lines.LONG))
+
+
 @query(
     "op10_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,

@@ -45,6 +45,35 @@ def test_lines(rows, run):
     assert lines.drop_repeated_lines(rows("doc_id long, text string")).collect() == []
 
 
+def brute_long(data, run, words):
+    """What stays of each text, and how many lines go, when lines of more than ``words`` words count by themselves."""
+    seen, out = set(), {}
+    for d, t in data:
+        lines_ = t.split("\n")
+        gone = set()
+        for i, line in enumerate(lines_):
+            if len(line.split()) > words:
+                gone |= {i} if line in seen else set()
+                seen.add(line)
+            if i + run <= len(lines_):
+                pair = tuple(lines_[i : i + run])
+                gone |= set(range(i, i + run)) if pair in seen else set()
+                seen.add(pair)
+        out[d] = "\n".join(x for i, x in enumerate(lines_) if i not in gone), len(gone)
+    return sorted((d, *out[d]) for d in out)
+
+
+@pytest.mark.parametrize("run", [2, 3])
+def test_long_lines(rows, run):
+    rng = random.Random(run)
+    pool = ["a", "b", "", "x y z", "one two three four", "one  two\tthree four ", " p q r s t", "four words\x0bthat stand"]
+    data = [(i, "\n".join(rng.choice([*pool, f"own {i}"]) for _ in range(rng.randrange(1, 8)))) for i in range(150)]
+    data += [(200, "only here before and after"), (201, "only here before and after"), (202, "u\nonly here before and after\nv")]
+    got = lines.drop_repeated_lines(rows("doc_id long, text string", *data).repartition(4), run=run, alone=3).collect()
+    assert sorted((r.doc_id, r.kept, sum(s.end - s.start for s in r.runs)) for r in got) == brute_long(data, run, 3)
+    assert {r.doc_id: r.kept for r in got if r.doc_id >= 200} == {200: data[150][1], 201: "", 202: "u\nv"}
+
+
 def brute_leaks(docs, items):
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     out = []
