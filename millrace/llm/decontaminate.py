@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytesio import groups_of_rows, text_bytes
+from .keys import document_key
 from .shingles import WORDS, shingle_hashes, word_hashes
 
 RADIUS = 23
@@ -177,6 +178,11 @@ def _search(ids: list, texts: list[str], similarity: float, kind: pa.DataType):
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents that hold no item, with the columns they came with."""
-    held = find_leaks(docs, items, id_col, text_col, item_col).select(F.col(id_col).alias("_held")).distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(held["_held"]), "left_anti")
+    """The documents that hold no item, with the columns they came with.
+
+    A document is its id and its text: others without an id, or with the same id, stay.
+    """
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    named = docs.select(document_key(own, text).alias("_key"), text.alias("_text"))
+    held = find_leaks(named, items, "_key", "_text", item_col).select(F.col("_key").alias("_held")).distinct()
+    return docs.join(held, document_key(docs[id_col], docs[text_col]) == held["_held"], "left_anti")

@@ -14,9 +14,12 @@ pairs are confirmed on full sets as well, and the components are joined.
 A link between texts at the threshold is missed with a probability below 1e-4 (bands: 5e-6).
 Texts with equal shingle sets are one node from the start, whatever their number.
 
+A document is named by its id and a 128-bit digest of its text, so texts that share an id, or have
+none, are documents of their own. Smallest means by id, null last, then by digest.
+
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words
-than a shingle make one shingle of all; repeated rows are linked; rows without an id get the
-component of their copies, or none; extra columns are ignored.
+than a shingle make one shingle of all; rows that repeat an id and a text are one document and share
+its lot; a component of documents without an id has none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 from ..session import materialise
 from .bytesio import groups_of_rows, mix, text_bytes
 from .components import connected_components
+from .keys import document_key, key_type
 from .shingles import WORDS, shingle_hashes, shingle_sets, word_hashes
 
 PERMUTATIONS = 128
@@ -42,6 +46,15 @@ BLOCK = 512
 CHUNK_BYTES = 1 << 20
 
 
+def _codes(keys: pa.StructArray) -> np.ndarray:
+    """A number for each row, the same where the keys are the same."""
+    codes = np.zeros(len(keys), np.int64)
+    for part in keys.flatten():
+        own = part.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        codes = np.unique(codes * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return codes
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_607)
     flips, factors = rng.integers(0, 1 << 63, (2, PERMUTATIONS), dtype=np.uint64)
@@ -151,7 +164,7 @@ def _cross_pairs(percent: int):
     def block(rows: pa.Table):
         ids, comp, size = (rows.column(c).combine_chunks() for c in ("id", "comp", "n"))
         values = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(ids), -1)
-        codes, side = comp.dictionary_encode().indices.to_numpy(), rows.column("own").to_numpy()
+        codes, side = _codes(comp), rows.column("own").to_numpy()
         lo, hi, band = rows["lo"][0].as_py(), rows["hi"][0].as_py(), rows["band"][0].as_py()
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         sets = rows.column("set").combine_chunks() if "set" in rows.column_names else None
@@ -192,10 +205,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
 
 
-def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``."""
-    kind = docs.schema[id_col].dataType
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
+    """One row per document: its key ``id``, its number of shingles ``n`` and ``lead``, the key of the smallest of its component."""
+    kind = key_type(docs.schema[id_col].dataType)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    texts = docs.select(document_key(own, text).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     id_field = T.StructField("id", kind)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     signed = T.StructType([id_field, T.StructField("n", long), T.StructField("k1", long), T.StructField("k2", long), T.StructField("sig", longs)])
@@ -237,14 +251,17 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     labelled = rows.select("id", "n", "k1", "k2").join(owners, ["n", "k1", "k2"], "left")
     labelled = labelled.join(comps, labelled["rep"] == comps["node"], "left")
-    component = F.coalesce("component", "rep", "id")
-    return labelled.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+    return labelled.select("id", "n", F.coalesce("component", "rep", "id").alias("lead"))
+
+
+def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
+    """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``."""
+    return _labelled(docs, id_col, text_col, words, percent).select(
+        F.col("id.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lead.id").alias("component_id"), (F.col("id") == F.col("lead")).alias("kept"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stand for their group, with the columns they came with."""
-    gone = group_near_copies(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = _labelled(docs, id_col, text_col).filter("id <> lead").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, document_key(docs[id_col], docs[text_col]) == gone["_gone"], "left_anti")

@@ -82,6 +82,22 @@ def test_repeats_nulls_and_empty(rows):
     assert sorted(tuple(r) for r in kept.collect()) == [(3, "a b c", "q"), (4, None, None)]
 
 
+def test_rows_that_share_an_id_or_have_none(rows):
+    """Each text stands for itself: only the copies go, with their own rows."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(900)}" for _ in range(80)]
+    near = " ".join([*long[:40], "changed", *long[41:]])
+    data = [(None, "a b"), (2, "a b"), (None, "c"), (None, None), (7, "one text of its own"), (7, "A  b"), (7, "another text of its own"),
+            (None, near), (8, " ".join(long)), (8, "clean and apart"), (None, "d e"), (None, "D e")]
+    frame = rows("doc_id long, text string, kept string", *[(d, t, "clash") for d, t in data])
+    kept = neardup.keep_one_of_each(frame.repartition(3))
+    assert kept.columns == ["doc_id", "text", "kept"]
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    ends = [t for t in left if t[0] is None and (t[1] or "").lower() == "d e"]
+    gone = {(None, "a b"), (7, "A  b"), (None, near)}
+    assert len(ends) == 1 and sorted(left, key=str) == sorted([t for t in data if t not in gone and t not in data[-2:]] + ends, key=str)
+
+
 def test_components(rows):
     rng = random.Random(5)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i + 1, i) for i in range(1000, 1100)] + [(7, 7), (None, 3)]

@@ -124,6 +124,15 @@ def test_leaks_in_made_documents(rows, monkeypatch):
     assert decontaminate.find_leaks(frame, table.limit(0)).collect() == [] and decontaminate.find_leaks(frame.limit(0), table).collect() == []
 
 
+def test_leaks_leave_other_texts_of_their_id(rows):
+    item = "this passage of eight words is the benchmark"
+    data = [(None, item), (None, "clean"), (None, None), (4, f"before {item} after"), (4, "clean too"), (4, None), (5, "clean")]
+    frame = rows("doc_id long, text string, _key string", *[(d, t, "clash") for d, t in data])
+    kept = decontaminate.drop_leaks(frame, rows("item_id long, text string", (1, item)))
+    assert kept.columns == ["doc_id", "text", "_key"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([t for t in data if item not in (t[1] or "")], key=str)
+
+
 def test_leaks_in_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{PATH}/benchmark.parquet").collect()]
