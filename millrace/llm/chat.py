@@ -5,11 +5,13 @@ the turns names every prefix of a conversation; a conversation whose full hash i
 some longer one is dropped by an anti-join, and of equal conversations the smallest id stays. The
 rest is rendered.
 
-Turns are numbered inside slices of ``SLICE`` turns and the hash of a slice is carried on, so a
-conversation of any length is spread over tasks. The prefix hash is the running exclusive-or of two
-64-bit hashes of (place, role, text): equal sequences give equal hashes, and slices combine freely.
-A rendered conversation is one row for each slice (turns without a number are a last one of their
-own), so a cell stays bounded too.
+The distinct turns are range-partitioned by conversation, turn, role and the first ``LEAD`` characters
+of the text; the turns of a conversation in one range are a slice. Slices are shares of the rows,
+whatever the turn numbers are: a conversation of any length, one that repeats or lacks turn numbers and
+the rows without a conversation are spread over tasks. Only turns that agree in all of these keys stay
+together. Turns are numbered inside slices and the hash of a slice is carried on. The prefix hash is
+the running exclusive-or of two 64-bit hashes of (place, role, text): equal sequences give equal hashes,
+and slices combine freely. A rendered conversation is one row for each ``SLICE`` turns, by place.
 
 Defined cases: turns are ordered by turn number (null last), then role and text; a row repeated in
 full counts once; a null text is empty and a null role is ``unknown``; rows without a conversation
@@ -22,39 +24,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 SLICE = 1024
+LEAD = 256
+
+
+def _earlier():
+    return W.partitionBy("_conv").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _same() -> list:
+    return [F.col("l._conv").eqNullSafe(F.col("r._conv")), F.col("l._slice") == F.col("r._slice")]
 
 
 def _placed(turns: DataFrame) -> DataFrame:
-    """Distinct turns with their slice, place, and two hashes of the prefix that they end."""
+    """Distinct turns with their slice, place in the conversation (from 1), its number of turns, and two hashes."""
     t = turns.select(
         F.col("conv_id").alias("_conv"), F.col("turn").cast("long").alias("_turn"),
         F.coalesce("role", F.lit("unknown")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"),
     ).distinct()
-    t = t.withColumn("_slice", F.coalesce(F.floor(F.col("_turn") / SLICE), F.lit((1 << 62))))
+    t = t.repartitionByRange(F.col("_conv"), F.col("_turn").asc_nulls_last(), F.col("_role"), F.substring("_text", 1, LEAD))
+    t = materialise(t.withColumn("_slice", F.spark_partition_id()), "turns")  # the ranges must stay as they are
     t = t.withColumn("_a", F.xxhash64("_role", "_text")).withColumn("_b", F.xxhash64(F.lit(7), "_text", "_role"))
     inside = W.partitionBy("_conv", "_slice").orderBy(F.col("_turn").asc_nulls_last(), "_role", "_text")
     t = t.withColumn("_place", F.row_number().over(inside).cast("long"))
-    return t
-
-
-def collapse_snapshots(turns: DataFrame) -> DataFrame:
-    """Conversations that no longer one extends: ``conv_id``, ``n_turns``, ``n_copies``."""
-    t = _placed(turns).select("_conv", "_slice", "_place", "_a", "_b")
     sizes = t.groupBy("_conv", "_slice").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy("_conv").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)))
     sizes = sizes.withColumn("_total", F.sum("_n").over(W.partitionBy("_conv")))
-    same = [F.col("l._conv").eqNullSafe(F.col("r._conv")), F.col("l._slice") == F.col("r._slice")]
-    t = t.alias("l").join(sizes.alias("r"), same).select("l.*", (F.col("_before") + F.col("_place")).alias("_at"), "_total")
-    t = t.withColumn("_x", F.xxhash64("_at", "_a", "_b")).withColumn("_y", F.xxhash64("_b", "_at", F.lit(3), "_a"))
+    at = (F.col("_before") + F.col("_place")).alias("_at")
+    return t.alias("l").join(sizes.alias("r"), _same()).select("l._conv", "l._slice", "_role", "_text", "_a", "_b", at, "_total")
 
+
+def collapse_snapshots(placed: DataFrame) -> DataFrame:
+    """Conversations that no longer one extends: ``conv_id``, ``n_turns``, ``n_copies``."""
+    t = placed.select("_conv", "_slice", "_at", "_total", F.xxhash64("_at", "_a", "_b").alias("_x"), F.xxhash64("_b", "_at", F.lit(3), "_a").alias("_y"))
     state = t.groupBy("_conv", "_slice").agg(F.bit_xor("_x").alias("_sx"), F.bit_xor("_y").alias("_sy"))
-    state = state.withColumn("_cx", F.coalesce(F.bit_xor("_sx").over(earlier), F.lit(0)))
-    state = state.withColumn("_cy", F.coalesce(F.bit_xor("_sy").over(earlier), F.lit(0))).drop("_sx", "_sy")
+    state = state.withColumn("_cx", F.coalesce(F.bit_xor("_sx").over(_earlier()), F.lit(0)))
+    state = state.withColumn("_cy", F.coalesce(F.bit_xor("_sy").over(_earlier()), F.lit(0))).drop("_sx", "_sy")
     running = W.partitionBy("_conv", "_slice").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     t = t.withColumn("_rx", F.bit_xor("_x").over(running)).withColumn("_ry", F.bit_xor("_y").over(running))
-    t = t.alias("l").join(state.alias("r"), same).select(
+    t = t.alias("l").join(state.alias("r"), _same()).select(
         "l._conv", "_at", "_total", F.col("_rx").bitwiseXOR(F.col("_cx")).alias("_px"), F.col("_ry").bitwiseXOR(F.col("_cy")).alias("_py")
     )
     full = t.filter("_at = _total").groupBy("_total", "_px", "_py").agg(F.min("_conv").alias("conv_id"), F.count("*").alias("n_copies"))
@@ -62,16 +72,15 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
     return full.join(inner, ["_total", "_px", "_py"], "left_anti").select("conv_id", F.col("_total").alias("n_turns"), "n_copies")
 
 
-def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept conversations as text: ``conv_id``, ``part`` (slice, from 0), ``n_turns``, ``n_copies``, ``rendered``."""
-    t = _placed(turns).alias("l")
+def render(placed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept conversations as text: ``conv_id``, ``part`` (``SLICE`` turns each, from 0), ``n_turns``, ``n_copies``, ``rendered``."""
     piece = F.concat(F.lit("<|im_start|>"), F.col("_role"), F.lit("\n"), F.col("_text"), F.lit("<|im_end|>\n"))
-    t = t.withColumn("_piece", F.struct("_place", piece.alias("_piece")))
-    parts = t.groupBy("_conv", "_slice").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_piece"]), "").alias("rendered"))
-    parts = parts.withColumn("part", F.row_number().over(W.partitionBy("_conv").orderBy("_slice")).cast("long") - 1)
+    t = placed.select("_conv", F.floor((F.col("_at") - 1) / SLICE).alias("part"), F.struct("_at", piece.alias("_piece")).alias("_piece"))
+    parts = t.groupBy("_conv", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_piece"]), "").alias("rendered"))
     return parts.join(kept, parts["_conv"].eqNullSafe(kept["conv_id"])).select("conv_id", "part", "n_turns", "n_copies", "rendered")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """Collapse snapshots, then render what stays."""
-    return render(turns, collapse_snapshots(turns))
+    placed = _placed(turns)
+    return render(placed, collapse_snapshots(placed))

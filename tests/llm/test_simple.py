@@ -115,6 +115,27 @@ def test_chat_slices(rows, monkeypatch):
     assert set(whole) == {2, 4} and whole[2][:2] == (17, 2) and len([r for r in parts if r.conv_id == 2]) == 5
 
 
+def test_chat_crowded_turns(rows, spark, monkeypatch):
+    """Rows without an id, turns without a number and one number on many texts: slices and parts are shares of the rows."""
+    monkeypatch.setattr(chat, "SLICE", 16)
+    data = [(None, i % 3 if i % 2 else None, "user" if i % 5 else None, f"n{i * 7919 % 400:03d}") for i in range(400)]
+    data += [(1, 0, "user", f"same number {i:03d}") for i in range(300)] + [(2, None, "user", f"no number {i:03d}") for i in range(300)] + [(3, 0, "user", "short")]
+    frame = rows("conv_id long, turn long, role string, text string", *data, *data[:50])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        largest = chat._placed(frame.repartition(5)).groupBy("_conv", "_slice").count().agg({"count": "max"}).first()[0]
+        parts = sorted(chat.format_conversations(frame).collect(), key=lambda r: r.part)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert largest < 250  # eight ranges over 1,001 turns
+    assert max(r.rendered.count("<|im_start|>") for r in parts) <= 16
+    for conv in (None, 1, 2, 3):
+        own = sorted({(t is None, t or 0, r or "unknown", x) for c, t, r, x in data if c == conv})
+        got = [r for r in parts if r.conv_id == conv]
+        assert [r.part for r in got] == list(range(-(-len(own) // 16))) and {(r.n_turns, r.n_copies) for r in got} == {(len(own), 1)}
+        assert "".join(r.rendered for r in got) == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, _, r, x in own)
+
+
 def test_language_held_out(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op5_language"](spark, PATH).collect()}
     assert len(got) == len(documents)
