@@ -71,3 +71,31 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), out=total[1:])
     value = (total[ends] - total[starts]) * powers(BASE_INVERSE, len(raw) + 1)[starts]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def byte_table(*values: int) -> np.ndarray:
+    """A lookup over all byte values, true at the given ones."""
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+def word_spans(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes outside ``between`` (a table) that stay in a row, and their number in each row."""
+    dark = ~between[raw]
+    first, last = dark.copy(), dark.copy()
+    first[1:] &= ~dark[:-1]
+    last[:-1] &= ~dark[1:]
+    inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(raw))]
+    first[inner] |= dark[inner]
+    last[inner - 1] |= dark[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of each ``size`` consecutive values."""
+    n = max(len(values) - size + 1, 0)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
+    return mix((total[size:] - total[:n]) * powers(BASE_INVERSE, n + 1)[:n]) if n else np.zeros(0, np.uint64)

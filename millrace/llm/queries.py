@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact, langid, lines, neardup, secrets, suffix, toxicity
+from . import bpe, chat, decontaminate, exact, langid, lines, neardup, periodic, phrases, secrets, suffix, toxicity, vectors
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -130,3 +130,69 @@ def _(t):
 )
 def _(t):
     return exact.label_copies(t("documents"), keep="max")
+
+
+def planted(docs):
+    """``documents`` with the periodic stretches that the contract of op11 puts into every tenth of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("w"))
+    docs = docs.select("*", F.size("w").alias("n")).select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int").alias("a"))
+    docs = docs.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    cycle = "flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int)))"
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.expr(f"array_join(slice(concat(slice(w, 1, a), {cycle}), 1, n), ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def _(t):
+    found = periodic.find_runs(planted(t("documents")))
+    # Greatest length / period first, compared by cross products; then by start and period.
+    found = found.withColumn("best", F.expr("""array_sort(runs, (x, y) -> case
+        when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+        when x.start <> y.start then if(x.start < y.start, -1, 1) else int(signum(x.period - y.period)) end)"""))
+    best = F.get("best", F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * get(best, 0).length div get(best, 0).period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_embedding_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+       links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+       reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+       SELECT vec_id, coalesce((SELECT count(*) FROM links WHERE a = vec_id), 0) AS n_links,
+              coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS component_id,
+              vec_id = coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS kept FROM embeddings""",
+)
+def _(t):
+    return vectors.group_near_vectors(t("embeddings"))
+
+
+@query(
+    "op13_collocations",
+    """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+       words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+       total AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+       grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+                 FROM words, range(1, 5) AS r(k) WHERE len(w) >= k),
+       f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+       cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+       split AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+                 FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+       cuts AS (SELECT s.lang, s.phrase, a, j, l.f AS l, r.f AS r, (2000000 * a::HUGEINT) // (l.f + r.f) AS score
+                FROM split s JOIN f l ON l.lang = s.lang AND l.phrase = s.first JOIN f r ON r.lang = s.lang AND r.phrase = s.rest),
+       least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+       held AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+                FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL),
+       kept AS (SELECT s.* FROM least s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase WHERE h.most IS NULL OR 100 * h.most::HUGEINT < 80 * s.a::HUGEINT)
+       SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+       FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000""",
+)
+def _(t):
+    return phrases.collocations(t("documents"))
