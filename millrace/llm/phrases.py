@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,15 +97,19 @@ def _propose(rows: DataFrame, least: int, words: int, share: float) -> DataFrame
     return known
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """Two bits for each hash ``h``, in 2 ** BITS; put together from parts of 4 kB, whatever the number of phrases."""
+def bitmap(phrases: DataFrame) -> bytes:
+    """Two bits for each hash ``h``, in 2 ** BITS; put together from parts of 4 kB, whatever the number of phrases, and compressed."""
     bit = F.explode(F.array(F.col("h").bitwiseAND((1 << BITS) - 1), F.shiftrightunsigned("h", 64 - BITS)))
     part = 1 << 15
     parts = phrases.select(bit.alias("b")).groupBy(F.shiftright("b", 15).alias("p")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(part - 1)).alias("m"))
     out = np.zeros((1 << BITS) // 8, np.uint8)
     for p, m in parts.collect():  # 2 ** BITS bits in all, at most
         out[p * part // 8 : (p + 1) * part // 8] = np.frombuffer(m, np.uint8)
-    return out
+    return zlib.compress(out, 1)
+
+
+def _open(bits: bytes | None) -> np.ndarray | None:
+    return None if bits is None else np.frombuffer(zlib.decompress(bits), np.uint8)
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -120,17 +125,18 @@ def _language_hashes(langs: pa.Array) -> np.ndarray:
     return np.array(each, np.uint64)[coded.indices.to_numpy()]
 
 
-def _count(rows: DataFrame, lengths, known: np.ndarray | None, fresh: np.ndarray | None) -> DataFrame:
+def _count(rows: DataFrame, lengths, known: bytes | None, fresh: bytes | None) -> DataFrame:
     """Counts of the phrases of these lengths whose two parts of one word less are ``known``, one of them ``fresh`` if given."""
     lengths = list(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _open(known), _open(fresh)
         for batch in batches:
             langs = batch.column("lang")
             own = _language_hashes(langs)
             raw, bounds = text_bytes(batch.column("text"))
             for first, last in groups_of_rows(bounds, PIECE_BYTES):
-                yield from _piece(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], langs.slice(first, last - first), own[first:last], lengths, known, fresh)
+                yield from _piece(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], langs.slice(first, last - first), own[first:last], lengths, *bits)
 
     return rows.mapInArrow(run, _ROW).groupBy("lang", "n", "h", "phrase").agg(F.sum("f").alias("f"))
 

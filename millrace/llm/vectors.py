@@ -44,7 +44,7 @@ LEAST = 0.9
 PIVOTS = 4096
 PROBES = 12
 #: Vectors of one ball-making block, codes held by one comparing block.
-BALL_BLOCK, CODE_BLOCK = 2048, 8192
+BALL_BLOCK, CODE_BLOCK = 512, 8192
 DEVIATIONS = 4.0
 #: Radians by which a bound must hold before it settles a pair without its vectors.
 SLACK = 1e-6
