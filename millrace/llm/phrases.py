@@ -42,7 +42,8 @@ from .joins import join_hot
 LEAST, WORDS, TOP = 30, 4, 2000
 SHARE = 0.25
 BITS = 27
-PIECE_BYTES = 16 << 20
+#: Bytes counted at once, bytes hashed at once, phrases given back at once.
+PIECE_BYTES, HASH_BYTES, OUT_ROWS = 6 << 20, 1 << 20, 1 << 17
 _STOPS = byte_table(*map(ord, ".,;:!?"), *range(0x0A, 0x0E))
 _BETWEEN = _STOPS | byte_table(0x20, 0x09)
 _ROW = "lang string, n int, h long, phrase string, f long"
@@ -143,7 +144,7 @@ def _count(rows: DataFrame, lengths, known: bytes | None, fresh: bytes | None) -
 
 def _piece(raw, bounds, langs, own, lengths, known, fresh) -> Iterator[pa.RecordBatch]:
     low = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
-    starts, ends, counts = word_spans(low, bounds, _BETWEEN)
+    starts, ends, counts, each, joined = _words(low, bounds)
     row = np.repeat(np.arange(len(counts)), counts)
     if 0 in lengths:
         coded = langs.dictionary_encode()
@@ -152,10 +153,6 @@ def _piece(raw, bounds, langs, own, lengths, known, fresh) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), zero.cast(pa.int32()), zero, pa.array([""] * len(sums), pa.string()), pa.array(sums)], ["lang", "n", "h", "phrase", "f"])
     if not len(starts):
         return
-    each = span_hashes(low, starts, ends)
-    # Words that follow each other in a piece of text: of one row, with no stop between.
-    stops = np.concatenate([[0], np.cumsum(_STOPS[low], dtype=np.int32)])
-    joined = (stops[starts[1:]] == stops[ends[:-1]]) & (row[1:] == row[:-1])
     salt = own[row]
     grams = each
     whole = np.ones(len(each), bool)
@@ -165,6 +162,7 @@ def _piece(raw, bounds, langs, own, lengths, known, fresh) -> Iterator[pa.Record
             size = len(each) - n + 1
             if size <= 0:
                 return
+            # Words n - 1 and n of a phrase must follow each other.
             whole = whole[:size] & joined[n - 2 :][:size]
             grams = mix(grams[:size] + each[n - 1 :] * np.uint64(0x9E3779B185EBCA87) + np.uint64(n))
         if n not in lengths:
@@ -180,10 +178,27 @@ def _piece(raw, bounds, langs, own, lengths, known, fresh) -> Iterator[pa.Record
             continue
         h, index, f = np.unique(mix(grams[at] ^ salt[at]), return_index=True, return_counts=True)
         at = at[index]
-        yield pa.RecordBatch.from_arrays(
-            [langs.take(pa.array(row[at])).cast(pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), _texts(low, starts, ends, at, n), pa.array(f.astype(np.int64))],
-            ["lang", "n", "h", "phrase", "f"],
-        )
+        for k in range(0, len(at), OUT_ROWS):
+            some = at[k : k + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(row[some])).cast(pa.string()), pa.array(np.full(len(some), n, np.int32)), pa.array(h[k : k + OUT_ROWS].view(np.int64)), _texts(low, starts, ends, some, n), pa.array(f[k : k + OUT_ROWS].astype(np.int64))],
+                ["lang", "n", "h", "phrase", "f"],
+            )
+
+
+def _words(low: np.ndarray, bounds: np.ndarray):
+    """Starts, ends, number by row and hashes of all words, and whether a word's next one follows it in its row with no stop between."""
+    parts = []
+    for first, last in groups_of_rows(bounds, HASH_BYTES):
+        part, inner = low[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+        starts, ends, counts = word_spans(part, inner, _BETWEEN)
+        stops = np.concatenate([[0], np.cumsum(_STOPS[part], dtype=np.int32)])
+        joined = np.zeros(len(starts), bool)
+        joined[:-1] = stops[starts[1:]] == stops[ends[:-1]]
+        edge = np.cumsum(counts)
+        joined[edge[(edge > 0) & (counts > 0)] - 1] = False
+        parts.append((starts + bounds[first], ends + bounds[first], counts, span_hashes(part, starts, ends), joined))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _texts(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
