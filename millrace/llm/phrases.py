@@ -4,15 +4,17 @@ Counts are kept for each language. ``least`` is a fixed count, so
 
 1. a sample of the documents (``share`` of them, by hash) is mined level by level at a lowered count:
    words, then phrases whose two shorter parts were found, up to one word less than the longest;
-2. one pass over all documents counts exactly every phrase whose two parts the sample proposed: the
-   proposed phrases and their negative border, as far as it occurs; single words are counted all;
+2. one pass over all documents counts every phrase whose two parts the sample proposed: the proposed
+   phrases and their negative border, as far as it occurs; single words are counted all;
 3. border phrases that reach ``least`` are failures of the sample: further passes count the phrases that
-   they are part of, until none is new. No frequent phrase is missed, whatever the sample.
+   they are part of, until none is new. No frequent phrase is missed, whatever the sample;
+4. the last pass counts the phrases that reached ``least`` by their text.
 
-Which phrases to count is told to the tasks by a bitmap of ``2 ** BITS`` bits, two to a phrase, whose
-size does not depend on the data. Two phrases on the same bits only make a task count more than it
-must. Counts are made piece by piece within tasks, combined on the map side and grouped by the text of
-the phrase, so they are exact.
+Passes 1 to 3 count 61-bit hashes: phrases that share one can only look more frequent than they are, and
+the last pass, by text, sets this right (within one piece of ``PIECE_BYTES`` phrases of equal hash are one). Which phrases to count is told to the tasks by a bitmap of
+``2 ** BITS`` bits, two to a phrase, whose size does not depend on the data; phrases on the same bits
+only make a task count more than it must. Counts are made piece by piece within tasks and combined on
+the map side.
 
 Scores are exact decimals. A phrase is dropped when a longer candidate that holds it is nearly as
 frequent; the first ``top`` of each language by score remain.
@@ -35,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import need
 from ..session import materialise
 from .bytesio import byte_table, groups_of_rows, mix, span_hashes, text_bytes, word_spans
 from .joins import join_hot
@@ -46,7 +49,7 @@ BITS = 27
 PIECE_BYTES, HASH_BYTES, OUT_ROWS = 6 << 20, 1 << 20, 1 << 17
 _STOPS = byte_table(*map(ord, ".,;:!?"), *range(0x0A, 0x0E))
 _BETWEEN = _STOPS | byte_table(0x20, 0x09)
-_ROW = "lang string, n int, h long, phrase string, f long"
+_LENGTHS = 7
 
 
 def collocations(
@@ -63,38 +66,42 @@ def collocations(
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, words: int = WORDS, share: float = SHARE) -> DataFrame:
-    """``lang, n, h, phrase, f`` of every phrase of ``n`` words, 1 to ``words``, that stands ``least`` times; ``n = 0`` tells all words of a language."""
+    """``lang, n, phrase, f`` of every phrase of ``n`` words, 1 to ``words``, that stands ``least`` times; ``n = 0`` tells all words of a language."""
+    need(1 <= words <= _LENGTHS, "INVALID_LENGTH", f"phrases have 1 to {_LENGTHS} words")
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = _propose(rows, least, words, share)
-    border = materialise(_count(rows, range(words + 1), bitmap(known), None).filter(f"n = 0 or f >= {least}"), "phrases")
-    passes = [border]
+    wanted = border = materialise(_count(rows, range(1, words + 1), bitmap(known), None, least), "phrases")
     while True:
         # A phrase of the greatest length is no part of another.
-        fresh = border.filter((F.col("n") > 0) & (F.col("n") < words)).join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        fresh = materialise(fresh.select("lang", "n", "h", "phrase"), "phrases-fresh")
+        fresh = materialise(border.filter(F.col("h").bitwiseAND(_LENGTHS) < words).join(known, "h", "left_anti"), "phrases-fresh")
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
-        border = _count(rows, range(2, words + 1), bitmap(known), bitmap(fresh)).filter(f"f >= {least}")
-        border = materialise(border, "phrases")
-        passes.append(border)
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    # A phrase that shares bits with others may have been counted, wholly, in several passes.
-    return materialise(out.groupBy("lang", "n", "h", "phrase").agg(F.max("f").alias("f")), "phrases-closed")
+        border = materialise(_count(rows, range(2, words + 1), bitmap(known), bitmap(fresh), least), "phrases")
+        wanted = wanted.unionByName(border)
+    bits = bitmap(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _open(bits)
+        for piece in _pieces(batches):
+            yield from piece.totals()
+            for n, at, h in piece.grams(range(1, words + 1)):
+                yield from piece.counted(n, at, h, opened)
+
+    exact = rows.mapInArrow(run, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    return materialise(exact.filter(f"n = 0 or f >= {least}"), "phrases-exact")
 
 
 def _propose(rows: DataFrame, least: int, words: int, share: float) -> DataFrame:
-    """Phrases of fewer than ``words`` words that the sample holds often enough for a lowered count."""
+    """Hashes of phrases of fewer than ``words`` words that the sample holds often enough for a lowered count."""
     drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     mean = least * share
-    lowered = max(1, math.floor(mean - 1.5 * math.sqrt(mean)))
-    known, level = None, None
-    for n in range(1, words):
-        level = _count(drawn, [n], None if level is None else bitmap(level), None).filter(f"f >= {lowered}")
-        level = materialise(level.select("lang", "n", "h", "phrase"), "phrases-sample")
-        known = level if known is None else known.unionByName(level)
+    lowered = max(1, math.floor(mean - math.sqrt(mean)))
+    level = materialise(_count(drawn, [1], None, None, lowered), "phrases-sample")
+    known = level
+    for n in range(2, words):
+        level = materialise(_count(drawn, [n], bitmap(level), None, lowered), "phrases-sample")
+        known = known.unionByName(level)
     return known
 
 
@@ -126,64 +133,83 @@ def _language_hashes(langs: pa.Array) -> np.ndarray:
     return np.array(each, np.uint64)[coded.indices.to_numpy()]
 
 
-def _count(rows: DataFrame, lengths, known: bytes | None, fresh: bytes | None) -> DataFrame:
-    """Counts of the phrases of these lengths whose two parts of one word less are ``known``, one of them ``fresh`` if given."""
+def _count(rows: DataFrame, lengths, known: bytes | None, fresh: bytes | None, least: int) -> DataFrame:
+    """Hashes ``h`` counted ``least`` times, of phrases of these lengths whose two parts of one word less are ``known``, one of them ``fresh`` if given."""
     lengths = list(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _open(known), _open(fresh)
-        for batch in batches:
-            langs = batch.column("lang")
-            own = _language_hashes(langs)
-            raw, bounds = text_bytes(batch.column("text"))
-            for first, last in groups_of_rows(bounds, PIECE_BYTES):
-                yield from _piece(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], langs.slice(first, last - first), own[first:last], lengths, *bits)
-
-    return rows.mapInArrow(run, _ROW).groupBy("lang", "n", "h", "phrase").agg(F.sum("f").alias("f"))
-
-
-def _piece(raw, bounds, langs, own, lengths, known, fresh) -> Iterator[pa.RecordBatch]:
-    low = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
-    starts, ends, counts, each, joined = _words(low, bounds)
-    row = np.repeat(np.arange(len(counts)), counts)
-    if 0 in lengths:
-        coded = langs.dictionary_encode()
-        sums = np.bincount(coded.indices.to_numpy(), counts, len(coded.dictionary)).astype(np.int64)
-        zero = pa.array(np.zeros(len(sums), np.int64))
-        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), zero.cast(pa.int32()), zero, pa.array([""] * len(sums), pa.string()), pa.array(sums)], ["lang", "n", "h", "phrase", "f"])
-    if not len(starts):
-        return
-    salt = own[row]
-    grams = each
-    whole = np.ones(len(each), bool)
-    for n in range(1, max(lengths) + 1):
-        if n > 1:
-            before = grams, whole
-            size = len(each) - n + 1
+        opened = _open(known), _open(fresh)
+        for piece in _pieces(batches):
+            for _, _, h in piece.grams(lengths, *opened):
+                h, f = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f.astype(np.int64))], ["h", "f"])
+
+    return rows.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).filter(f"f >= {least}").select("h")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[_Piece]:
+    for batch in batches:
+        langs = batch.column("lang")
+        own = _language_hashes(langs)
+        raw, bounds = text_bytes(batch.column("text"))
+        for first, last in groups_of_rows(bounds, PIECE_BYTES):
+            yield _Piece(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], langs.slice(first, last - first), own[first:last])
+
+
+class _Piece:
+    """Some whole rows, cut into words."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, langs: pa.Array, own: np.ndarray):
+        self.low = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
+        self.langs = langs
+        self.starts, self.ends, self.counts, self.each, self.joined = _words(self.low, bounds)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.salt = own[self.row]
+
+    def totals(self) -> Iterator[pa.RecordBatch]:
+        """The number of words of each language, as phrases of no word."""
+        coded = self.langs.dictionary_encode()
+        sums = np.bincount(coded.indices.to_numpy(), self.counts, len(coded.dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(np.zeros(len(sums), np.int32)), pa.array([""] * len(sums), pa.string()), pa.array(sums)], ["lang", "n", "phrase", "f"])
+
+    def _named(self, grams: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of language and words; the low three bits tell the number of words."""
+        return mix(grams[at] ^ self.salt[at]) & np.uint64((1 << 64) - 1 - _LENGTHS) | np.uint64(n)
+
+    def grams(self, lengths, known: np.ndarray | None = None, fresh: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length the first words of the phrases that stand in one piece of text, and their hashes."""
+        grams, whole = self.each, np.ones(len(self.each), bool)
+        for n in range(1, max(lengths) + 1):
+            size = len(self.each) - n + 1
             if size <= 0:
                 return
-            # Words n - 1 and n of a phrase must follow each other.
-            whole = whole[:size] & joined[n - 2 :][:size]
-            grams = mix(grams[:size] + each[n - 1 :] * np.uint64(0x9E3779B185EBCA87) + np.uint64(n))
-        if n not in lengths:
-            continue
-        at = np.flatnonzero(whole)
-        if n > 1 and known is not None:
-            parts = [mix(before[0][at + k] ^ salt[at]) for k in (0, 1)]
-            stays = _in(known, parts[0]) & _in(known, parts[1])
-            if fresh is not None:
-                stays &= _in(fresh, parts[0]) | _in(fresh, parts[1])
-            at = at[stays]
-        if not len(at):
-            continue
-        h, index, f = np.unique(mix(grams[at] ^ salt[at]), return_index=True, return_counts=True)
+            before = grams
+            if n > 1:
+                # Words n - 1 and n of a phrase must follow each other.
+                whole = whole[:size] & self.joined[n - 2 :][:size]
+                grams = mix(grams[:size] + self.each[n - 1 :] * np.uint64(0x9E3779B185EBCA87) + np.uint64(n))
+            if n not in lengths:
+                continue
+            at = np.flatnonzero(whole)
+            if n > 1 and known is not None:
+                parts = [self._named(before, at + k, n - 1) for k in (0, 1)]
+                stays = _in(known, parts[0]) & _in(known, parts[1])
+                if fresh is not None:
+                    stays &= _in(fresh, parts[0]) | _in(fresh, parts[1])
+                at = at[stays]
+            if len(at):
+                yield n, at, self._named(grams, at, n)
+
+    def counted(self, n: int, at: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Language, text and count of the phrases that are wanted."""
+        stays = _in(wanted, h)
+        at = at[stays]
+        _, index, f = np.unique(h[stays], return_index=True, return_counts=True)
         at = at[index]
         for k in range(0, len(at), OUT_ROWS):
             some = at[k : k + OUT_ROWS]
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(row[some])).cast(pa.string()), pa.array(np.full(len(some), n, np.int32)), pa.array(h[k : k + OUT_ROWS].view(np.int64)), _texts(low, starts, ends, some, n), pa.array(f[k : k + OUT_ROWS].astype(np.int64))],
-                ["lang", "n", "h", "phrase", "f"],
-            )
+            langs = self.langs.take(pa.array(self.row[some])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(some), n, np.int32)), _texts(self.low, self.starts, self.ends, some, n), pa.array(f[k : k + OUT_ROWS].astype(np.int64))], ["lang", "n", "phrase", "f"])
 
 
 def _words(low: np.ndarray, bounds: np.ndarray):
