@@ -6,8 +6,9 @@ Counts are kept for each language. ``least`` is a fixed count, so
    words, then phrases whose two shorter parts were found, up to one word less than the longest;
 2. one pass over all documents counts every phrase whose two parts the sample proposed: the proposed
    phrases and their negative border, as far as it occurs; single words are counted all;
-3. border phrases that reach ``least`` are failures of the sample: further passes count the phrases that
-   they are part of, until none is new. No frequent phrase is missed, whatever the sample;
+3. border phrases that reach ``least`` are failures of the sample. A frequent phrase that pass 2 did not
+   count has a part that the sample lacks; the shortest such part was counted and is a failure. So one
+   more pass, over every phrase that holds a failure, closes the set whatever the sample;
 4. the last pass counts the phrases that reached ``least`` by their text.
 
 Passes 1 to 3 count 61-bit hashes: phrases that share one can only look more frequent than they are, and
@@ -44,7 +45,7 @@ from .joins import join_hot
 
 LEAST, WORDS, TOP = 30, 4, 2000
 SHARE = 0.25
-BITS = 27
+BITS = 26
 #: Bytes counted at once, bytes hashed at once, phrases given back at once.
 PIECE_BYTES, HASH_BYTES, OUT_ROWS = 6 << 20, 1 << 20, 1 << 17
 _STOPS = byte_table(*map(ord, ".,;:!?"), *range(0x0A, 0x0E))
@@ -70,15 +71,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     need(1 <= words <= _LENGTHS, "INVALID_LENGTH", f"phrases have 1 to {_LENGTHS} words")
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = _propose(rows, least, words, share)
-    wanted = border = materialise(_count(rows, range(1, words + 1), bitmap(known), None, least), "phrases")
-    while True:
-        # A phrase of the greatest length is no part of another.
-        fresh = materialise(border.filter(F.col("h").bitwiseAND(_LENGTHS) < words).join(known, "h", "left_anti"), "phrases-fresh")
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-        border = materialise(_count(rows, range(2, words + 1), bitmap(known), bitmap(fresh), least), "phrases")
-        wanted = wanted.unionByName(border)
+    wanted = materialise(_count(rows, range(1, words + 1), bitmap(known), None, least), "phrases")
+    # A phrase of the greatest length is no part of another.
+    fresh = materialise(wanted.filter(F.col("h").bitwiseAND(_LENGTHS) < words).join(known, "h", "left_anti"), "phrases-fresh")
+    if not fresh.isEmpty():
+        wanted = wanted.unionByName(materialise(_count(rows, range(2, words + 1), None, bitmap(fresh), least), "phrases"))
     bits = bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +131,7 @@ def _language_hashes(langs: pa.Array) -> np.ndarray:
 
 
 def _count(rows: DataFrame, lengths, known: bytes | None, fresh: bytes | None, least: int) -> DataFrame:
-    """Hashes ``h`` counted ``least`` times, of phrases of these lengths whose two parts of one word less are ``known``, one of them ``fresh`` if given."""
+    """Hashes ``h`` counted ``least`` times, of phrases of these lengths whose two parts of one word less are ``known``, or that hold a shorter ``fresh`` one."""
     lengths = list(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +175,7 @@ class _Piece:
 
     def grams(self, lengths, known: np.ndarray | None = None, fresh: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length the first words of the phrases that stand in one piece of text, and their hashes."""
-        grams, whole = self.each, np.ones(len(self.each), bool)
+        grams, whole, holds = self.each, np.ones(len(self.each), bool), None
         for n in range(1, max(lengths) + 1):
             size = len(self.each) - n + 1
             if size <= 0:
@@ -188,16 +185,16 @@ class _Piece:
                 # Words n - 1 and n of a phrase must follow each other.
                 whole = whole[:size] & self.joined[n - 2 :][:size]
                 grams = mix(grams[:size] + self.each[n - 1 :] * np.uint64(0x9E3779B185EBCA87) + np.uint64(n))
-            if n not in lengths:
-                continue
             at = np.flatnonzero(whole)
-            if n > 1 and known is not None:
+            if fresh is not None:
+                inside = holds[:-1] | holds[1:] if n > 1 else np.zeros(size, bool)
+                holds = inside.copy()
+                holds[at] |= _in(fresh, self._named(grams, at, n))
+                at = np.flatnonzero(whole & inside)
+            elif n > 1 and known is not None:
                 parts = [self._named(before, at + k, n - 1) for k in (0, 1)]
-                stays = _in(known, parts[0]) & _in(known, parts[1])
-                if fresh is not None:
-                    stays &= _in(fresh, parts[0]) | _in(fresh, parts[1])
-                at = at[stays]
-            if len(at):
+                at = at[_in(known, parts[0]) & _in(known, parts[1])]
+            if n in lengths and len(at):
                 yield n, at, self._named(grams, at, n)
 
     def counted(self, n: int, at: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
