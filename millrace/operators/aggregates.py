@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, need, need_columns
 from ..functions.dates import fiscal_start
+from ..session import materialise
 from .columns import Split, reject_by
 
 COLLECT_LIMIT = 100_000
@@ -43,20 +44,26 @@ def group_aggregate(
     having: str | None = None,
     contract_types: bool = False,
     collect_limit: int = COLLECT_LIMIT,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Group columns, then ``{function, column, alias, order, argument}`` in the order given.
 
-    Lists and sets of values are only built after a count has shown that every group is small.
+    With ``part_rows``, lists and sets of any size come in numbered parts of so many values: a group
+    has one row for each ``part``, from 0, on which its other aggregates repeat. Without, one list
+    holds all, so they are only built after a count has shown that every group is small.
     """
     need(bool(aggregates), "MISSING_AGGREGATES", "needs at least one aggregate")
     need_columns(df, [*group_by, *[str(a["column"]) for a in aggregates if a.get("column") not in (None, "", "*")]])
-    if any(str(a["function"]).lower().startswith("collect_") for a in aggregates):
+    lists = [a for a in aggregates if str(a["function"]).lower() in ("collect_list", "collect_set")]
+    if lists and part_rows is not None:
+        return _with_parts(df, group_by, aggregates, lists, having, contract_types, part_rows)
+    if lists:
         oversized = df.groupBy(*group_by).count().filter(F.col("count") > collect_limit)
-        need(oversized.isEmpty(), "GROUP_TOO_LARGE", f"a group exceeds {collect_limit} rows; keep it as rows")
+        need(oversized.isEmpty(), "GROUP_TOO_LARGE", f"a group exceeds {collect_limit} rows; give part_rows")
     made = []
     for a in aggregates:
         fn, column = str(a["function"]).lower(), a.get("column")
-        name = str(a.get("alias") or f"{fn}_{column if column not in (None, '', '*') else 'all'}")
+        name = _name(a)
         value = aggregate_column(fn, column, a.get("order"), a.get("argument"))  # type: ignore[arg-type]
         if contract_types:
             value = value.cast(result_type(df, fn, column))  # type: ignore[arg-type]
@@ -65,6 +72,65 @@ def group_aggregate(
     return out.filter(F.expr(having)) if having else out
 
 
+def _name(a: Mapping[str, object]) -> str:
+    column = a.get("column")
+    return str(a.get("alias") or f"{str(a['function']).lower()}_{column if column not in (None, '', '*') else 'all'}")
+
+
+def _with_parts(df, group_by, aggregates, lists, having, contract_types, part_rows) -> DataFrame:
+    others = [a for a in aggregates if a not in lists]
+    base = group_aggregate(df, group_by, others, having=having, contract_types=contract_types) if others else df.select(*group_by).distinct()
+    found = None
+    for a in lists:
+        one = collect_parts(df, group_by, str(a["column"]), distinct=str(a["function"]).lower() == "collect_set", part_rows=part_rows, alias=_name(a))
+        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+    names = [_name(a) for a in lists]
+    found = found.groupBy(*group_by, "part").agg(*[F.coalesce(F.first(n, ignorenulls=True), F.array().cast(found.schema[n].dataType)).alias(n) for n in names])
+    keys = {c: f"__g{i}" for i, c in enumerate(group_by)}
+    side = found.withColumnsRenamed(keys)
+    same = F.lit(True)
+    for c, g in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return base.join(side, same).select(*group_by, "part", *[_name(a) for a in aggregates])
+
+
+def collect_parts(
+    df: DataFrame, group_by: Sequence[str], column: str, *, distinct: bool = False, part_rows: int = COLLECT_LIMIT, alias: str = "values"
+) -> DataFrame:
+    """Sorted values of each group, null ones left out, in lists of ``part_rows``: groups, ``part`` (from 0) and the list.
+
+    Equal values are counted first (combined on the map side), so a hot group costs its distinct values.
+    Those are range-partitioned by group and value; the counts of the ranges before, carried per
+    group, give every value its place, and its place the parts. No task holds a whole group. A group
+    without values has one empty part.
+    """
+    need(part_rows > 0, "INVALID_PART_ROWS", str(part_rows))
+    need_columns(df, [*group_by, column])
+    keys = [f"__g{i}" for i in range(len(group_by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(group_by, keys, strict=True)], F.col(column).alias("__v"))
+    some = F.count("__v")
+    counted = rows.groupBy(*keys, "__v").agg((F.least(some, F.lit(1)) if distinct else some).alias("__n"))
+    ranged = materialise(counted.repartitionByRange(*keys, "__v").withColumn("__p", F.spark_partition_id()), "values")
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each group and range.
+    shares = ranged.groupBy("__p", *keys).agg(F.sum("__n").alias("__n"))
+    carried = shares.select(F.col("__p").alias("__q"), *[F.col(k).alias(f"{k}q") for k in keys], ahead(Window.partitionBy(*keys).orderBy("__p")).alias("__carried"))
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}q"))
+    placed = ranged.withColumn("__before", ahead(Window.partitionBy("__p", *keys).orderBy("__v"))).join(carried, same)
+    placed = placed.withColumn("__first", F.col("__before") + F.col("__carried")).withColumn("__end", F.col("__first") + F.col("__n"))
+    size = F.lit(part_rows).cast("long")
+    # A value that stands for nothing only sees to it that its group has a part.
+    spans = F.when(F.col("__n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.expr(f"sequence(__first div {part_rows}, (__end - 1) div {part_rows})"))
+    cut = placed.select(*keys, "__v", "__n", "__first", "__end", F.explode(spans).alias("part"))
+    take = F.least("__end", (F.col("part") + 1) * size) - F.greatest("__first", F.col("part") * size)
+    pieces = F.when(F.col("__n") > 0, F.struct(F.col("__v").alias("v"), take.cast("int").alias("n")))
+    made = cut.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(pieces)).alias("x"))
+    values = F.flatten(F.transform("x", lambda x: F.array_repeat(x["v"], x["n"])))
+    return made.select(*[F.col(k).alias(c) for c, k in zip(group_by, keys, strict=True)], "part", values.alias(alias))
+
+
 def result_type(df: DataFrame, fn: str, column: str | None) -> T.DataType:
     """Contract types: counts long, averages double, min/max as the source, sums long or double."""
     if fn in ("count", "count_distinct"):
@@ -196,29 +262,73 @@ def windowed_features(
     """Features per entity and cut-off: ``{name: (function, days, value or condition)}``.
 
     ``count`` counts rows where the condition holds (all rows when it is None); the window is
-    ``(cutoff - days, cutoff]``. All windows come from one pass over the events; entities without
-    events get the default. Excluded (leaking) columns are dropped before any expression sees them.
-    """
-    from .joins import join_point_in_time
+    ``(cutoff - days, cutoff]``, a day being 24 hours. Entities without events get the default.
+    Excluded (leaking) columns are dropped before any expression sees them.
 
+    Events are read twice and never meet the cut-offs as rows. Once they are reduced to panes, one
+    row for each entity and day (combined on the map side); once the days at the two ends of a window
+    are swept in time order. Cut-offs are put into that order as probes, which read the running
+    aggregate before them, so the work is linear in events and cut-offs, however many an entity has.
+    """
+    need_columns(entities, [*key, cutoff])
     safe = events.drop(*excluded)
-    longest = max(days for _, days, _ in features.values())
-    joined = join_point_in_time(entities, safe, key, cutoff, event_time).filter(
-        F.col(event_time) > F.col(cutoff) - F.expr(f"INTERVAL {int(longest)} DAYS")
-    )
-    made = []
-    for name, (fn, days, value) in features.items():
-        inside = F.col(event_time) > F.col(cutoff) - F.expr(f"INTERVAL {int(days)} DAYS")
+    need_columns(safe, [*key, event_time])
+    parts: dict[str, tuple[str, int, Column]] = {}  # helper -> merge function, days, value of one event
+    finish: dict[str, Column] = {}
+    for i, (name, (fn, days, value)) in enumerate(features.items()):
+        need(days > 0, "INVALID_DAYS", str(days))
+        h = f"__f{i}"
         if fn == "count":
-            hit = inside if value is None else inside & value
-            made.append(F.count(F.when(hit, F.lit(1))).alias(name))
+            hit = F.lit(True) if value is None else value
+            parts[h] = ("sum", days, F.when(hit, F.lit(1).cast("long")))
         else:
             need(value is not None and fn in ("sum", "max", "min", "avg"), "INVALID_FEATURE", name)
-            made.append(getattr(F, fn)(F.when(inside, value)).alias(name))
-    rollup = joined.groupBy(*key, cutoff).agg(*made)
+            parts[h] = ("sum" if fn == "avg" else fn, days, value)  # type: ignore[assignment]
+            if fn == "avg":
+                parts[f"{h}n"] = ("sum", days, F.when(value.isNotNull(), F.lit(1).cast("long")))  # type: ignore[union-attr]
+        finish[name] = F.try_divide(h, f"{h}n") if fn == "avg" else F.col(h)
+    lengths = sorted({days for _, days, _ in parts.values()})
+    day = 86_400_000_000
     base = entities.select(*key, cutoff).distinct()
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    points = base.dropna().select(*key, cutoff, micros(cutoff).alias("__c"))
+    times = safe.dropna(subset=[*key, event_time]).select(*key, micros(event_time).alias("__t"), *[v.alias(h) for h, (_, _, v) in parts.items()])
+    times = times.withColumn("__s", F.floor(F.col("__t") / day))
+
+    # The first and last day of a window, swept event by event; a head serves windows of every length.
+    begun = points.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("__days"))
+    heads = points.select(*key, cutoff, F.lit(None).cast("int").alias("__days"), F.col("__c").alias("__t"), F.lit(1).alias("__kind"))
+    tails = begun.select(*key, cutoff, "__days", (F.col("__c") - F.col("__days").cast("long") * day).alias("__t"), F.lit(2).alias("__kind"))
+    ends = heads.unionByName(tails).withColumn("__s", F.floor(F.col("__t") / day))
+    edge = times.join(ends.select(*key, "__s").distinct(), [*key, "__s"], "left_semi")
+    met = _sweep(edge, ends, [*key, "__s"], parts)
+
+    # The whole days between: panes in slices as wide as they are many, so a window ends in one slice and begins in the one before.
+    inner = [n for n in lengths if n > 1]
+    if inner:
+        panes = times.groupBy(*key, "__s").agg(*[getattr(F, fn)(h).alias(h) for h, (fn, _, _) in parts.items()])
+        wide = F.col("__days") - 1
+        panes = panes.withColumn("__days", F.explode(F.array(*[F.lit(n) for n in inner])))
+        panes = panes.select(*key, "__days", F.col("__s").alias("__t"), F.floor(F.col("__s") / wide).alias("__s"), *parts)
+        last = F.floor(F.col("__c") / day) - 1
+        asked = begun.filter("__days > 1").select(*key, cutoff, "__days", F.explode(F.array(F.struct(last.alias("t"), F.lit(1).alias("kind")), F.struct((last - wide).alias("t"), F.lit(2).alias("kind")))).alias("x"))
+        asked = asked.select(*key, cutoff, "__days", F.col("x.t").alias("__t"), F.col("x.kind").alias("__kind"), F.floor(F.col("x.t") / wide).alias("__s"))
+        met = met.unionByName(_sweep(panes, asked, [*key, "__days", "__s"], parts))
+    fits_window = lambda days: F.col("__days").isNull() | (F.col("__days") == days)
+    rollup = met.groupBy(*key, cutoff).agg(*[getattr(F, fn)(F.when(fits_window(days), F.col(h))).alias(h) for h, (fn, days, _) in parts.items()])
+    made = rollup.select(*key, cutoff, *[c.alias(n) for n, c in finish.items()])
     filled = {n: F.coalesce(F.col(n), F.lit(default)) for n in features}
-    return base.join(rollup, [*key, cutoff], "left").withColumns(filled)
+    return base.join(made, [*key, cutoff], "left").withColumns(filled)
+
+
+def _sweep(data: DataFrame, probes: DataFrame, by: Sequence[str], parts: Mapping[str, tuple[str, int, Column]]) -> DataFrame:
+    """Probes with the aggregate of the data in their slice: up to their time (kind 1), or after it (kind 2)."""
+    rows = data.withColumn("__kind", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+    up = Window.partitionBy(*by).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*by).orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = {h: F.when(F.col("__kind") == 1, getattr(F, fn)(h).over(up)).otherwise(getattr(F, fn)(h).over(down)) for h, (fn, _, _) in parts.items()}
+    own = [c for c in probes.columns if c not in ("__t", "__s", "__kind")]
+    return rows.withColumns(seen).filter("__kind > 0").select(*own, *parts)
 
 
 def join_features(entities: DataFrame, key: Sequence[str], features: Sequence[DataFrame], default: object = 0) -> DataFrame:
@@ -235,12 +345,13 @@ def join_features(entities: DataFrame, key: Sequence[str], features: Sequence[Da
 def downsample(
     df: DataFrame, time: str, unit: str, series: Sequence[str], value: str, method: str = "average"
 ) -> DataFrame:
-    """One value per series and bucket: average, first or last by time."""
+    """One value per series and bucket: average, first or last by time; of equal times the least or greatest value."""
     need_columns(df, [time, value, *series])
+    place = F.when(F.col(time).isNotNull(), F.struct(time, value))
     how = {
         "average": F.avg(value),
-        "first": F.min_by(value, time),
-        "last": F.max_by(value, time),
+        "first": F.min_by(value, place),
+        "last": F.max_by(value, place),
     }
     if method not in how:
         raise ConfigError("INVALID_METHOD", method)

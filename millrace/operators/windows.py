@@ -382,7 +382,9 @@ def rolling_days(
     rows = F.struct(*[F.col(f"`{c}`") for c in [*df.columns, *heads]])
     data = made.select(*keys, SLICE, F.col(time).alias("__t"), F.lit(0).alias("__kind"), *tails, F.lit(None).cast(made.select(rows).schema[0].dataType).alias("__row"))
     begin = F.col(time) - F.expr(f"INTERVAL {int(days)} DAYS")
-    probes = made.select(
+    # Rows without a time are peers of each other alone: their frame is their own slice.
+    timeless = made.filter(F.col(time).isNull()).select(rows.alias("__row"), *[F.lit(None).cast(made.schema[c].dataType).alias(c) for c in tails])
+    probes = made.filter(F.col(time).isNotNull()).select(
         *keys, (F.col(SLICE) - 1).alias(SLICE), begin.alias("__t"), F.lit(1).alias("__kind"),
         *[F.lit(None).cast(made.schema[c].dataType).alias(c) for c in tails], rows.alias("__row"),
     )
@@ -391,7 +393,7 @@ def rolling_days(
     met = data.unionByName(probes.repartition(*keys, SLICE)).withColumns(
         {c: F.last(c, ignorenulls=True).over(back) for c in tails}
     )
-    found = met.filter("__kind = 1").select("__row.*", *tails)
+    found = met.filter("__kind = 1").select("__row", *tails).unionByName(timeless).select("__row.*", *tails)
 
     def merged(h: str) -> Column:
         fn = parts[h][0]

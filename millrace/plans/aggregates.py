@@ -231,6 +231,26 @@ def _(t):
     return joined.groupBy("part_p_brand", "part_p_type").agg(F.sum("lines").alias("lines"), F.sum("qty").alias("qty"))
 
 
+@query(
+    "agg_collect_parts",
+    """WITH n AS (SELECT o_orderstatus, o_custkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) - 1) // 500 AS part FROM orders),
+       l AS (SELECT o_orderstatus, part, string_agg(o_custkey, ',' ORDER BY o_custkey) AS customers FROM n GROUP BY ALL),
+       d AS (SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities, count(*) AS orders FROM orders GROUP BY ALL)
+       SELECT l.o_orderstatus, part, orders, customers, CASE WHEN part = 0 THEN priorities ELSE '' END AS priorities FROM l JOIN d USING (o_orderstatus)""",
+)
+def _(t):
+    out = op.group_aggregate(
+        t.orders, ["o_orderstatus"],
+        [
+            {"function": "count", "column": "*", "alias": "orders"},
+            {"function": "collect_list", "column": "o_custkey", "alias": "customers"},
+            {"function": "collect_set", "column": "o_orderpriority", "alias": "priorities"},
+        ],
+        part_rows=500,
+    )
+    return out.withColumns({"customers": F.concat_ws(",", F.col("customers").cast("array<string>")), "priorities": F.concat_ws(",", "priorities")})
+
+
 FEATURES_SQL = """
 WITH cut AS (SELECT user_id, CASE WHEN max(value) > 200 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-01-02' END AS cutoff FROM events GROUP BY user_id),
 f AS (
@@ -265,6 +285,25 @@ def _(t):
     return feature_table(t)
 
 
+@query(
+    "agg_features_daily",
+    """WITH cut AS (SELECT DISTINCT user_id, time_bucket(INTERVAL 12 HOUR, ts) AS cutoff FROM events)
+       SELECT c.user_id, c.cutoff, count(*) FILTER (ts > cutoff - INTERVAL 1 DAY) AS n_1d, count(*) FILTER (ts > cutoff - INTERVAL 3 DAY) AS n_3d,
+              coalesce(round(avg(value) FILTER (ts > cutoff - INTERVAL 3 DAY), 8), 0) AS avg_3d, coalesce(min(value) FILTER (ts > cutoff - INTERVAL 7 DAY), 0) AS min_7d,
+              coalesce(max(value), 0) AS max_14d
+       FROM cut c LEFT JOIN events e ON e.user_id = c.user_id AND ts <= cutoff AND ts > cutoff - INTERVAL 14 DAY GROUP BY ALL""".replace(
+        "count(*) FILTER (ts", "count(*) FILTER (e.user_id IS NOT NULL AND ts"
+    ),
+)
+def _(t):
+    cutoffs = t.events.select("user_id", F.expr("timestampadd(HOUR, 12 * (hour(ts) div 12), date_trunc('DAY', ts))").cast("timestamp_ntz").alias("cutoff")).distinct()
+    out = op.windowed_features(
+        cutoffs, t.events, ["user_id"], "cutoff", "ts",
+        {"n_1d": ("count", 1, None), "n_3d": ("count", 3, None), "avg_3d": ("avg", 3, F.col("value")), "min_7d": ("min", 7, F.col("value")), "max_14d": ("max", 14, F.col("value"))},
+    )
+    return out.withColumn("avg_3d", F.round("avg_3d", 8))
+
+
 @query(
     "agg_feature_join",
     """SELECT c_custkey, coalesce(o.n, 0) AS orders, coalesce(o.total, 0.0) AS total, coalesce(f.n, 0) AS open_orders FROM customer

@@ -110,6 +110,30 @@ def _(t):
     return fuzzy.dedupe_fuzzy(rows, "p_name", exact=["p_brand"], order=["p_partkey"], max_edits=1)
 
 
+# Names cut to seven characters, five edits: most pairs are similar, and many names have no more characters than edits.
+SHORT_SQL = FUZZY_SQL.replace("FROM part", "FROM short").replace("<= 2", "<= 5").replace(
+    "WITH RECURSIVE", "WITH RECURSIVE short AS (SELECT p_partkey, substring(p_name, 1, 4 + p_partkey % 4) AS p_name, p_type FROM part),"
+)
+
+
+@query("win_dedupe_short", SHORT_SQL)
+def _(t):
+    rows = t.part.select("p_partkey", F.expr("substring(p_name, 1, 4 + p_partkey % 4)").alias("p_name"), "p_type")
+    return fuzzy.dedupe_fuzzy(rows, "p_name", exact=["p_type"], order=["p_partkey"], max_edits=5, same_soundex=False)
+
+
+@query(
+    "win_rolling_null",
+    """WITH e AS (SELECT event_id, user_id, value, CASE WHEN event_id % 5 <> 0 THEN ts END AS ts FROM events)
+       SELECT event_id, round(sum(value) OVER w, 4) AS sum_2d, count(event_id) OVER w AS n_2d FROM e
+       WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)""",
+)
+def _(t):
+    events = t.events.select("event_id", "user_id", "value", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"))
+    out = op.rolling_days(events, ["user_id"], "ts", {"sum_2d": ("sum", "value"), "n_2d": ("count", "event_id")}, 2)
+    return out.select("event_id", F.round("sum_2d", 4).alias("sum_2d"), "n_2d")
+
+
 @query(
     "win_rolling_rows",
     """SELECT event_id, round(avg(value) OVER w, 4) AS avg_3, max(value) OVER w AS max_3, count(*) OVER w AS n_3 FROM events

@@ -142,7 +142,7 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("k,sound", [(1, False), (2, False), (1, True)])
+@pytest.mark.parametrize("k,sound", [(1, False), (2, False), (1, True), (4, False), (6, False)])
 def test_similar_pairs_equal_brute_force(spark, k, sound):
     rng = random.Random(11)
     base = ["martin", "marten", "robert", "rupert", "smith", "smyth", "jonson", "johnson", "aa", "a", "ab"]
@@ -164,6 +164,15 @@ def test_connected_groups(spark):
     assert got == {**{f"n{i:03d}": "n000" for i in range(41)}, "x": "x", "y": "x", "z": "x"}
 
 
+def test_short_names_are_linked_without_pairs(spark):
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(100, "abcdefgh"), (101, "abcdxfgh")], "id int, name string")
+    links = fuzzy._similar_links(df, "name", (), 2, False)
+    assert links.count() <= len(names) + 1
+    got = {(r["id"], r["group_name"]) for r in fuzzy.dedupe_fuzzy(df, "name", order=["id"], max_edits=2, same_soundex=False).collect()}
+    assert got == {(0, "ak"), (100, "abcdefgh")}
+
+
 def test_profile_tells_long_texts_apart(rows):
     from millrace.operators import profiling
 

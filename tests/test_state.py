@@ -1,6 +1,7 @@
 """Joins over time, history, merges, models and as-of state."""
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,42 @@ def test_features(rows, values):
     assert values(got.drop("c")) == [("x", 1, 50.0, 2, 100.0, 1), ("y", 0, 0.0, 0, 0.0, 0)]
 
 
+def test_features_at_many_cutoffs_equal_a_join(spark):
+    rng = random.Random(3)
+    start = datetime(2024, 3, 1)
+    moment = lambda: start + timedelta(minutes=rng.choice([0, 1, 720, 1440]) * rng.randrange(40))
+    events = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice([None] + [moment() for _ in range(9)]), rng.choice([None, 1.5, -2.0, 4.25])) for _ in range(500)]
+    cuts = [(k, m) for k in ("a", "hot", "new", None) for m in [moment() for _ in range(12)] + [start + timedelta(days=9)]] + [("a", None)]
+    want = {}
+    for k, c in set(cuts):
+        near = lambda days: [v for ek, t, v in events if k is not None and c is not None and ek == k and t is not None and c - timedelta(days=days) < t <= c]  # noqa: B023, E731
+        v1, v5, v9 = ([x for x in near(d) if x is not None] for d in (1, 5, 9))
+        want[(k, c)] = (len(near(1)), sum(v1), min(v5, default=0), sum(v5) / len(v5) if v5 else 0, max(v9, default=0), len([x for x in v9 if x > 0]))
+    got = aggregates.windowed_features(
+        spark.createDataFrame(cuts + cuts[:3], "k string, c timestamp"), spark.createDataFrame(events, "k string, t timestamp, v double"), ["k"], "c", "t",
+        {"n1": ("count", 1, None), "s1": ("sum", 1, F.col("v")), "lo5": ("min", 5, F.col("v")), "a5": ("avg", 5, F.col("v")), "hi9": ("max", 9, F.col("v")), "p9": ("count", 9, F.col("v") > 0)},
+    ).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert tuple(r)[2:] == pytest.approx(want[(r["k"], r["c"])])
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_lists_of_hot_groups_come_in_parts(spark, size):
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 5, 5, 5, *range(40)])) for _ in range(600)] + [("void", None)]
+    frame = spark.createDataFrame(data, "g string, v int")
+    wanted = [{"function": "count", "column": "*", "alias": "n"}, {"function": "collect_list", "column": "v", "alias": "all"}, {"function": "collect_set", "column": "v", "alias": "set"}]
+    rows = aggregates.group_aggregate(frame, ["g"], wanted, part_rows=size).collect()
+    for g in {g for g, _ in data}:
+        mine = sorted((r for r in rows if r["g"] == g), key=lambda r: r["part"])
+        values = sorted(v for k, v in data if k == g and v is not None)
+        assert [r["part"] for r in mine] == list(range(max(1, -(-len(values) // size))))
+        assert all(len(r["all"]) <= size and r["n"] == sum(k == g for k, _ in data) for r in mine)
+        assert [v for r in mine for v in r["all"]] == values
+        assert [v for r in mine for v in r["set"]] == sorted(set(values))
+
+
 def test_fact_and_mart(rows, values):
     lines = rows("s string, l string, p string, q int, price double", ("1", "a", "P1", 2, 10.0), ("1", "b", "PX", 1, 5.0), ("9", "a", "P1", 1, 1.0), ("9", "a", "P1", 1, 1.0))
     dim = rows("pid string, sku string", ("P1", "SKU-1"), ("P2", None))

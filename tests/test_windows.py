@@ -83,6 +83,17 @@ def test_rolling_days_on_zoned_timestamps(spark, series, values):
     assert values(got) == values(want)
 
 
+@pytest.mark.parametrize("days", [1, 4])
+def test_rolling_days_with_null_times(series, values, days):
+    holed = series.withColumn("day", F.when(F.col("id") % 3 != 0, F.col("day")))
+    made = {"s": ("sum", "v"), "lo": ("min", "v"), "n": ("count", "id")}
+    got = W.rolling_days(holed, ["k"], "day", made, days).select("id", *made)
+    over = f"OVER (PARTITION BY k ORDER BY day RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)"
+    want = holed.select("id", *[F.expr(f"{fn}({c}) {over}").alias(n) for n, (fn, c) in made.items()])
+    rounded = lambda df: df.withColumn("s", F.round("s", 6))
+    assert values(rounded(got)) == values(rounded(want))
+
+
 def test_dedupe_does_not_depend_on_layout(series, values):
     one = W.dedupe(series.repartition(1), ["k"], ["day desc"])
     many = W.dedupe(series.repartition(17, "v"), ["k"], ["day desc"])
