@@ -5,8 +5,9 @@ A text is compressed with every dictionary; the language whose dictionary leaves
 wins. ``score`` turns the margin over the runner-up into a confidence, and ``rejected`` marks
 margins below a bound, for callers that prefer no answer.
 
-The training sample is bounded: about ``sample_texts`` texts and at most ``dictionary_bytes`` bytes
-of lines for each language. Predictions read every whole text.
+The training sample is bounded: at most ``sample_texts`` different texts and ``dictionary_bytes`` bytes
+of lines for each language, however its rows are copied. A language with a training text is never
+without a dictionary. Predictions read every whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; ties go to
 the language that sorts first; rows without a language teach nothing; with no training rows every
@@ -35,17 +36,21 @@ def train_dictionaries(docs: DataFrame, training: Column, lang_col: str = "lang"
                        dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """Raw dictionary content for each language of the rows where ``training`` holds.
 
-    Counts come first, so the share of texts drawn falls as the table grows; lines are then taken in
+    The number of different texts comes first, so the share drawn by hash falls as the table grows; it is
+    twice what is needed, and the first ``sample_texts`` in hash order stay. Lines are then taken in
     hash order until the dictionary is full, which is at most some megabytes for all languages.
     """
     rows = docs.filter(training).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.filter("lang is not null and text is not null and length(trim(text)) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample_texts / n))])
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2 * sample_texts / max(n, 1)))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    lines = rows.filter(draw).distinct().select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    drawn = rows.filter(draw).distinct()
+    first = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    drawn = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_texts)
+    lines = drawn.select("lang", F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.filter("length(line) > 0").select("lang", "line", F.xxhash64("line").alias("h")).distinct()
     order = W.partitionBy("lang").orderBy("h", "line").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("line") + 1).over(order), F.lit(0))

@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, exact, langid, secrets
 from millrace.llm.queries import QUERIES
@@ -191,3 +193,40 @@ def test_trigram_queries():
     q = secrets.trigram_query(secrets.RULES[0].pattern)
     assert len(q) == 1 and frozenset({"sec", "ecr", "cre", "ret"}) in {a & {"sec", "ecr", "cre", "ret"} for a in q[0]}
     assert secrets.trigram_query("[0-9a-f]+") == () and secrets.trigram_query("AKIA[A-Z]+") == ((frozenset({"aki", "kia"}),),)
+
+
+def test_a_language_of_copies_keeps_its_dictionary(spark):
+    german = ["der Hund und die Katze liegen im Garten", "wir gehen heute in die Stadt und kaufen Brot", "das Wetter wird morgen wieder besser"]
+    english = [f"the cat and the dog walk to the market on day {i}" for i in range(50)]
+    data = [(i, german[i % 3], "de") for i in range(4000)] + [(i, t, "en") for i, t in enumerate(english)] + [(1, "  ", "fr"), (2, None, "es"), (3, "x", None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    known = langid.train_dictionaries(frame, F.lit(True))
+    assert sorted(known) == ["de", "en"]
+    assert sorted(known["de"].decode().split("\n")) == sorted(german)
+    asked = spark.createDataFrame([(1, "die Katze und der Hund gehen in die Stadt"), (2, "the dog and the cat walk")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict_language(asked, known).collect()} == {1: "de", 2: "en"}
+
+
+def test_language_is_the_smallest_compression(spark, documents):
+    frame = spark.createDataFrame(documents, "doc_id long, text string, lang string")
+    known = langid.train_dictionaries(frame, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(frame, known).collect()}
+    for doc_id, text, _ in documents:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[doc_id] == "und"
+            continue
+        sizes = {}
+        for lang, content in sorted(known.items()):
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=langid.LEVEL)
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False).compress(text.encode()))
+        assert got[doc_id] == min(sizes, key=lambda k: (sizes[k], k))
+
+
+def test_empty_tables(rows, ranks):
+    empty = rows("doc_id long, text string, lang string")
+    assert bpe.encode(empty, ranks, PATTERN).count() == 0
+    assert langid.train_dictionaries(empty, F.lit(True)) == {}
+    assert langid.predict_language(empty, {}).count() == 0
+    assert secrets.find_secrets(empty).count() == 0
+    assert chat.format_conversations(rows("conv_id long, turn int, role string, text string")).count() == 0
