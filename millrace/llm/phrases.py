@@ -47,7 +47,7 @@ LEAST, WORDS, TOP = 30, 4, 2000
 SHARE = 0.25
 BITS = 26
 #: Bytes counted at once, bytes hashed at once, phrases given back at once.
-PIECE_BYTES, HASH_BYTES, OUT_ROWS = 6 << 20, 1 << 20, 1 << 17
+PIECE_BYTES, HASH_BYTES, OUT_ROWS = 3 << 20, 1 << 20, 1 << 17
 _STOPS = byte_table(*map(ord, ".,;:!?"), *range(0x0A, 0x0E))
 _BETWEEN = _STOPS | byte_table(0x20, 0x09)
 _LENGTHS = 7
