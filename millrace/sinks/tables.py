@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,12 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str],
     )
 
 
+#: What the folder of a table's key filters (see ``merge_files``) has in its name behind the table's.
+KEY_FILTERS = ".keys"
+#: Keys for each filter block of 32,768 bits (16 bits a key), and bits set for a key.
+BLOCK_KEYS, KEY_BITS = 2048, 4
+
+
 def merge_files(
     spark: SparkSession, path: str, delta: DataFrame, keys: Sequence[str], order: Sequence[str], partition_by: Sequence[str]
 ) -> None:
@@ -55,30 +62,103 @@ def merge_files(
     where nothing stays in it. The new partitions are staged in the shared folder and read back
     before the overwrite, so the job never reads the files it replaces, and running it again after
     a failure gives the same table.
+
+    Which partitions hold keys of the delta is looked up in Bloom filters kept beside the table, one
+    for each partition. A filter names the files it was made from; where these have changed, or no
+    filter is there, the partition is read, and gets a filter afterwards. Staged data is deleted.
     """
     need_columns(delta, [*keys, *partition_by])
     target = spark.read.parquet(path)
+    wanted = delta.select(*[F.col(k).cast(target.schema[k].dataType).alias(k) for k in keys]).distinct()
+    named = lambda df: df.select(_partition_name(df, partition_by).alias("p")).distinct()
+    current = _partition_files(spark, path, partition_by)
+    stale, may_hold = _candidates(spark, path, wanted, keys, current)
+    # Names of partitions only: their number is that of the table's folders.
+    held = target.filter(_is_in(target, partition_by, stale | may_hold)).select(*keys, *partition_by).join(wanted, list(keys), "left_semi")
     kinds = [F.col(c).cast(target.schema[c].dataType).alias(c) for c in partition_by]
-    held = target.select(*keys, *partition_by).join(delta.select(*keys).distinct(), list(keys), "left_semi")
-    touched = materialise(delta.select(*kinds).union(held.select(*partition_by)).distinct(), "merge-touched")
-    merged = materialise(upsert(_in_partitions(target, touched, partition_by), delta, keys, order), "merge")
-    left = merged.select(*kinds).distinct()
-    emptied = _in_partitions(touched, left, partition_by, "left_anti")
-    files = target.select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("f"))
-    folders = [] if emptied.isEmpty() else _in_partitions(files, emptied, partition_by).select("f").distinct().collect()
+    touched = {r["p"] for r in named(delta.select(*kinds).union(held.select(*partition_by))).collect()}
+    staged = scratch_path(spark, "merge")
+    merged = upsert(target.filter(_is_in(target, partition_by, touched)), delta, keys, order)
+    merged.write.parquet(staged)
+    merged = spark.read.schema(merged.schema).parquet(staged)
+    emptied = touched - {r["p"] for r in named(merged.select(*kinds)).collect()}
     overwrite_partitions(merged, path, partition_by)
-    for row in folders:  # names of emptied partitions only
-        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["f"]))  # type: ignore[union-attr]
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # type: ignore[attr-defined]
-
-
-def _in_partitions(rows: DataFrame, partitions: DataFrame, partition_by: Sequence[str], how: str = "left_semi") -> DataFrame:
-    """Rows in (or with ``left_anti`` outside) the named partitions; the null partition is one of them."""
-    named = partitions.select(*[F.col(c).alias(f"__p_{c}") for c in partition_by])
-    same = F.lit(True)
-    for c in partition_by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
-    return rows.join(named, same, how)
+    for folder in [f for p, _, f in current if p in emptied]:
+        _delete(spark, folder)
+    _write_filters(spark, path, keys, partition_by, (touched | stale) - emptied)
+    _delete(spark, staged)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))  # type: ignore[union-attr]
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # type: ignore[attr-defined]
+
+
+def _partition_name(df: DataFrame, partition_by: Sequence[str]) -> Column:
+    """The values of a partition as one text; null, as its folder, is apart from all of them."""
+    return F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c) for c in partition_by]))
+
+
+def _is_in(target: DataFrame, partition_by: Sequence[str], names: set[str]) -> Column:
+    """A predicate on partition columns alone, so that only these partitions are read."""
+    return _partition_name(target, partition_by).isin(sorted(names)) if names else F.lit(False)
+
+
+def _partition_files(spark: SparkSession, path: str, partition_by: Sequence[str]) -> list[tuple[str, int, str]]:
+    """Name, stamp of the files and folder of each partition, from their listing; no file is opened."""
+    schema = spark.read.parquet(path).schema
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).drop("content")
+    listed = listed.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in partition_by], "path", "length", "modificationTime")
+    stamp = F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+    rows = listed.groupBy(_partition_name(listed, partition_by).alias("p")).agg(stamp.alias("s"), F.min(F.regexp_replace("path", "/[^/]*$", "")).alias("f"))
+    return [(r["p"], r["s"], r["f"]) for r in rows.collect()]
+
+
+def _key_bits(keys: Sequence[str], blocks: Column) -> list[Column]:
+    """Block of a key among ``blocks``, and its bits there."""
+    h = F.xxhash64(*keys)
+    block = F.pmod(F.xxhash64(F.lit(1), *keys), blocks)
+    bits = F.array(*[F.shiftrightunsigned(h, 15 * i).bitwiseAND(32767) for i in range(KEY_BITS)])
+    return [block.alias("block"), bits.alias("bits")]
+
+
+def _candidates(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str], current: Sequence[tuple[str, int, str]]) -> tuple[set[str], set[str]]:
+    """Partitions without a valid filter, and those whose filter lets some of the wanted keys pass."""
+    try:
+        filters = spark.read.parquet(path.rstrip("/") + KEY_FILTERS)
+    except AnalysisException:  # no filters yet
+        return {p for p, _, _ in current}, set()
+    now = spark.createDataFrame([(p, s) for p, s, _ in current], "p string, s long")
+    valid = filters.join(F.broadcast(now), ["p", "s"])
+    sizes = valid.select("p", "blocks").distinct().collect()
+    stale = {p for p, _, _ in current} - {r["p"] for r in sizes}
+    kinds = sorted({r["blocks"] for r in sizes})  # powers of two
+    if not kinds:
+        return stale, set()
+    asked = wanted.withColumn("blocks", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    asked = asked.select("blocks", *_key_bits(keys, F.col("blocks")))
+    # Bit i of a bitmap is bit i % 8 of byte i / 8.
+    found = valid.join(asked, ["blocks", "block"])
+    passes = F.lit(True)
+    for i in range(KEY_BITS):
+        passes = passes & (F.expr(f"shiftright(cast(conv(hex(substring(bitmap, cast(shiftright(bits[{i}], 3) as int) + 1, 1)), 16, 10) as int), cast(bits[{i}] & 7 as int)) & 1 = 1"))
+    return stale, {r["p"] for r in found.filter(passes).select("p").distinct().collect()}
+
+
+def _write_filters(spark: SparkSession, path: str, keys: Sequence[str], partition_by: Sequence[str], names: set[str]) -> None:
+    """Filters of these partitions, sized by their rows; each replaces the one before."""
+    if not names:
+        return
+    target = spark.read.parquet(path)
+    rows = target.filter(_is_in(target, partition_by, names)).select(_partition_name(target, partition_by).alias("p"), *[F.col(k) for k in keys])
+    size = rows.groupBy("p").agg(F.expr(f"cast(pow(2, ceil(log2(greatest(count(*) / {BLOCK_KEYS}, 1)))) as long)").alias("blocks"))
+    stamps = [(p, s) for p, s, _ in _partition_files(spark, path, partition_by) if p in names]
+    # One row for each partition.
+    size = size.join(spark.createDataFrame(stamps, "p string, s long"), "p")
+    placed = rows.join(F.broadcast(size), "p").select("p", "s", "blocks", *_key_bits(keys, F.col("blocks")))
+    made = placed.select("p", "s", "blocks", "block", F.explode("bits").alias("bit")).groupBy("p", "s", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    made = made.withColumn("folder", F.sha1("p"))
+    overwrite_partitions(made, path.rstrip("/") + KEY_FILTERS, ["folder"])
 
 
 def prepare_upsert(df: DataFrame, keys: Sequence[str], updated_at: str, tie: Sequence[str] = ()) -> Split:

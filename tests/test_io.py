@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import json
+import os
 from datetime import date, datetime
 
 import pytest
@@ -226,3 +227,40 @@ def test_steps(rows):
     with pytest.raises(ConfigError, match="UNKNOWN_STEP"):
         apply_steps(df, [("fly", {})])
     assert F is not None
+
+
+def test_merge_reads_only_partitions_that_may_hold_the_keys(spark, rows, tmp_path):
+    import glob
+
+    path = f"file://{tmp_path}/t"
+    table = [(i, i % 5 if i % 5 else None, 0.0) for i in range(3000)]
+    kinds = "id long, p int, v double"
+    tables.overwrite_partitions(spark.createDataFrame(table, kinds), path, ["p"])
+    want = {i: (p, v) for i, p, v in table}
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/t/p=*/*.parquet")}
+
+    def merge(*delta):
+        want.update({i: (p, v) for i, p, v in delta})
+        tables.merge_files(spark, path, spark.createDataFrame([(*d, 1) for d in delta], kinds + ", seq int"), ["id"], ["seq desc"], ["p"])
+        got = {r["id"]: (r["p"], r["v"]) for r in spark.read.parquet(path).collect()}
+        assert got == want and spark.read.parquet(path).count() == len(want)
+
+    merge((7, 2, 1.0))  # no filters yet: all partitions are looked into and get one
+    current = tables._partition_files(spark, path, ["p"])
+    keys = lambda *k: spark.createDataFrame([(i,) for i in k], "id long")
+    name = {p: f'{{"p":"{p if p else "__HIVE_DEFAULT_PARTITION__"}"}}' for p in (None, 1, 2, 3, 4)}
+    for k in range(0, 3000, 97):  # a filter never hides a key
+        stale, found = tables._candidates(spark, path, keys(k), ["id"], current)
+        assert not stale and name[want[k][0]] in found
+    stale, found = tables._candidates(spark, path, keys(*range(10_000, 10_020)), ["id"], current)
+    assert not stale and len(found) <= 2
+    before = files()
+    merge((8, 4, 2.0), (8 + 3000, 4, 2.0))  # moves from 3 to 4; 1, 2 and the null partition stay as they are
+    after = files()
+    assert {f for f in before if f in after and before[f] == after[f]} >= {f for f in before if "p=1/" in f or "p=2/" in f or "p=__" in f}
+    spark.createDataFrame([(5000, 9.0)], "id long, v double").write.mode("append").parquet(f"{path}/p=1")
+    want[5000] = (1, 9.0)
+    merge((5000, 2, 3.0))  # files that a filter does not know are read
+    merge(*[(i, 3, 4.0) for i, (p, _) in list(want.items()) if p is None])  # the null partition is left empty
+    assert not glob.glob(f"{tmp_path}/t/p=__HIVE*")
+    merge(*[(i, None, 5.0) for i in range(3)])
