@@ -292,6 +292,9 @@ def join_point_in_time(
     return joined.filter(F.col(event_time) <= F.col(cutoff))
 
 
+VALIDITY_STEPS = {"week": "7 DAY", "month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}
+
+
 def join_validity(
     left: DataFrame,
     periods: DataFrame,
@@ -300,18 +303,59 @@ def join_validity(
     start: str,
     end: str,
     columns: Sequence[str],
+    *,
+    slice_by: str = "month",
+    max_broadcast: int = BROADCAST_ROWS,
+    hot_rows: int = 1_000_000,
+    salts: int = 32,
 ) -> DataFrame:
-    """Left join to the period whose inclusive ``[start, end]`` covers the business date."""
+    """Left join to the period whose inclusive ``[start, end]`` covers the business date.
+
+    Few periods are broadcast. Otherwise periods are cut into calendar slices, up to the last date
+    there is, and joined by key and slice: a row lies in one slice, so it meets a period once. The rows
+    of a key and slice beyond ``hot_rows`` are spread over ``salts`` tasks, as are rows without a key.
+    """
     pairs = _pairs(on)
+    need(slice_by in VALIDITY_STEPS, "INVALID_SLICE", slice_by)
+    names = [f"__k{i}" for i in range(len(pairs))]
     side = periods.select(
-        *[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)],
+        *[F.col(b).alias(k) for k, (_, b) in zip(names, pairs, strict=True)],
         F.col(start).alias("__start"), F.col(end).alias("__end"), *columns,
     )
     cond = (F.col(day) >= F.col("__start")) & (F.col("__end").isNull() | (F.col(day) <= F.col("__end")))
-    for i, (lk, _) in enumerate(pairs):
-        cond = cond & (F.col(lk) == F.col(f"__k{i}"))
-    joined = left.join(broadcast_if_small(side), cond, "left")
-    return joined.drop("__start", "__end", *[f"__k{i}" for i in range(len(pairs))])
+    for k, (lk, _) in zip(names, pairs, strict=True):
+        cond = cond & (F.col(lk) == F.col(k))
+    if fits(side, max_broadcast):
+        return left.join(F.broadcast(side), cond, "left").drop("__start", "__end", *names)
+
+    slice_of = lambda c: F.trunc(F.col(c).cast("date"), slice_by)
+    last = left.agg(F.max(F.col(day).cast("date")).alias("last")).scalar()
+    cut = side.withColumn("__last", last).select("*", slice_of("__start").alias("__from"), F.trunc(F.least(F.coalesce(F.col("__end").cast("date"), "__last"), "__last"), slice_by).alias("__to"))
+    spans = F.when(F.col("__from") <= F.col("__to"), F.expr(f"sequence(__from, __to, INTERVAL {VALIDITY_STEPS[slice_by]})"))
+    cut = cut.withColumn("__slice", F.explode(spans)).drop("__last", "__from", "__to")
+
+    marked = left.withColumn("__day_slice", slice_of(day))
+    own = [F.col(lk).alias(f"__h{i}") for i, (lk, _) in enumerate(pairs)]
+    hot = marked.groupBy(*own, F.col("__day_slice").alias("__hs")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = broadcast_if_small(hot.select(*[f"__h{i}" for i in range(len(pairs))], "__hs", F.lit(salts).alias("__salts")))
+
+    def is_hot(keys: Sequence[str], slice_: str) -> Column:
+        same = F.col(slice_) == F.col("__hs")
+        for i, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"__h{i}"))
+        return same
+
+    gone = [f"__h{i}" for i in range(len(pairs))] + ["__hs", "__salts"]
+    void = F.col("__day_slice").isNull()
+    for lk, _ in pairs:
+        void = void | F.col(lk).isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    marked = marked.join(hot, is_hot([lk for lk, _ in pairs], "__day_slice"), "left")
+    marked = marked.withColumn("__salt", F.when(F.col("__salts").isNotNull() | void, spread).otherwise(F.lit(0))).drop(*gone)
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1)
+    cut = cut.join(hot, is_hot(names, "__slice"), "left").withColumn("__copy", F.explode(copies)).drop(*gone)
+    joined = marked.join(cut, cond & (F.col("__day_slice") == F.col("__slice")) & (F.col("__salt") == F.col("__copy")), "left")
+    return joined.drop("__start", "__end", "__slice", "__day_slice", "__salt", "__copy", *names)
 
 
 def anti_orphans(child: DataFrame, parent: DataFrame, on: Sequence[str | tuple[str, str]]) -> DataFrame:

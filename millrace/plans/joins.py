@@ -164,19 +164,32 @@ def _(t):
     return op.salted_join(t.events.select("event_id", "user_id"), per_user, ["user_id"], hot_rows=70).select("event_id", "user_id", "n")
 
 
-@query(
-    "jn_validity_promo",
-    """WITH promo AS (SELECT 'P-' || p_partkey AS promo, p_partkey AS k, DATE '1996-01-01' AS s, CASE WHEN p_type = 'PROMO' THEN NULL ELSE DATE '1997-06-30' END AS e FROM part WHERE p_type IN ('PROMO', 'SMALL'))
+VALIDITY_SQL = """WITH promo AS (SELECT 'P-' || p_partkey AS promo, p_partkey AS k, DATE '1996-01-01' AS s, CASE WHEN p_type = 'PROMO' THEN NULL ELSE DATE '1997-06-30' END AS e FROM part WHERE p_type IN ('PROMO', 'SMALL'))
        SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS ship_day, promo FROM lineitem
-       LEFT JOIN promo ON l_partkey = k AND CAST(l_shipdate AS DATE) >= s AND (e IS NULL OR CAST(l_shipdate AS DATE) <= e)""",
-)
-def _(t):
-    promo = t.part.filter("p_type IN ('PROMO', 'SMALL')").select(
+       LEFT JOIN promo ON l_partkey = k AND CAST(l_shipdate AS DATE) >= s AND (e IS NULL OR CAST(l_shipdate AS DATE) <= e)"""
+
+
+def promotions(t):
+    return t.part.filter("p_type IN ('PROMO', 'SMALL')").select(
         F.concat(F.lit("P-"), "p_partkey").alias("promo"), "p_partkey", F.lit("1996-01-01").cast("date").alias("start_date"),
         F.expr("CASE WHEN p_type <> 'PROMO' THEN DATE '1997-06-30' END").alias("end_date"),
     )
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("ship_day"))
-    return op.join_validity(lines, promo, [("l_partkey", "p_partkey")], "ship_day", "start_date", "end_date", ["promo"])
+
+
+def shipped_lines(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("ship_day"))
+
+
+@query("jn_validity_promo", VALIDITY_SQL)
+def _(t):
+    return op.join_validity(shipped_lines(t), promotions(t), [("l_partkey", "p_partkey")], "ship_day", "start_date", "end_date", ["promo"])
+
+
+@query("jn_validity_sliced", VALIDITY_SQL)
+def _(t):
+    return op.join_validity(
+        shipped_lines(t), promotions(t), [("l_partkey", "p_partkey")], "ship_day", "start_date", "end_date", ["promo"], slice_by="quarter", max_broadcast=0, hot_rows=3, salts=4
+    )
 
 
 @query(

@@ -276,3 +276,15 @@ def test_truncate_clears_what_came_before(rows, values, deletes, left):
     assert values(soft, "id", "is_deleted") == [(1, True), (2, False), (3, True), (5, False)]
     if deletes == "hard_delete":
         assert values(done.report, "id", "action") == [(1, "deleted"), (2, "updated"), (3, "deleted"), (5, "inserted")]
+
+
+def test_validity_by_slices_equals_the_broadcast_join(spark):
+    rng = random.Random(5)
+    day = lambda: date(2024, 1, 1) + timedelta(days=rng.randrange(400))
+    left = [(i, rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *[day() for _ in range(8)]])) for i in range(400)]
+    spans = [(rng.choice(["hot", "b", None]), day(), rng.choice([None, day()]), f"p{i}") for i in range(12)] + [("hot", None, day(), "x"), ("b", date(2030, 1, 1), None, "y")]
+    rows = spark.createDataFrame(left, "id int, k string, d date")
+    periods = spark.createDataFrame(spans, "k string, s date, e date, p string")
+    both = [joins.join_validity(rows, periods, ["k"], "d", "s", "e", ["p"], **how) for how in ({}, {"max_broadcast": 0, "hot_rows": 5, "salts": 3})]
+    plain, sliced = (sorted(map(str, map(tuple, df.collect()))) for df in both)
+    assert plain == sliced and both[0].columns == both[1].columns
