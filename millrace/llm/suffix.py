@@ -1,9 +1,9 @@
-"""Removal of repeated byte strings by distributed prefix doubling over a sparse suffix array.
+"""Removal of repeated byte strings by grouped anchors of a sparse suffix array.
 
 A byte goes when it lies in a string of ``length`` bytes that also starts in a document with a
-smaller id. Ranks of positions grow by doubling: 16 bytes, then a context of up to 84 bytes around
-them, then single 50-byte strings; Spark sorts (rank, next rank, document, position) and a position
-that is alone at a rank is settled and carried no further.
+smaller id. This stands in for prefix doubling: no pairs of ranks are sorted at growing offsets.
+Positions are compared at three widths instead: 16 bytes, then a context of up to 84 bytes around
+them, then single 50-byte strings; a position that is alone at a width is carried no further.
 
 Not every suffix is sorted. Of all 16-byte strings inside any 50 bytes the one with the smallest
 hash is an anchor, so equal 50-byte strings have an anchor at the same place, and one position in
@@ -19,7 +19,7 @@ about eighteen suffices:
 Ranks are named by 64-bit hashes instead of counted, contexts by two of them. Defined cases: a null
 text is empty; ids are integers, rows that repeat an id are separate texts that never remove each
 other; a null id comes after all others; texts shorter than ``length`` stay whole; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns are ignored. At most 2 ** 23 rows may share an id, or lack one.
 """
 
 from __future__ import annotations

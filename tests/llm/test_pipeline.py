@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as cp
-from millrace.llm import bpe
+from millrace.llm import bpe, toxicity
 
 from .test_neardup import brute as brute_groups
 from .test_text_jobs import brute_leaks
@@ -50,3 +50,12 @@ def test_stages(spark):
 def test_run(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and 0 < out.count() < 200
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{PATH}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = cp.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() == 0
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    assert toxicity.score(docs, toxicity.train(docs, labels.select("doc_id", "toxic"))).count() == 0
