@@ -17,9 +17,9 @@ further shuffle. ``slice_by=None`` runs a plain window, for keys known to be sma
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,11 @@ def reversed_order(order: Sequence[str]) -> list[Column]:
     ]
 
 
+def flipped(order: Sequence[str]) -> list[str]:
+    """The order from the other end; nulls change ends with it."""
+    return [order_name(o) if descending(o) else f"{order_name(o)} desc" for o in order]
+
+
 def row_fallback(df: DataFrame) -> Column:
     """Last tie-break: a fingerprint of the whole row, so the survivor never depends on layout."""
     usable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -258,6 +263,50 @@ def running(
     return _finish(rows.withColumns(made)).drop(*values)
 
 
+def edge_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    totals: Mapping[str, tuple[str, Column, str, bool]],
+    *,
+    slice_by: Column | None = None,
+) -> DataFrame:
+    """``{name: (sum|min|max, value, from, peers)}``: totals between an end of the key and the current row.
+
+    ``from`` is ``start``, ``end``, or ``all`` for the whole key; with ``peers`` rows that tie with the
+    current one count. All of them share one layout: a row for each slice brings what lies before it,
+    after it, or in the whole key.
+    """
+    need_columns(df, [*keys, *[order_name(o) for o in order]])
+
+    def over(fn: str, value: Column | str, way: str, peers: bool, parts: Sequence[str], first: Sequence[Column]) -> Column:
+        w = Window.partitionBy(*parts).orderBy(*first, *order_columns(order if way == "start" else flipped(order)))
+        return getattr(F, fn)(value).over((w.rangeBetween if peers else w.rowsBetween)(Window.unboundedPreceding, Window.currentRow))
+
+    if slice_by is None:
+        made = {n: getattr(F, fn)(v).over(Window.partitionBy(*keys)) if way == "all" else over(fn, v, way, peers, keys, []) for n, (fn, v, way, peers) in totals.items()}
+        return df.withColumns(made)
+    values = {f"__v{i}": v for i, (_, v, *_) in enumerate(totals.values())}
+    base = df.withColumns({SLICE: slice_by, **values, MAIN: F.lit(True)}).repartition(*keys, SLICE)
+    sums = base.groupBy(*keys, SLICE).agg(*[getattr(F, fn)(v).alias(v) for v, (fn, *_) in zip(values, totals.values(), strict=True)])
+    slices = _per_key(keys, order)
+    spans = {
+        "start": slices.rowsBetween(Window.unboundedPreceding, -1), "end": slices.rowsBetween(1, Window.unboundedFollowing),
+        "all": slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
+    }
+    brought = {f"__c{i}": getattr(F, fn)(f"__v{i}").over(spans[way]) for i, (fn, _, way, _) in enumerate(totals.values())}
+    carry = sums.withColumns(brought).drop(*values).withColumn(MAIN, F.lit(False)).repartition(*keys, SLICE)
+    whole = Window.partitionBy(*keys, SLICE)
+    made = {}
+    for i, (name, (fn, _, way, peers)) in enumerate(totals.items()):
+        made[name] = F.max(f"__c{i}").over(whole)
+        if way != "all":
+            own = over(fn, f"__v{i}", way, peers, [*keys, SLICE], [F.col(MAIN)])
+            both = own + made[name] if fn == "sum" else (F.least if fn == "min" else F.greatest)(own, made[name])
+            made[name] = F.coalesce(both, own, made[name])
+    return _finish(base.unionByName(carry, allowMissingColumns=True).withColumns(made)).drop(*values, *brought)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -419,24 +468,33 @@ def lookback(df: DataFrame, window_step, emit: Column, context: Column) -> DataF
 
 # -- declarative window list --------------------------------------------------
 
-FRAME = re.compile(
-    r"(rows|range)\s+between\s+(unbounded|\d+)(?:\s+days?)?\s+preceding\s+and\s+(current\s+row|\d+\s+following)", re.I
-)
+EDGE = r"(?:unbounded|\d+(?:\s+days?)?)\s+(?:preceding|following)|current\s+row"
+FRAME = re.compile(rf"(rows|range)\s+between\s+({EDGE})\s+and\s+({EDGE})", re.I)
+FROM_START = "rows between unbounded preceding and current row"
 RANKS = ("row_number", "rank", "dense_rank", "cume_dist", "percent_rank")
 AGGREGATES = ("sum", "avg", "min", "max", "count")
 
 
-def _frame(spec: Mapping[str, object]) -> tuple[int | None, int]:
-    """Rows before (None: all of them) and after the current row; for a time frame, days before and -1."""
-    text = str(spec.get("frame", "rows between unbounded preceding and current row")).strip()
+def _frame(spec: Mapping[str, object]) -> tuple[bool, int | None, int | None]:
+    """Whether the frame counts rows, and its first and last place from the current row (None: the end of the key)."""
+    text = str(spec.get("frame") or FROM_START).strip()
     match = FRAME.fullmatch(text)
     need(match is not None, "INVALID_FRAME", text)
-    end = match.group(3).lower()
-    before = None if match.group(2).lower() == "unbounded" else int(match.group(2))
-    if match.group(1).lower() == "range":
-        need(before is not None and end.startswith("current"), "INVALID_FRAME", f"{text}: a time frame reaches a number of days back")
-        return before, -1
-    return before, 0 if end.startswith("current") else int(end.split()[0])
+    edges = [edge.lower().split() for edge in match.groups()[1:]]
+    need(edges[0] != ["unbounded", "following"] and edges[1] != ["unbounded", "preceding"], "INVALID_FRAME", text)
+
+    def place(words: list[str]) -> int | None:
+        if words[0] in ("unbounded", "current"):
+            return None if words[0] == "unbounded" else 0
+        return int(words[0]) if words[-1] == "following" else -int(words[0])
+
+    first, last = place(edges[0]), place(edges[1])
+    need(first is None or last is None or first <= last, "INVALID_FRAME", f"{text}: ends before it begins")
+    by_rows = match.group(1).lower() == "rows"
+    if not by_rows:
+        known = None in (first, last) and {first, last} <= {None, 0} or (first or 0) <= 0 <= (last or 0) and 0 in (first, last)
+        need(known, "INVALID_FRAME", f"{text}: a time frame reaches to the current row, from days or an end of the key")
+    return by_rows, first, last
 
 
 def apply_specs(
@@ -444,10 +502,15 @@ def apply_specs(
 ) -> DataFrame:
     """Add one column per ``{column, function, argument, partition_by, order_by, frame}``.
 
-    Specs over the same keys and order share one pass per kind: ranks, totals from the start, time
-    frames (``range between 7 days preceding and current row``, over one time column), and
-    everything that looks a bounded number of rows around. A window over the whole table needs
-    ``slice_by``: its rows are spread by slice, and only one row for each slice meets in one task.
+    Specs over the same keys and order share one pass per kind: ranks, totals from the start or to the
+    end of a key, totals of a key, time frames (``range between 7 days preceding and current row`` or
+    ``current row and 7 days following``, over one time column), and everything that looks a bounded
+    number of rows around. A frame of rows from an end of the key to a row k places off is the total up
+    to the current row, read k rows away. ``lag`` and ``lead`` take an ``offset`` and a ``default``.
+
+    Frames of rows need an order without ties: rows that tie fall by chance, in each pass anew. A
+    window over the whole table needs ``slice_by``: its rows are spread by slice, and only one row for
+    each slice meets in one task. Null times come first, and are peers of each other alone in time frames.
     """
     groups: dict[tuple, list[Mapping[str, object]]] = {}
     for spec in specs:
@@ -461,59 +524,101 @@ def apply_specs(
 
 def _apply_group(df, keys, order, specs, slice_by):
     ranks: dict[str, str] = {}
-    totals: dict[str, tuple[str, Column]] = {}
+    totals: dict[str, tuple[str, Column, str, bool]] = {}
+    away: list[str] = []  # totals that are read some rows off
     averages: list[str] = []
-    days: dict[int, dict[str, tuple[str, str]]] = {}
-    near: dict[str, tuple[str, str | None, int, int]] = {}
+    counts: list[str] = []
+    days: dict[tuple[bool, int], dict[str, tuple[str, str]]] = {}
+    near: dict[str, tuple[Callable[[WindowSpec], Column], int, int]] = {}
     for spec in specs:
         name, fn, arg = str(spec["column"]), str(spec["function"]).lower(), spec.get("argument")
+        arg = None if arg in (None, "*") else str(arg)
         if fn in RANKS or fn.startswith("ntile"):
             ranks[name] = fn
-        elif fn in ("lag", "lead"):
-            near[name] = (fn, str(arg), int(spec.get("offset", 1)), 0)
-        else:
-            need(fn in AGGREGATES, "INVALID_FUNCTION", fn)
-            before, after = _frame(spec)
-            value = F.col(str(arg)) if arg and arg != "*" else F.lit(1)
-            if after == -1:
-                need(len(order) == 1 and not descending(order[0]), "INVALID_FRAME", f"{name}: a time frame needs one ascending time column")
-                days.setdefault(before, {})[name] = (fn, str(arg) if arg and arg != "*" else order_name(order[0]))
-                continue
-            if before is not None:
-                near[name] = (fn, None if arg in (None, "*") else str(arg), before, after)
-                continue
-            need(after == 0, "INVALID_FRAME", f"{fn} from the start ends at the current row")
-            if fn == "avg":
-                averages.append(name)
-                totals |= {f"__sum_{name}": ("sum", value), f"__n_{name}": ("sum", value.isNotNull().cast("long"))}
+            continue
+        if fn in ("lag", "lead"):
+            n = int(spec.get("offset", 1))
+            near[name] = (_neighbour(fn, arg, n, spec.get("default")), n if fn == "lag" else 0, n if fn == "lead" else 0)
+            continue
+        need(fn in AGGREGATES, "INVALID_FUNCTION", fn)
+        by_rows, first, last = _frame(spec)
+        value = F.lit(1) if arg is None else F.col(arg)
+        if first is not None and last is not None:
+            if by_rows:
+                near[name] = (_around(fn, value, first, last), max(-first, 0), max(last, 0))
                 continue
-            totals[name] = ("sum", value.isNotNull().cast("long")) if fn == "count" else (fn, value)
+            need(len(order) == 1 and not descending(order[0]), "INVALID_FRAME", f"{name}: a time frame needs one ascending time column")
+            days.setdefault((last > 0, max(-first, last)), {})[name] = (fn, arg or order_name(order[0]))
+            continue
+        if fn == "avg":
+            averages.append(name)
+            parts = {f"__sum_{name}": ("sum", value), f"__n_{name}": ("sum", value.isNotNull().cast("long"))}
+        elif fn == "count":
+            counts.append(name)
+            parts = {name: ("sum", value.isNotNull().cast("long"))}
+        else:
+            parts = {name: (fn, value)}
+        way = "all" if first is None and last is None else "start" if first is None else "end"
+        k = first or last or 0
+        for part, (total, v) in parts.items():
+            totals[f"__at_{part}" if k else part] = (total, v, way, not by_rows)
+            if k:
+                away.append(f"__at_{part}")
+                # Past the far end of the key the last total counts; past the near end there is none.
+                near[part] = (_read_off(f"__at_{part}", k, way), max(-k, 0), max(k, 0))
+    if totals:
+        df = edge_totals(df, keys, order, totals, slice_by=slice_by)
     if near:
-        df = _nearby(df, keys, order, near, slice_by)
+        df = _nearby(df, keys, order, near, slice_by).drop(*away)
     if ranks:
         df = rank_family(df, keys, order, ranks, slice_by=slice_by)
-    if totals:
-        df = running(df, keys, order, totals, slice_by=slice_by)
     for name in averages:
         df = df.withColumn(name, F.try_divide(f"__sum_{name}", f"__n_{name}")).drop(f"__sum_{name}", f"__n_{name}")
-    for length, members in days.items():
-        df = rolling_days(df, keys, order_name(order[0]), members, length)
+    for name in counts:
+        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    for (ahead, length), members in days.items():
+        time = order_name(order[0])
+        if ahead:
+            # The days after a time are the days before it on a mirrored axis.
+            df = rolling_days(df.withColumn(MIRROR, _mirrored(df, time)), keys, MIRROR, members, length).drop(MIRROR)
+        else:
+            df = rolling_days(df, keys, time, members, length)
     return df
 
 
+MIRROR = "__mirror"
+
+
+def _mirrored(df: DataFrame, time: str) -> Column:
+    kind = df.schema[time].dataType
+    if isinstance(kind, T.DateType):
+        return F.date_sub(F.lit("1970-01-01").cast("date"), F.datediff(F.col(time), F.lit("1970-01-01").cast("date")))
+    return F.lit("1970-01-01").cast(kind) - (F.col(time) - F.lit("1970-01-01").cast(kind))
+
+
+def _neighbour(fn: str, arg: str | None, n: int, default: object) -> Callable[[WindowSpec], Column]:
+    need(arg is not None, "MISSING_ARGUMENT", fn)
+    return lambda w: getattr(F, fn)(arg, n, default).over(w)
+
+
+def _around(fn: str, value: Column, first: int, last: int) -> Callable[[WindowSpec], Column]:
+    return lambda w: getattr(F, fn)(value).over(w.rowsBetween(first, last))
+
+
+def _read_off(part: str, k: int, way: str) -> Callable[[WindowSpec], Column]:
+    """The total at the row ``k`` places on. Beyond the end it runs towards, it is that of the last row there."""
+    if k > 0 and way == "start":
+        return lambda w: F.last(part).over(w.rowsBetween(0, k))
+    if k < 0 and way == "end":
+        return lambda w: F.first(part).over(w.rowsBetween(k, 0))
+    return lambda w: F.lead(part, k).over(w) if k > 0 else F.lag(part, -k).over(w)
+
+
 def _nearby(df, keys, order, near, slice_by):
-    before = max((n for fn, _, n, _ in near.values() if fn != "lead"), default=0)
-    after = max([n for fn, _, n, _ in near.values() if fn == "lead"] + [m for *_, m in near.values()], default=0)
+    before, after = (max((item[i] for item in near.values()), default=0) for i in (1, 2))
     rows, parts = df, list(keys)
     if slice_by is not None:
         rows, parts = with_halo(df, keys, order, slice_by, before, after), [*keys, SLICE]
     w = Window.partitionBy(*parts).orderBy(*order_columns(order))
-    made = {}
-    for name, (fn, arg, n, m) in near.items():
-        if fn in ("lag", "lead"):
-            made[name] = getattr(F, fn)(arg, n).over(w)
-        else:
-            value = F.lit(1) if arg is None else F.col(arg)
-            made[name] = getattr(F, fn)(value).over(w.rowsBetween(-n, m))
-    rows = rows.withColumns(made)
+    rows = rows.withColumns({name: make(w) for name, (make, *_) in near.items()})
     return rows if slice_by is None else _finish(rows)

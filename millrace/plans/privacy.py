@@ -92,6 +92,19 @@ def _(t):
     return shown.drop("plain")
 
 
+@query(
+    "msk_encrypt_format",
+    """SELECT c_custkey, c_name, 'C-' || c_custkey || '/' || c_mktsegment AS code, true AS same_shape, true AS was_hidden FROM customer""",
+)
+def _(t):
+    key = "0123456789abcdef"
+    plain = t.customer.select("c_custkey", "c_name", F.expr("concat('C-', c_custkey, '/', c_mktsegment)").alias("code"), F.col("c_name").alias("plain"))
+    hidden = op.encrypt(plain, ["c_name", "code"], key, preserve_format=True)
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    marked = hidden.withColumns({"same_shape": shape("c_name") == shape("plain"), "was_hidden": F.col("c_name") != F.col("plain")})
+    return op.decrypt(marked, ["c_name", "code"], key, preserve_format=True).drop("plain")
+
+
 @query(
     "msk_leak_scan",
     """SELECT 'text' AS column_name, count(*) FILTER (contains(text, '@') OR contains(text, 'http')) AS leak_count FROM documents

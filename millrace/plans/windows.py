@@ -230,6 +230,42 @@ def _(t):
     return out.select("event_id", F.round("sum_7d", 4).alias("sum_7d"), "n_3d", "avg_so_far", "three_back", "top")
 
 
+@query(
+    "win_spec_following",
+    """WITH e AS (SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events)
+       SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING), 4) AS sum_past_2,
+              count(*) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n_left, min(value) OVER (w ROWS BETWEEN 3 FOLLOWING AND UNBOUNDED FOLLOWING) AS min_later,
+              count(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS n_before,
+              avg(user_id) OVER (w ROWS BETWEEN 3 PRECEDING AND UNBOUNDED FOLLOWING) AS avg_from_3, max(value) OVER (PARTITION BY event_type) AS top,
+              lag(event_id, 2, -1) OVER w AS two_back, lead(event_id, 3, 0) OVER w AS three_on, CAST(sum(event_id) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS BIGINT) AS next_ids,
+              count(*) OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST) AS n_with_peers,
+              round(sum(value) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST RANGE BETWEEN CURRENT ROW AND INTERVAL 2 DAYS FOLLOWING), 4) AS sum_next_2d
+       FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id)""",
+)
+def _(t):
+    events = t.events.select("event_id", "user_id", "event_type", "value", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    by = {"partition_by": ["event_type"], "order_by": ["ts", "event_id"]}
+    made = op.apply_specs(
+        events,
+        [
+            {"column": "sum_past_2", "function": "sum", "argument": "value", "frame": "rows between unbounded preceding and 2 following", **by},
+            {"column": "n_left", "function": "count", "argument": "*", "frame": "rows between current row and unbounded following", **by},
+            {"column": "min_later", "function": "min", "argument": "value", "frame": "rows between 3 following and unbounded following", **by},
+            {"column": "n_before", "function": "count", "argument": "value", "frame": "rows between unbounded preceding and 2 preceding", **by},
+            {"column": "avg_from_3", "function": "avg", "argument": "user_id", "frame": "rows between 3 preceding and unbounded following", **by},
+            {"column": "top", "function": "max", "argument": "value", "frame": "rows between unbounded preceding and unbounded following", **by},
+            {"column": "two_back", "function": "lag", "argument": "event_id", "offset": 2, "default": -1, **by},
+            {"column": "three_on", "function": "lead", "argument": "event_id", "offset": 3, "default": 0, **by},
+            {"column": "next_ids", "function": "sum", "argument": "event_id", "frame": "rows between 1 following and 4 following", **by},
+            {"column": "n_with_peers", "function": "count", "argument": "*", "frame": "range between unbounded preceding and current row", "partition_by": ["event_type"], "order_by": ["ts"]},
+            {"column": "sum_next_2d", "function": "sum", "argument": "value", "frame": "range between current row and 2 days following", "partition_by": ["user_id"], "order_by": ["ts"]},
+        ],
+        slice_by=day(),
+    )
+    rounded = {c: F.round(c, n) for c, n in {"sum_past_2": 4, "sum_next_2d": 4}.items()}
+    return made.withColumns(rounded).drop("user_id", "event_type", "value", "ts")
+
+
 @query(
     "win_rank_family",
     """SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS drnk, ntile(7) OVER w2 AS bin, cume_dist() OVER w AS cd, percent_rank() OVER w AS pr, row_number() OVER w2 AS rn

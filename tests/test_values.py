@@ -188,3 +188,21 @@ def test_sample_is_repeatable(spark, values):
     one = sets.sample(df.repartition(3), 0.2, key="k")
     assert values(one) == values(sets.sample(df.repartition(11), 20, key="k"))
     assert 1800 < one.count() < 2200
+
+
+def test_format_preserving_encryption(spark, rows, values):
+    key = "k" * 16
+    texts = ["", "7", "a", "123-45-6789", "Ann O'Neil", "x9\u00e9\U0001f600Z!", "--", "1234567890" * 12, "AB cd 12", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    hidden = masking.encrypt(df, ["v"], key, preserve_format=True)
+    shown = {r.i: r.v for r in hidden.collect()}
+    for i, text in enumerate(texts):
+        kinds = lambda s: s and "".join("0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in s)
+        assert kinds(shown[i]) == kinds(text)
+    assert shown[3] != texts[3] and shown[7] != texts[7] and shown[6] == "--"
+    assert values(masking.decrypt(hidden, ["v"], key, preserve_format=True), "i", "v") == values(df, "i", "v")
+    assert masking.encrypt(df, ["v"], "j" * 16, preserve_format=True).filter("i = 3").first().v != shown[3]
+    # All codes of one shape change places: no two share an image.
+    codes = spark.range(2600).selectExpr("concat(format_string('%02d', id % 100), '-', char(97 + int(id / 100))) as v")
+    images = masking.encrypt(codes, ["v"], key, preserve_format=True)
+    assert values(images.distinct()) == values(codes)

@@ -66,6 +66,46 @@ def test_specs(series, values):
     both(series, values, lambda s: W.apply_specs(series, specs, slice_by=s))
 
 
+FRAMES = [
+    ("rows", "unbounded preceding", "3 following"), ("rows", "unbounded preceding", "2 preceding"), ("rows", "current row", "unbounded following"),
+    ("rows", "4 preceding", "unbounded following"), ("rows", "2 following", "unbounded following"), ("rows", "unbounded preceding", "unbounded following"),
+    ("rows", "5 preceding", "2 preceding"), ("rows", "1 following", "6 following"), ("range", "unbounded preceding", "current row"), ("range", "current row", "unbounded following"),
+]
+
+
+@pytest.mark.parametrize("order", [["day", "id"], ["day desc", "id desc"]])
+def test_frames_to_either_end_equal_plain_frames(series, values, order):
+    timed = series.withColumn("day", F.when(F.col("id") % 9 != 0, F.col("day")))
+    specs, plain = [], []
+    for i, (kind, first, last) in enumerate(FRAMES):
+        by = order[:1] if kind == "range" else order
+        for fn in ("sum", "count", "max", "avg"):
+            specs.append({"column": f"{fn}_{i}", "function": fn, "argument": "v", "frame": f"{kind} between {first} and {last}", "partition_by": ["k"], "order_by": by})
+            plain.append(f"{fn}(v) over (partition by k order by {', '.join(by)} {kind} between {first} and {last}) as {fn}_{i}")
+    specs += [{"column": "back", "function": "lag", "argument": "id", "offset": 3, "default": -1, "partition_by": ["k"], "order_by": order},
+              {"column": "on", "function": "lead", "argument": "v", "offset": 2, "default": 0.5, "partition_by": ["k"], "order_by": order}]
+    by = ", ".join(order)
+    plain += [f"lag(id, 3, -1) over (partition by k order by {by}) as back", f"lead(v, 2, 0.5D) over (partition by k order by {by}) as on"]
+    names = ["id", *[s["column"] for s in specs]]
+    want = values(timed.selectExpr("id", *plain), *names)
+    assert values(W.apply_specs(timed, specs, slice_by=F.trunc("day", "week")), *names) == want
+    assert values(W.apply_specs(timed, specs), *names) == want
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_days_ahead_equal_a_range_frame(series, values, kind):
+    timed = series.withColumn("at", F.when(F.col("id") % 9 != 0, F.col("day").cast(kind)))
+    spec = {"column": "s", "function": "sum", "argument": "v", "frame": "range between current row and 3 days following", "partition_by": ["k"], "order_by": ["at"]}
+    want = timed.selectExpr("id", "sum(v) over (partition by k order by at range between current row and interval 3 days following) as s")
+    assert values(W.apply_specs(timed, [spec]), "id", "s") == values(want, "id", "s")
+
+
+@pytest.mark.parametrize("frame", ["rows between 2 following and 1 following", "rows between unbounded following and current row", "range between 2 days preceding and 1 days following", "all"])
+def test_frames_refused(series, frame):
+    with pytest.raises(ConfigError, match="INVALID_FRAME"):
+        W.apply_specs(series, [{"column": "x", "function": "sum", "argument": "v", "frame": frame, "partition_by": ["k"], "order_by": ["day"]}])
+
+
 @pytest.mark.parametrize("days", [1, 3, 10])
 def test_rolling_days_equals_range_frame(series, values, days):
     made = {"s": ("sum", "v"), "a": ("avg", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "n": ("count", "id")}
