@@ -8,7 +8,10 @@ confirmed by the exact weighted similarity: shingles counted with their repeats,
 smaller counts over the sum of the larger.
 
 Only windows that can reach the threshold get a fingerprint: at least that share of their shingles
-must stand in some item. The benchmark is the query set. It is read in slices of at most
+must stand in some item. Their fingerprints are looked up among the items that may be meant: an item
+as similar as the threshold shares that part of its shingles, so it shares one of any few more than the rest,
+and its rarest are listed. Windows are taken ``CHUNK_WINDOWS`` at a time. A document that holds many
+items thus meets each where it stands, not all items at every window. The benchmark is the query set. It is read in slices of at most
 ``SLICE_BYTES`` and ``SLICE_ITEMS``, each of which travels to the tasks; a larger benchmark takes more
 passes over the documents, never a larger broadcast.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,7 @@ SIMILARITY = 0.75
 SLICE_BYTES = 8 << 20
 SLICE_ITEMS = 20_000
 CHUNK_BYTES = 1 << 20
+CHUNK_WINDOWS = 256
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -61,7 +66,7 @@ def weighted_similarity(left: np.ndarray, right: np.ndarray) -> float:
 
 
 class Index:
-    """Items of one slice: by number of words, their shingles and fingerprints in blocks."""
+    """Items of one slice: by number of words, their shingles, fingerprints in blocks, and listed shingles."""
 
     def __init__(self, texts: list[str], similarity: float):
         self.similarity = similarity
@@ -77,9 +82,31 @@ class Index:
         self.prints = {n: np.concatenate([fingerprints(self.shingles[i], len(self.shingles[i])) for i in own]) for n, own in self.sizes.items()}
         self.known = {k: np.unique(np.concatenate([self.shingles[i] for n, own in self.sizes.items() if min(n, WORDS) == k for i in own])) for k in {min(n, WORDS) for n in self.sizes}}
 
-    def near(self, prints: np.ndarray, n: int) -> np.ndarray:
+        values, counts = np.unique(np.concatenate([np.unique(x) for x in self.shingles]), return_counts=True)
+        self.listed = {n: self._list_rarest(own, values, counts) for n, own in self.sizes.items()}
+
+    def _list_rarest(self, own: list[int], values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles in order, and the places of the items that count on them: one of an item's stands in every window it resembles."""
+        found, places = [], []
+        for place, i in enumerate(own):
+            every = self.shingles[i]
+            spare = len(every) - ceil(self.similarity * len(every) - 1e-9) + 1
+            rarest = np.unique(every[np.argsort(counts[np.searchsorted(values, every)], kind="stable")[:spare]])
+            found.append(rarest)
+            places.append(np.full(len(rarest), place))
+        shingles, at = np.concatenate(found), np.concatenate(places)
+        order = np.argsort(shingles, kind="stable")
+        return shingles[order], at[order]
+
+    def meant(self, shingles: np.ndarray, n: int) -> np.ndarray:
+        """Places of the items of ``n`` words that windows over these shingles may resemble."""
+        listed, places = self.listed[n]
+        asked = np.unique(shingles)
+        first, last = np.searchsorted(listed, asked), np.searchsorted(listed, asked, side="right")
+        return np.unique(np.concatenate([places[a:b] for a, b in zip(first, last, strict=True) if a < b] or [places[:0]]))
+
+    def near(self, prints: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Window and item pairs whose fingerprints lie within the radius, by the block index."""
-        own = self.prints[n]
         found = np.zeros((len(prints), len(own)), bool)
         for block in range(8):
             table = _BITS[np.arange(256, dtype=np.uint8)[:, None] ^ own[None, :, block]] <= RADIUS // 8
@@ -105,13 +132,19 @@ class Index:
                 enough = np.flatnonzero(hits[width:] - hits[:-width] >= self.similarity * (n - k + 1))
                 if not len(enough):
                     continue
-                for piece in np.split(enough, np.flatnonzero(np.diff(enough) > 1) + 1):
-                    part = shingles[piece[0] : piece[-1] + width]
-                    for window, item in self.near(fingerprints(part, width), n):
-                        start = int(piece[0] + window)
-                        value = weighted_similarity(shingles[start : start + width], self.shingles[own[item]])
-                        if value >= self.similarity and (own[item] not in best or value > best[own[item]][0]):
-                            best[own[item]] = (value, start, min(n, total))
+                for run in np.split(enough, np.flatnonzero(np.diff(enough) > 1) + 1):
+                    for begin in range(int(run[0]), int(run[-1]) + 1, CHUNK_WINDOWS):
+                        part = shingles[begin : min(begin + CHUNK_WINDOWS, int(run[-1]) + 1) + width - 1]
+                        meant = self.meant(part, n)
+                        if not len(meant):
+                            continue
+                        for window, place in self.near(fingerprints(part, width), self.prints[n][meant]):
+                            start, item = begin + int(window), own[meant[place]]
+                            if item in best and best[item][0] == 1:
+                                continue
+                            value = weighted_similarity(shingles[start : start + width], self.shingles[item])
+                            if value >= self.similarity and (item not in best or value > best[item][0]):
+                                best[item] = (value, start, min(n, total))
         return [(i, *v) for i, v in sorted(best.items())]
 
 

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -124,6 +126,21 @@ def test_leaks_in_made_documents(rows, monkeypatch):
     assert decontaminate.find_leaks(frame, table.limit(0)).collect() == [] and decontaminate.find_leaks(frame.limit(0), table).collect() == []
 
 
+def test_a_document_of_many_items_meets_each_where_it_stands():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(20)) for _ in range(10_000)]
+    index = decontaminate.Index(texts, decontaminate.SIMILARITY)
+    begun = time.time()
+    raw = np.frombuffer(" ".join(texts[:1000] + texts[:50]).encode(), np.uint8)
+    words = decontaminate.word_hashes(raw, np.array([0, len(raw)]))[0]
+    tracemalloc.start()
+    found = index.search(words)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert found == [(i, 1.0, 20 * i, 20) for i in range(1000)]
+    assert time.time() - begun < 30
+
+
 def test_leaks_leave_other_texts_of_their_id(rows):
     item = "this passage of eight words is the benchmark"
     data = [(None, item), (None, "clean"), (None, None), (4, f"before {item} after"), (4, "clean too"), (4, None), (5, "clean")]
