@@ -158,36 +158,76 @@ def apply_changes_stream(
     *,
     available_now: bool = False,
     flatten: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Keep a current-state table: batch n reads version n-1 and writes version n.
+    """Keep a current-state table of which a batch rewrites only the buckets that its keys fall into.
 
-    Versions are directories, so a batch that runs again after a lost driver rebuilds the same
-    version from the same input instead of applying its changes twice. A batch costs one pass
-    over the state, whatever its size: choose long triggers, or a table format with MERGE.
+    Keys are hashed into ``buckets``, a number to be kept for the life of the table: choose it so that
+    one bucket suits one task. Batch n reads the touched buckets as manifest n-1 names them, writes them
+    below ``version=n`` and then manifest n, which names the live version of every bucket. A batch that
+    runs again after a lost driver thus rebuilds the same version from the same input. A truncation
+    touches every bucket. What only manifest n-2 names is deleted.
     """
-    spark = initial.sparkSession
-    schema = initial.schema
-
-    def version(n: int) -> str:
-        return f"{path}/version={n}"
+    need(buckets > 0, "INVALID_BUCKETS", str(buckets))
+    spark, schema = initial.sparkSession, initial.schema
+    own = F.pmod(F.xxhash64(*[F.col(k).cast(schema[k].dataType) for k in keys]), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        base = initial if batch_id == 0 else spark.read.schema(schema).parquet(version(batch_id - 1))
         rows = flatten(batch) if flatten else batch
-        merged = apply_changes(base, rows, keys, op, order).state
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(version(batch_id))
-        # A repeated batch needs the version before it and none older.
-        _filesystem(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(version(batch_id - 2)), True)
+        live = _live_buckets(spark, path, batch_id - 1) if batch_id else {}
+        if batch_id:
+            asked = rows.select(F.when(F.col(op) == "TRUNCATE", -1).otherwise(own).alias("b")).distinct().collect()
+            touched = {r["b"] for r in asked}
+            touched = set(range(buckets)) if -1 in touched else touched
+            base = _read_buckets(spark, path, schema, {b: v for b, v in live.items() if b in touched})
+        else:
+            touched, base = set(range(buckets)), initial
+        version = f"{path}/version={batch_id}"
+        if touched:
+            state = apply_changes(base, rows, keys, op, order).state.withColumn(BUCKET, own)
+            (
+                state.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static")
+                .partitionBy(BUCKET).parquet(version)
+            )
+        written = _numbered(spark, version, BUCKET) if touched else []
+        now = {b: v for b, v in live.items() if b not in touched} | dict.fromkeys(written, batch_id)
+        named = spark.createDataFrame(sorted(now.items()), MANIFEST).coalesce(1)
+        named.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{MANIFESTS}/version={batch_id}")
+        # A repeated batch needs the manifest before its own and what that one names, nothing older.
+        older = f"{path}/{MANIFESTS}/version={batch_id - 2}"
+        fs, root = _filesystem(spark, older)
+        if fs.exists(root):
+            for b, v in _live_buckets(spark, path, batch_id - 2).items():
+                if live.get(b) != v:
+                    fs.delete(_filesystem(spark, f"{path}/version={v}/{BUCKET}={b}")[1], True)
+            fs.delete(root, True)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+BUCKET, MANIFESTS, MANIFEST = "state_bucket", "manifest", "bucket int, live long"
+
+
+def _live_buckets(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    """Version that holds each bucket which has rows: at most one entry for each bucket."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/{MANIFESTS}/version={version}").collect()
+    return {r["bucket"]: r["live"] for r in rows}
+
+
+def _read_buckets(spark: SparkSession, path: str, schema: T.StructType, live: dict[int, int]) -> DataFrame:
+    if not live:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/version={v}/{BUCKET}={b}" for b, v in sorted(live.items())])
+
+
 def current_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest version of a state table kept by ``apply_changes_stream``."""
-    versions = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())])).parquet(path)
-    newest = list_versions(spark, path)
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The state of the newest finished batch of ``apply_changes_stream``."""
+    folder = f"{path}/{MANIFESTS}"
+    fs = _filesystem(spark, folder)[0]
+    done = [n for n in _numbered(spark, folder, "version") if fs.exists(_filesystem(spark, f"{folder}/version={n}/_SUCCESS")[1])]
+    need(bool(done), "NO_VERSION", path)
+    return _read_buckets(spark, path, schema, _live_buckets(spark, path, max(done)))
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -197,8 +237,13 @@ def _filesystem(spark: SparkSession, path: str):
 
 def list_versions(spark: SparkSession, path: str, name: str = "version") -> int:
     """Largest version directory, from the file listing (no data is read)."""
-    fs, root = _filesystem(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
+    found = _numbered(spark, path, name)
     need(bool(found), "NO_VERSION", path)
     return max(found)
+
+
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders ``name=<number>`` below a path."""
+    fs, root = _filesystem(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]

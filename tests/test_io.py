@@ -141,6 +141,36 @@ def test_state_stream_survives_a_restart(spark, tmp_path, rows, values):
     assert run() == [(1, "c"), (3, "d"), (4, "e")]
 
 
+def test_state_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "id int, v string, op string, seq int"
+    source, path, check = str(tmp_path / "in"), tmp_path / "state", tmp_path / "check"
+    empty = spark.createDataFrame([], "id int, v string")
+
+    def run(*data):
+        if data:
+            spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.read_files_stream(spark, source, schema, max_files=1)
+        jobs.apply_changes_stream(stream, empty, str(path), str(check), ["id"], "op", ["seq"], available_now=True, buckets=8).awaitTermination()
+        return sorted(tuple(r) for r in jobs.current_state(spark, str(path), empty.schema).collect())
+
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in path.rglob("version=*/state_bucket=*/*.parquet")}
+    every = [(i, f"v{i}") for i in range(40)]
+    assert run(*[(i, v, "UPSERT", i) for i, v in every]) == every
+    first = files()
+    assert run((7, "new", "UPSERT", 50)) == [(i, "new" if i == 7 else v) for i, v in every]
+    after = files()
+    assert {f: t for f, t in after.items() if f in first} == first and len(after) == len(first) + 1
+    want = [(i, "new" if i == 7 else v) for i, v in every if i != 8]
+    assert run((8, None, "DELETE", 60), (99, None, "DELETE", 61)) == want
+    # The last batch runs again, as after a driver lost before it could report.
+    for name in ("2", ".2.crc"):
+        (check / "commits" / name).unlink(missing_ok=True)
+    assert run() == want
+    assert run((None, None, "TRUNCATE", 70), (3, "kept", "UPSERT", 71)) == [(3, "kept")]
+    assert run((3, None, "DELETE", 80)) == []
+    assert run((5, "again", "UPSERT", 90)) == [(5, "again")]
+
+
 def test_merge_files_touches_only_its_partitions(spark, tmp_path, rows, values):
     path = str(tmp_path / "t")
     tables.overwrite_partitions(rows("id int, v int, ds date", (1, 1, "2024-01-01"), (2, 2, "2024-01-02")), path, ["ds"])
