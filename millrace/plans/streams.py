@@ -106,28 +106,17 @@ def _(t):
     return t.spark.read.parquet(path).select("event_id", "lateness")
 
 
-def complete(t, frame, label):
-    """All windows of a finished stream, including those the watermark has not closed yet."""
-    path, check = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-checkpoint")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = frame.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", check)
-    finish(writer.trigger(availableNow=True).start())
-    newest = jobs.list_versions(t.spark, path, "batch")
-    return t.spark.read.parquet(f"{path}/batch={newest}")
-
-
 @query(
     "str_window_agg",
     "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )
 def _(t):
-    hourly = jobs.window_aggregate(events(t), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], watermark="40 days")
+    made = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("ts").alias("seen")]
+    hourly = jobs.window_aggregate(events(t), "ts", "1 hour", ["event_type"], made, watermark="40 days")
     path, check = scratch_path(t.spark, "hourly"), scratch_path(t.spark, "hourly-checkpoint")
-    finish(jobs.update_stream(hourly, path, check, available_now=True))
-    out = jobs.latest_groups(t.spark, path, hourly.schema, ["event_type", "window_start"])
+    keys = ["event_type", "window_start"]
+    finish(jobs.rollup_stream(hourly, path, check, keys, end="window_end", seen="seen", delay="40 days", available_now=True))
+    out = jobs.read_rollup(t.spark, path, hourly.schema)
     return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
@@ -138,8 +127,10 @@ def _(t):
        SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""",
 )
 def _(t):
-    sessions = jobs.session_aggregate(events(t), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], watermark="40 days")
-    out = complete(t, sessions, "sessions")
+    made = {"n": ("count", "event_id"), "total": ("sum", "value")}
+    path, check = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "sessions-checkpoint")
+    finish(jobs.session_store(events(t), path, check, "ts", "6 hours", ["user_id"], made, delay="40 days", available_now=True))
+    out = jobs.read_rollup(t.spark, path, jobs.session_schema(events(t), "ts", ["user_id"], made))
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", F.round("total", 4).alias("total"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,26 +95,129 @@ def append_stream(
     return writer.start(path)
 
 
-def update_stream(grouped: DataFrame, path: str, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
-    """Write the groups that each batch changed, ``batch=n``; read them with ``latest_groups``.
+OPEN, CLOSED, PART, BATCH = "open", "closed", "part", "batch"
 
-    Update mode lets the watermark drop closed windows from the state, and rows later than it. A
-    batch that runs again replaces itself.
+
+def rollup_stream(
+    grouped: DataFrame, path: str, checkpoint: str, keys: Sequence[str], *, end: str, seen: str, delay: str, available_now: bool = False
+) -> StreamingQuery:
+    """Store a windowed rollup: closed windows are appended once, open ones are a small part that each batch replaces.
+
+    ``grouped`` comes from ``window_aggregate``; ``seen`` is its column with the latest event time of a group,
+    ``end`` the end of its window, ``delay`` the watermark that it was built with. Update mode hands over the
+    groups that a batch changed. A window is closed once the watermark of the batch before has passed its end:
+    later rows for it are dropped by Spark, so its row is final. That watermark follows from the open part
+    itself, because the window of the latest event ends after it. Batch n reads the open part before it only.
     """
+    need(bool(keys), "MISSING_KEYS", "a rollup needs keys")
+    schema = grouped.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch={batch_id}")
+        before = _open_part(batch.sparkSession, path, schema, batch_id)
+        if before is None:
+            return _write_parts(batch, F.lit(False), path, batch_id)
+        both = before.withColumn("__v", F.lit(0)).unionByName(batch.withColumn("__v", F.lit(1)))
+        newest = F.max_by(F.struct(*schema.names), "__v").alias("row")
+        merged = both.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(newest).select("row.*")
+        _write_parts(merged, F.col(end) <= _passed(before, F.max(seen), delay), path, batch_id)
 
     writer = grouped.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_groups(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """The newest image of every group that ``update_stream`` wrote."""
-    need(bool(keys), "MISSING_KEYS", "groups need keys")
-    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    newest = F.max_by(F.struct(*schema.names), "batch").alias("row")
-    return written.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(newest).select("row.*")
+#: How partial results of a session combine.
+COMBINE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+
+
+def session_store(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    time: str,
+    gap: str,
+    keys: Sequence[str],
+    aggregates: Mapping[str, tuple[str, str]],
+    *,
+    delay: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Store sessions the same way: ``{name: (count|sum|min|max, column)}`` per key, closed after a gap without events.
+
+    A batch is reduced to its own sessions first. They merge with the open ones, as intervals that overlap,
+    so what is kept and read again is one row for each open session, never its events. A row that lies more
+    than gap and delay behind the latest event of the batches before is late and dropped; one within the
+    delay always finds its session open.
+    """
+    need(bool(keys), "MISSING_KEYS", "sessions need keys")
+    unknown = {fn for fn, _ in aggregates.values()} - set(COMBINE)
+    need(not unknown, "INVALID_AGGREGATE", str(sorted(unknown)))
+    schema = _sessions(stream, F.session_window(F.col(time), gap), keys, aggregates).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = _open_part(batch.sparkSession, path, schema, batch_id)
+        if before is None:
+            return _write_parts(_sessions(batch, F.session_window(F.col(time), gap), keys, aggregates), F.lit(False), path, batch_id)
+        passed = _passed(before, F.max(F.col("session_end") - F.expr(f"INTERVAL {gap}")), delay)
+        fresh = batch.filter(F.coalesce(F.col(time) + F.expr(f"INTERVAL {gap}") > passed, F.lit(True)))
+        parts = before.unionByName(_sessions(fresh, F.session_window(F.col(time), gap), keys, aggregates))
+        length = F.concat((F.unix_micros("session_end") - F.unix_micros("session_start")).cast("string"), F.lit(" microseconds"))
+        again = {name: (COMBINE[fn], name) for name, (fn, _) in aggregates.items()}
+        merged = _sessions(parts, F.session_window(F.col("session_start"), length), keys, again)
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        _write_parts(merged.select(*typed), F.col("session_end") <= passed, path, batch_id)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def session_schema(stream: DataFrame, time: str, keys: Sequence[str], aggregates: Mapping[str, tuple[str, str]]) -> T.StructType:
+    """Columns of a session store, for ``read_rollup``."""
+    return _sessions(stream, F.session_window(F.col(time), "1 second"), keys, aggregates).schema
+
+
+def _sessions(rows: DataFrame, window: Column, keys: Sequence[str], aggregates: Mapping[str, tuple[str, str]]) -> DataFrame:
+    made = [getattr(F, fn)(c).alias(n) for n, (fn, c) in aggregates.items()]
+    grouped = rows.groupBy(window.alias("__w"), *keys).agg(*made)
+    return grouped.select(*keys, F.col("__w.start").alias("session_start"), F.col("__w.end").alias("session_end"), *aggregates)
+
+
+def _passed(before: DataFrame, latest: Column, delay: str) -> Column:
+    """The watermark after the batch before, in whole milliseconds as Spark keeps it."""
+    return before.select(F.date_trunc("millisecond", latest) - F.expr(f"INTERVAL {delay}")).scalar()
+
+
+def _write_parts(rows: DataFrame, closed: Column, path: str, batch_id: int) -> None:
+    """Write a batch; a batch that runs again replaces itself. Open parts that no repeat needs are deleted."""
+    part = F.when(F.coalesce(closed, F.lit(False)), CLOSED).otherwise(OPEN)
+    target = f"{path}/{BATCH}={batch_id}"
+    rows.withColumn(PART, part).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(target)
+    fs, old = _filesystem(rows.sparkSession, f"{path}/{BATCH}={batch_id - 2}/{PART}={OPEN}")
+    if fs.exists(old):
+        fs.delete(old, True)
+
+
+def _open_part(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame | None:
+    """Open windows as the batch before left them; nothing before the first batch."""
+    if batch_id == 0:
+        return None
+    folder = f"{path}/{BATCH}={batch_id - 1}"
+    fs, done = _filesystem(spark, f"{folder}/_SUCCESS")
+    need(fs.exists(done), "NO_VERSION", folder)
+    part = f"{folder}/{PART}={OPEN}"
+    if not fs.exists(_filesystem(spark, part)[1]):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(part)
+
+
+def read_rollup(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All windows of a store, with ``part`` closed or open, as of its newest finished batch."""
+    fs = _filesystem(spark, path)[0]
+    done = [n for n in _numbered(spark, path, BATCH) if fs.exists(_filesystem(spark, f"{path}/{BATCH}={n}/_SUCCESS")[1])]
+    need(bool(done), "NO_VERSION", path)
+    kept = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(PART, T.StringType())])
+    rows = spark.read.schema(kept).parquet(path)
+    last = max(done)
+    return rows.filter(((F.col(PART) == CLOSED) & (F.col(BATCH) <= last)) | ((F.col(PART) == OPEN) & (F.col(BATCH) == last))).drop(BATCH)
 
 
 def publish_stream(stream: DataFrame, keys: Sequence[str], fmt: str, checkpoint: str, *, available_now: bool = False, **options: str) -> StreamingQuery:

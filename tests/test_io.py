@@ -2,7 +2,7 @@
 
 import json
 import os
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,7 +203,11 @@ def test_compact_keeps_partitions(spark, tmp_path, rows, values):
         tables.compact(spark, path, target_files=1, partition={"ds": date(2024, 1, 1)})
 
 
-def test_windows_take_rows_up_to_the_watermark_and_drop_later_ones(spark, tmp_path, rows, values):
+def parts_by_batch(path):
+    return {(p.parent.name, p.name) for p in path.glob("batch=*/part=*")}
+
+
+def test_rollup_store_closes_windows_once_and_drops_late_rows(spark, tmp_path, rows, values):
     from pyspark.sql import functions as F
 
     from millrace.streaming import jobs
@@ -213,14 +217,67 @@ def test_windows_take_rows_up_to_the_watermark_and_drop_later_ones(spark, tmp_pa
     def run(*times):
         rows("id int, ts timestamp", *enumerate(times)).write.mode("append").parquet(source)
         stream = jobs.read_files_stream(spark, source, "id int, ts timestamp")
-        hourly = jobs.window_aggregate(stream, "ts", "1 hour", [], [F.count(F.lit(1)).alias("n")], watermark="2 hours")
-        jobs.update_stream(hourly, path, check, available_now=True).awaitTermination()
-        out = jobs.latest_groups(spark, path, hourly.schema, ["window_start"])
-        return values(out.select(F.hour("window_start").alias("h"), "n"), "h", "n")
-
-    assert run("2024-01-01 08:10:00", "2024-01-01 14:10:00") == [(14, 1), (8, 1)]
+        made = [F.count(F.lit(1)).alias("n"), F.max("ts").alias("seen")]
+        hourly = jobs.window_aggregate(stream, "ts", "1 hour", [], made, watermark="2 hours")
+        started = jobs.rollup_stream(hourly, path, check, ["window_start"], end="window_end", seen="seen", delay="2 hours", available_now=True)
+        started.awaitTermination()
+        out = jobs.read_rollup(spark, path, hourly.schema)
+        return values(out.select(F.hour("window_start").alias("h"), "n", "part"), "h", "n", "part")
+
+    assert run("2024-01-01 08:10:00", "2024-01-01 14:10:00") == [(14, 1, "open"), (8, 1, "closed")]
     # Two hours before 14:10 a window that ended at 9:00 is closed, that of 13:00 is not.
-    assert run("2024-01-01 08:20:00", "2024-01-01 13:20:00", "2024-01-01 14:20:00") == [(13, 1), (14, 2), (8, 1)]
+    assert run("2024-01-01 08:20:00", "2024-01-01 13:20:00", "2024-01-01 14:20:00") == [(13, 1, "open"), (14, 2, "open"), (8, 1, "closed")]
+    assert run("2024-01-02 01:00:00") == [(1, 1, "open"), (13, 1, "closed"), (14, 2, "closed"), (8, 1, "closed")]
+    found = parts_by_batch(tmp_path / "out")
+    last = max(int(b.split("=")[1]) for b, _ in found)
+    assert {b for b, p in found if p == "part=open"} <= {f"batch={last}", f"batch={last - 1}"}
+    assert len([b for b, p in found if p == "part=closed"]) == 2
+
+
+def test_session_store_equals_sessions_of_all_rows(spark, tmp_path, values):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.streaming import jobs
+
+    source, path, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    made = {"n": ("count", "v"), "total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v")}
+    schema, data = "k int, ts timestamp, v int", []
+    for day in range(4):  # days overlap by less than the delay
+        batch = [(rng.choice([1, 1, 1, 2, None]), start + timedelta(minutes=day * 1440 + rng.randrange(-300, 1440)), rng.choice([None, *range(9)])) for _ in range(60)]
+        data += batch
+        spark.createDataFrame([*batch, (1, None, 5)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.read_files_stream(spark, source, schema)
+        jobs.session_store(stream, path, check, "ts", "40 minutes", ["k"], made, delay="1 day", available_now=True).awaitTermination()
+    late = spark.createDataFrame([(1, start + timedelta(minutes=5), 3)], schema)
+    late.coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_files_stream(spark, source, schema)
+    jobs.session_store(stream, path, check, "ts", "40 minutes", ["k"], made, delay="1 day", available_now=True).awaitTermination()
+    got = jobs.read_rollup(spark, path, jobs.session_schema(stream, "ts", ["k"], made))
+    w = F.session_window("ts", "40 minutes")
+    plain = spark.createDataFrame(data, schema).groupBy(w.alias("w"), "k").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+    plain = plain.select("k", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *made)
+    assert values(got.drop("part")) == values(plain)
+    assert {r["part"] for r in got.select("part").distinct().collect()} == {"open", "closed"}
+    assert len([p for _, p in parts_by_batch(tmp_path / "out") if p == "part=open"]) <= 2
+
+
+def test_a_repeated_batch_of_a_store_replaces_itself(spark, tmp_path, rows, values):
+    from pyspark.sql import functions as F
+
+    from millrace.streaming import jobs
+
+    path = str(tmp_path / "out")
+    day = rows("k int, at timestamp, n long", (1, "2024-01-01", 3), (2, "2024-01-05", 1))
+    jobs._write_parts(day, F.col("k") == 1, path, 0)
+    for _ in range(2):
+        base = jobs._open_part(spark, path, day.schema, 1)
+        jobs._write_parts(base.withColumn("n", F.col("n") + 1), F.lit(False), path, 1)
+    assert values(jobs.read_rollup(spark, path, day.schema), "k", "n", "part") == [(1, 3, "closed"), (2, 2, "open")]
+    with pytest.raises(ConfigError, match="NO_VERSION"):
+        jobs._open_part(spark, path, day.schema, 7)
 
 
 def test_backfill_plan(spark):
