@@ -8,10 +8,13 @@ only that band's values are shuffled and ranked. A value that fills a band is on
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import need, need_columns
 
@@ -66,17 +69,67 @@ def exact_quantiles(
     return out
 
 
-def _band(cuts: Sequence[float], width: int = 16) -> Column:
-    """How many cut points lie at or below ``v``: first among every 16th, then within its run."""
+def _band(cuts: Sequence[float], width: int = 16, name: str = "v") -> Column:
+    """How many cut points lie at or below the value: first among every 16th, then within its run."""
     runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     if not runs:
         return F.lit(0)
 
     def at_or_below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c <= F.col("v")))
+        return F.size(F.filter(points, lambda c: c <= F.col(name)))
 
     heads = F.array(*[F.lit(float(r[0])) for r in runs])
     table = F.array(*[F.array(*[F.lit(float(c)) for c in r]) for r in runs])
     run = at_or_below(heads)
     inside = (run - 1) * width + at_or_below(F.element_at(table, run))
     return F.when(run == 0, F.lit(0)).otherwise(inside)
+
+
+#: At most this many slices by value; rows that share a value fall into this many more by a hash.
+MAX_SLICES, TIE_SLICES = 4096, 64
+#: Whole numbers below this are exact as doubles.
+EXACT_BELOW = 1 << 53
+PLACE = "__place"
+
+
+def with_even_slices(df: DataFrame, column: str, tie: Column, name: str, rows_per_slice: int = 1_000_000) -> DataFrame:
+    """Adds a slice number that rises with (column, tie), such that slices hold about equal numbers of rows.
+
+    One pass counts the rows and sketches cut points of the column, whatever its range is: at most
+    ``MAX_SLICES`` numbers reach the driver. A value that two cut points name fills a band by itself; it,
+    and the rows without a value (first), are split by the leading bits of ``tie``, the 64-bit hash that
+    orders ties. Numbers, dates, times and texts can be sliced. Texts are told apart by their first six
+    bytes; those, decimals and whole numbers beyond 2^53 are not split within a value.
+    """
+    need_columns(df, [column])
+    kind = df.schema[column].dataType
+    placed = df.withColumn(PLACE, _rising(F.col(f"`{column}`"), kind))
+    seen = placed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(PLACE, [i / MAX_SLICES for i in range(1, MAX_SLICES)], 2 * MAX_SLICES).alias("cuts"),
+    ).first()
+    wanted = min(max(-(-int(seen["n"]) // rows_per_slice), 1), MAX_SLICES)
+    cuts = [c for c in seen["cuts"] or [] if not math.isnan(c)]
+    chosen = [cuts[len(cuts) * i // wanted] for i in range(1, wanted)] if cuts else []
+    exact = not isinstance(kind, (T.StringType, T.DecimalType))
+    heavy = sorted({a for a, b in itertools.pairwise(chosen) if a == b and exact and (isinstance(kind, T.FractionalType) or abs(a) < EXACT_BELOW)})
+    # A heavy value has an edge on either side, so that its band holds nothing else.
+    edges = sorted({*chosen, *[math.nextafter(v, math.inf) for v in heavy]})
+    alone = F.col(PLACE).isNull()
+    if heavy:
+        alone = alone | F.array_contains(F.array(*[F.lit(v) for v in heavy]), F.col(PLACE))
+    band = F.when(F.col(PLACE).isNull(), -1).otherwise(_band(edges, max(int(len(edges) ** 0.5), 1), PLACE))
+    spread = F.when(alone, F.shiftright(tie, 58) + TIE_SLICES // 2).otherwise(0)
+    return placed.withColumn(name, band.cast("long") * TIE_SLICES + spread).drop(PLACE)
+
+
+def _rising(value: Column, kind: T.DataType) -> Column:
+    """A double that never falls where the value rises."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    need(isinstance(kind, T.NumericType), "INVALID_ORDER", kind.simpleString())
+    return value.cast("double")

@@ -133,11 +133,12 @@ def _(t):
 
 @query(
     "src_fan_in",
-    """WITH b AS (SELECT 'click' AS source, event_id, row_number() OVER (ORDER BY ts) AS position FROM events WHERE event_type = 'click' UNION ALL SELECT 'view', event_id, row_number() OVER (ORDER BY ts) FROM events WHERE event_type = 'view')
-       SELECT source, event_id, position FROM b""",
+    """SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS source, event_id,
+              row_number() OVER (PARTITION BY CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END ORDER BY ts) AS position FROM events""",
 )
 def _(t):
-    parts = {k: t.events.filter(F.col("event_type") == k) for k in ("click", "view")}
+    named = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
+    parts = {k: t.events.filter(F.col("event_type") == k) for k in ("click", "view")} | {"other": t.events.filter(~named)}
     return files.fan_in(parts, "interleave", order="ts").select("source", "event_id", "position")
 
 

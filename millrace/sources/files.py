@@ -82,11 +82,14 @@ def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return heads.groupBy("file").agg(F.min_by("value", "at").alias("first_line"))
 
 
-def fan_in(frames: Mapping[str, DataFrame], mode: str = "union", order: str | None = None, source: str = "source") -> DataFrame:
+def fan_in(
+    frames: Mapping[str, DataFrame], mode: str = "union", order: str | None = None, source: str = "source", rows_per_slice: int = 1_000_000
+) -> DataFrame:
     """Several sources as one: plain union, or interleaved by each source's own order.
 
-    Interleaving sorts by (position within the source, source). Positions come from sliced
-    windows only when an order column is given; the sort itself is a range-partitioned sort.
+    Interleaving sorts by (position within the source, source). Positions come from windows over even
+    slices of the order column, whose edges one pass over that column finds; rows that tie in it are
+    ordered by a hash of the whole row. The sort itself is a range-partitioned sort.
     """
     need(mode in ("union", "interleave"), "INVALID_MODE", mode)
     need(bool(frames), "MISSING_INPUT", "fan-in needs sources")
@@ -95,15 +98,14 @@ def fan_in(frames: Mapping[str, DataFrame], mode: str = "union", order: str | No
     if mode == "union":
         return both
     need(order is not None, "MISSING_ORDER", "interleave needs an order column")
+    from ..functions.quantiles import with_even_slices
     from ..operators.windows import rank_family
 
-    kind = both.schema[str(order)].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        unit = F.trunc(F.col(str(order)).cast("date"), "month")
-    else:
-        unit = F.floor(F.col(str(order)) / F.lit(100_000))
-    numbered = rank_family(both, [source], [str(order)], {"position": "row_number"}, slice_by=unit)
-    return numbered.orderBy("position", source)
+    whole = [F.col(f"`{f.name}`") for f in both.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = both.withColumn("__tie", F.xxhash64(*whole))
+    sliced = with_even_slices(tied, str(order), F.col("__tie"), "__even", rows_per_slice)
+    numbered = rank_family(sliced, [source], [str(order), "__tie"], {"position": "row_number"}, slice_by=F.col("__even"))
+    return numbered.drop("__tie", "__even").orderBy("position", source)
 
 
 EVOLUTION = ("add_columns", "strict", "log_and_skip")

@@ -299,6 +299,40 @@ def test_interleave(rows):
     assert [r["id"] for r in got] == [1, 10, 2, 20, 3]
 
 
+@pytest.mark.parametrize("kind", ["epoch", "fifty", "hot", "text", "double", "date"])
+def test_even_slices(spark, kind):
+    """Slices rise with (value, tie) and are balanced, whatever the range; a value in a third of the rows is split."""
+    import random
+
+    from millrace.functions.quantiles import with_even_slices
+
+    rng = random.Random(11)
+    n = 6000
+    data = {
+        "epoch": [1_700_000_000_000_000 + rng.randrange(10**9) for _ in range(n)], "fifty": [rng.randrange(50) for _ in range(n)],
+        "hot": [7 if i % 3 == 0 else None if i % 3 == 1 else rng.randrange(10**6) for i in range(n)], "text": [f"{rng.randrange(10**6):06d}é" for _ in range(n)],
+        "double": [rng.choice([float("nan"), float("inf"), -0.0, rng.lognormvariate(0, 5)]) if i % 9 == 0 else rng.lognormvariate(0, 5) for i in range(n)],
+        "date": [date(2024, 1, 1) + timedelta(days=rng.randrange(4000)) for _ in range(n)],
+    }[kind]
+    types = {"text": "string", "double": "double", "date": "date"}
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(data)], f"a {types.get(kind, 'long')}, id int").withColumn("t", F.xxhash64("id"))
+    got = [r["s"] for r in with_even_slices(df, "a", F.col("t"), "s", 200).orderBy("a", "t").collect()]
+    assert got == sorted(got)
+    sizes = {s: got.count(s) for s in set(got)}
+    assert max(sizes.values()) <= 600 and 20 <= len(sizes)
+    empty = with_even_slices(df.limit(0), "a", F.col("t"), "s", 200)
+    assert empty.collect() == [] and empty.columns == ["a", "id", "t", "s"]
+
+
+def test_interleave_numbers_every_row_once(spark):
+    a = spark.createDataFrame([(i % 7 or None, i) for i in range(300)], "k int, id int")
+    b = spark.createDataFrame([(5, 1000 + i) for i in range(50)], "k int, id int")
+    got = files.fan_in({"a": a, "b": b}, "interleave", order="k", rows_per_slice=20).collect()
+    assert [r["source"] for r in got[:100]] == ["a", "b"] * 50
+    own = [(r["k"] or 0, r["position"]) for r in got if r["source"] == "a"]
+    assert [p for _, p in own] == list(range(1, 301)) and own == sorted(own)
+
+
 def test_infer_types(rows):
     df = rows("a string, b string, c string", ("1", "2024-01-01", "x"), ("-2.5", "", "1"), ("3", None, "2"))
     got = {r["column_name"]: (r["inferred_type"], r["is_nullable"]) for r in files.infer_types(df).collect()}
