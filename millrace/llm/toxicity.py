@@ -240,9 +240,9 @@ def _word_lists(sample: DataFrame, least: int) -> tuple[list[str], list[str], Da
     grams = words.withColumn("gram", F.explode(parts))
     counts = grams.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (totals["p"] + 1)) - F.log((F.col("n") + 0.5) / (totals["n"] + 1))
-    marks = counts.filter((F.col("p") >= least) & (odds >= LEAST_ODDS)).select("gram").limit(WORDS)
+    marks = counts.filter((F.col("p") >= least) & (odds >= LEAST_ODDS)).orderBy(F.desc(odds), "gram").limit(WORDS).select("gram")
     held = grams.join(F.broadcast(marks), "gram")
-    tops = held.groupBy("gram").agg(F.max_by("word", "p").alias("top"), (F.max("p") > 0.5 * F.sum("p")).alias("one"))
+    tops = held.groupBy("gram").agg(F.max_by("word", F.struct("p", "word")).alias("top"), (F.max("p") > 0.5 * F.sum("p")).alias("one"))
     found = held.join(F.broadcast(tops), "gram").filter("not one or word = top").groupBy("word", "p", "n").count().filter("count > 1")
     order = [F.xxhash64("word"), "word"]
     drawn = lambda df, n: [r["word"] for r in df.select("word").orderBy(*order).limit(n).collect()]
