@@ -16,19 +16,30 @@ def both(key, table, spark_exprs, duck_exprs):
         return project(getattr(t, table), spark_exprs)
 
 
+def _soundex_sql(c: str) -> str:
+    """Codes letter by letter: H and W (7) vanish, other characters and vowels (0) part equal codes."""
+    letters = f"translate(regexp_replace(upper({c}), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    codes = f"replace(left({letters}, 1), '7', '0') || replace(substr({letters}, 2), '7', '')"
+    for digit in "123456":
+        codes = f"regexp_replace({codes}, '{digit}+', '{digit}', 'g')"
+    return f"rpad(upper(left({c}, 1)) || left(replace(substr({codes}, 2), '0', ''), 3), 4, '0')"
+
+
+SOUNDEX_SQL = _soundex_sql("p_name")
+
 both(
     "fn_string", "part",
     {
         "k": "p_partkey", "a": "upper(p_name)", "b": "lower(p_type)", "c": "trim(concat('  ', p_name, ' '))", "d": "ltrim(concat(' ', p_name))", "e": "rtrim(concat(p_name, ' '))",
         "f": "length(p_name)", "g": "substring(p_name, 2, 3)", "h": "concat(p_brand, '/', p_type)", "i": "concat_ws('-', p_brand, p_type)", "j": "replace(p_brand, '#', '_')",
         "l": "regexp_replace(p_name, '[aeiou]+', '.')", "m": "regexp_extract(p_brand, '#([0-9]+)', 1)", "n": "element_at(split(p_name, ' '), 1)", "o": "lpad(p_size, 4, '0')",
-        "p": "rpad(p_type, 8, '.')", "q": "reverse(p_name)", "r": "initcap(p_type)", "s": "translate(p_name, 'aeiou', 'AEIOU')", "u": "left(soundex(p_name), 1)",
+        "p": "rpad(p_type, 8, '.')", "q": "reverse(p_name)", "r": "initcap(p_type)", "s": "translate(p_name, 'aeiou', 'AEIOU')", "u": "soundex(p_name)",
     },
     {
         "k": "p_partkey", "a": "upper(p_name)", "b": "lower(p_type)", "c": "p_name", "d": "ltrim(' ' || p_name)", "e": "rtrim(p_name || ' ')",
         "f": "CAST(length(p_name) AS INTEGER)", "g": "substring(p_name, 2, 3)", "h": "concat(p_brand, '/', p_type)", "i": "concat_ws('-', p_brand, p_type)", "j": "replace(p_brand, '#', '_')",
         "l": "regexp_replace(p_name, '[aeiou]+', '.', 'g')", "m": "regexp_extract(p_brand, '#([0-9]+)', 1)", "n": "string_split(p_name, ' ')[1]", "o": "lpad(CAST(p_size AS VARCHAR), 4, '0')",
-        "p": "rpad(p_type, 8, '.')", "q": "reverse(p_name)", "r": "upper(left(p_type, 1)) || lower(substr(p_type, 2))", "s": "translate(p_name, 'aeiou', 'AEIOU')", "u": "upper(left(p_name, 1))",
+        "p": "rpad(p_type, 8, '.')", "q": "reverse(p_name)", "r": "upper(left(p_type, 1)) || lower(substr(p_type, 2))", "s": "translate(p_name, 'aeiou', 'AEIOU')", "u": SOUNDEX_SQL,
     },
 )
 both(

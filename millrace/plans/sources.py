@@ -167,8 +167,16 @@ def _(t):
 
 @query(
     "src_infer_types",
-    """SELECT column_name, inferred_type, is_nullable FROM (VALUES ('key', 'integer', false), ('amount', 'decimal', false), ('mixed', 'decimal', false), ('day', 'date', false), ('at', 'timestamp', false),
-         ('flag', 'boolean', true), ('word', 'string', false), ('odd', 'string', false)) v(column_name, inferred_type, is_nullable), (SELECT count(*) AS n FROM orders) WHERE n > 0""",
+    """WITH x AS (SELECT CAST(o_orderkey AS VARCHAR) AS "key", printf('%.2f', o_totalprice) AS amount, CASE WHEN o_orderstatus = 'F' THEN '-3' ELSE printf('%.2f', o_totalprice) END AS mixed,
+                  strftime(o_orderdate, '%Y-%m-%d') AS "day", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "at",
+                  CASE o_orderstatus WHEN 'F' THEN 'TRUE' WHEN 'O' THEN 'false' ELSE '' END AS flag, o_orderpriority AS word,
+                  CASE WHEN o_orderstatus = 'F' THEN '12' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS odd FROM orders),
+       u AS (UNPIVOT x ON COLUMNS(*) INTO NAME column_name VALUE v),
+       k AS (SELECT column_name, CASE WHEN v = '' THEN NULL WHEN regexp_full_match(v, '-?[0-9]+') THEN 'integer' WHEN regexp_full_match(v, '-?[0-9]+[.][0-9]+') THEN 'decimal'
+                    WHEN TRY_CAST(v AS DATE) IS NOT NULL AND length(v) = 10 THEN 'date' WHEN TRY_CAST(v AS TIMESTAMP) IS NOT NULL THEN 'timestamp'
+                    WHEN lower(v) IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS kind FROM u),
+       g AS (SELECT column_name, list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)) AS kinds, count(*) FILTER (kind IS NULL) > 0 AS is_nullable FROM k GROUP BY 1)
+       SELECT column_name, CASE WHEN len(kinds) = 1 THEN kinds[1] WHEN kinds = ['decimal', 'integer'] THEN 'decimal' ELSE 'string' END AS inferred_type, is_nullable FROM g""",
 )
 def _(t):
     texts = t.orders.select(
