@@ -338,13 +338,6 @@ def _filesystem(spark: SparkSession, path: str):
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), root  # type: ignore[attr-defined]
 
 
-def list_versions(spark: SparkSession, path: str, name: str = "version") -> int:
-    """Largest version directory, from the file listing (no data is read)."""
-    found = _numbered(spark, path, name)
-    need(bool(found), "NO_VERSION", path)
-    return max(found)
-
-
 def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the folders ``name=<number>`` below a path."""
     fs, root = _filesystem(spark, path)
