@@ -314,6 +314,7 @@ def join_validity(
     Few periods are broadcast. Otherwise periods are cut into calendar slices, up to the last date
     there is, and joined by key and slice: a row lies in one slice, so it meets a period once. The rows
     of a key and slice beyond ``hot_rows`` are spread over ``salts`` tasks, as are rows without a key.
+    Spark sizes the cut periods by the file of the uncut ones, so they are kept from being broadcast.
     """
     pairs = _pairs(on)
     need(slice_by in VALIDITY_STEPS, "INVALID_SLICE", slice_by)
@@ -354,7 +355,7 @@ def join_validity(
     marked = marked.withColumn("__salt", F.when(F.col("__salts").isNotNull() | void, spread).otherwise(F.lit(0))).drop(*gone)
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1)
     cut = cut.join(hot, is_hot(names, "__slice"), "left").withColumn("__copy", F.explode(copies)).drop(*gone)
-    joined = marked.join(cut, cond & (F.col("__day_slice") == F.col("__slice")) & (F.col("__salt") == F.col("__copy")), "left")
+    joined = marked.join(cut.hint("merge"), cond & (F.col("__day_slice") == F.col("__slice")) & (F.col("__salt") == F.col("__copy")), "left")
     return joined.drop("__start", "__end", "__slice", "__day_slice", "__salt", "__copy", *names)
 
 

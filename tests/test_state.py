@@ -288,3 +288,15 @@ def test_validity_by_slices_equals_the_broadcast_join(spark):
     both = [joins.join_validity(rows, periods, ["k"], "d", "s", "e", ["p"], **how) for how in ({}, {"max_broadcast": 0, "hot_rows": 5, "salts": 3})]
     plain, sliced = (sorted(map(str, map(tuple, df.collect()))) for df in both)
     assert plain == sliced and both[0].columns == both[1].columns
+
+
+def test_cut_periods_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    # No key is hot, so Spark drops the join to the hot ones and sizes the other side anew.
+    spark.range(300).selectExpr("id AS k", "DATE '2000-01-01' AS s", "CAST(NULL AS DATE) AS e", "concat('p', id) AS p").write.parquet(f"{tmp_path}/periods")
+    spark.range(3000).selectExpr("id % 300 AS k", "date_add(DATE '2000-01-01', CAST(id AS INT)) AS d").write.parquet(f"{tmp_path}/rows")
+    done = joins.join_validity(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/periods"), ["k"], "d", "s", "e", ["p"], max_broadcast=0)
+    assert done.count() == 3000
+    ran = done.filter("p IS NOT NULL")
+    assert len(ran.collect()) == 3000
+    plan = ran._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
