@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,42 +142,56 @@ FEISTEL_ROUNDS = 10
 CODED = "[0-9A-Za-z]"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: what stands in a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _same_format(text: Column, key: str, sign: int) -> Column:
     """An alternating Feistel network over the letters and digits of a text.
 
     Each round adds to every character of one half, modulo the size of its class, eight hex digits of
     AES over a digest of the other half, the round and the text's shape. Decryption subtracts in the
-    reverse order of rounds. A fold carries both halves, so the expression does not grow with the rounds.
+    reverse order of rounds. A fold carries both halves, so the expression does not grow with the rounds;
+    the key stream is made once a round.
     """
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
-    coded = F.regexp_extract_all(text, F.lit(f"({CODED})"), F.lit(1))
     base = lambda c: F.when(c <= "9", F.lit(48)).when(c <= "Z", F.lit(65)).otherwise(F.lit(97))
-    values = F.transform(coded, lambda c: (F.ascii(c) - base(c)).cast("long"))
-    sizes = F.transform(coded, lambda c: F.when(c <= "9", F.lit(10)).otherwise(F.lit(26)).cast("long"))
-    cut = F.floor(F.size(coded) / 2).cast("int")
-
-    def halves(items: Column, names: str) -> list[Column]:
-        return [F.slice(items, F.lit(1), cut).alias(names[0]), F.slice(items, cut + 1, F.size(coded)).alias(names[1])]
+    rounds = range(FEISTEL_ROUNDS) if sign > 0 else reversed(range(FEISTEL_ROUNDS))
 
-    def moved(half: Column, size: Column, other: Column, step: Column) -> Column:
+    def stream(size: Column, other: Column, step: Column, shape: Column) -> Column:
+        """Eight hex digits for each character of a half: one call of AES, whose blocks stand alone."""
         told = F.concat_ws("|", step.cast("string"), F.array_join(other.cast("array<string>"), ","), shape)
-        blocks = F.sequence(F.lit(0), F.floor(F.size(half) / 8).cast("int"))
-        digest = lambda b: F.unhex(F.sha2(F.concat_ws("|", b.cast("string"), told), 256))
-        stream = F.array_join(F.transform(blocks, lambda b: F.substring(F.hex(F.aes_encrypt(digest(b), F.lit(key), F.lit("ECB"))), 1, 64)), "")
-        added = lambda i: F.conv(F.substring(stream, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-        return F.transform(half, lambda v, i: F.pmod(v + F.lit(sign) * added(i), F.get(size, i)))
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(size) - 1, F.lit(0)) / 8).cast("int"))
+        digest = lambda b, t: F.sha2(F.concat_ws("|", b.cast("string"), t), 256)
+        digests = _bound(told, lambda t: F.array_join(F.transform(blocks, lambda b: digest(b, t)), ""))
+        return F.hex(F.aes_encrypt(F.unhex(digests), F.lit(key), F.lit("ECB")))
+
+    def moved(half: Column, size: Column, other: Column, step: Column, shape: Column) -> Column:
+        def add(s: Column) -> Column:
+            added = lambda i: F.conv(F.substring(s, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+            return F.transform(half, lambda v, i: F.pmod(v + F.lit(sign) * added(i), F.get(size, i)))
+
+        return _bound(stream(size, other, step, shape), add)
 
     def turn(state: Column, step: Column) -> Column:
-        a, b, m, n = state["a"], state["b"], state["m"], state["n"]
+        a, b, m, n, shape = (state[x] for x in "abmns")
         even = step % 2 == 0
         return F.struct(
-            F.when(even, moved(a, m, b, step)).otherwise(a).alias("a"), F.when(even, b).otherwise(moved(b, n, a, step)).alias("b"), m.alias("m"), n.alias("n"),
+            F.when(even, moved(a, m, b, step, shape)).otherwise(a).alias("a"), F.when(even, b).otherwise(moved(b, n, a, step, shape)).alias("b"), m.alias("m"), n.alias("n"), shape.alias("s"),
         )
 
-    rounds = range(FEISTEL_ROUNDS) if sign > 0 else reversed(range(FEISTEL_ROUNDS))
-    done = F.aggregate(F.array(*[F.lit(i) for i in rounds]), F.struct(*halves(values, "ab"), *halves(sizes, "mn")), turn, lambda s: F.concat(s["a"], s["b"]))
-    letters = F.zip_with(done, coded, lambda v, c: F.char(v + base(c)))
-    return F.array_join(F.zip_with(F.split(text, CODED, -1), letters, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+    def folded(coded: Column) -> Column:
+        values = F.transform(coded, lambda c: (F.ascii(c) - base(c)).cast("long"))
+        sizes = F.transform(coded, lambda c: F.when(c <= "9", F.lit(10)).otherwise(F.lit(26)).cast("long"))
+        cut = F.floor(F.size(coded) / 2).cast("int")
+        halves = lambda items, x, y: [F.slice(items, F.lit(1), cut).alias(x), F.slice(items, cut + 1, F.size(coded)).alias(y)]
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+        start = F.struct(*halves(values, "a", "b"), *halves(sizes, "m", "n"), shape.alias("s"))
+        done = F.aggregate(F.array(*[F.lit(i) for i in rounds]), start, turn, lambda s: F.concat(s["a"], s["b"]))
+        letters = F.zip_with(done, coded, lambda v, c: F.char(v + base(c)))
+        return F.array_join(F.zip_with(F.split(text, CODED, -1), letters, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+    return _bound(F.regexp_extract_all(text, F.lit(f"({CODED})"), F.lit(1)), folded)
 
 
 def leak_scan(df: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -206,3 +206,12 @@ def test_format_preserving_encryption(spark, rows, values):
     codes = spark.range(2600).selectExpr("concat(format_string('%02d', id % 100), '-', char(97 + int(id / 100))) as v")
     images = masking.encrypt(codes, ["v"], key, preserve_format=True)
     assert values(images.distinct()) == values(codes)
+
+
+def test_format_preserving_encryption_makes_its_key_stream_once_a_round(spark):
+    # Texts hidden by earlier versions stay readable, and a round's stream stands outside the loop over characters.
+    df = spark.createDataFrame([("Customer#000000001",), ("x" * 40 + "7" * 33,), ("AbC-123/xyz",)], "v string")
+    hidden = masking.encrypt(df, ["v"], "0123456789abcdef", preserve_format=True)
+    assert [r.v for r in hidden.collect()] == ["Hpycpcwb#874405398", "qwvkljxabyvhfsktcxxejcxypgzvswzmxhdaumvr125793627765308408740529865569691", "JnQ-706/xpe"]
+    plan = hidden._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(substring(" in plan and "conv(substring(array_join(" not in plan
