@@ -322,13 +322,19 @@ def windowed_features(
 
 
 def _sweep(data: DataFrame, probes: DataFrame, by: Sequence[str], parts: Mapping[str, tuple[str, int, Column]]) -> DataFrame:
-    """Probes with the aggregate of the data in their slice: up to their time (kind 1), or after it (kind 2)."""
-    rows = data.withColumn("__kind", F.lit(0)).unionByName(probes, allowMissingColumns=True)
-    up = Window.partitionBy(*by).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by).orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = {h: F.when(F.col("__kind") == 1, getattr(F, fn)(h).over(up)).otherwise(getattr(F, fn)(h).over(down)) for h, (fn, _, _) in parts.items()}
+    """Probes with the aggregate of the data in their slice: up to their time (kind 1), or after it (kind 2).
+
+    Each kind is swept by itself, so every row is sorted once, and a probe carries one null for all the values.
+    """
     own = [c for c in probes.columns if c not in ("__t", "__s", "__kind")]
-    return rows.withColumns(seen).filter("__kind > 0").select(*own, *parts)
+    packed = data.select(*by, "__t", F.lit(0).alias("__kind"), F.struct(*parts).alias("__v"))
+    swept = []
+    for kind, order in ((1, ("__t", "__kind")), (2, (F.desc("__t"), F.desc("__kind")))):
+        rows = packed.unionByName(probes.filter(F.col("__kind") == kind), allowMissingColumns=True)
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = {h: getattr(F, fn)(F.col("__v")[h]).over(w) for h, (fn, _, _) in parts.items()}
+        swept.append(rows.withColumns(seen).filter("__kind > 0").select(*own, *parts))
+    return swept[0].unionByName(swept[1])
 
 
 def join_features(entities: DataFrame, key: Sequence[str], features: Sequence[DataFrame], default: object = 0) -> DataFrame:

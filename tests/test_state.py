@@ -300,3 +300,12 @@ def test_cut_periods_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path
     assert len(ran.collect()) == 3000
     plan = ran._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_sweep_sorts_each_row_once(spark):
+    data = spark.createDataFrame([(1, 0, t, 10 * t) for t in (1, 2, 2, 5)], "k int, __s int, __t int, v int")
+    probes = spark.createDataFrame([(1, 0, t, kind, f"{t}-{kind}") for t in (0, 2, 9) for kind in (1, 2)], "k int, __s int, __t int, __kind int, name string")
+    met = aggregates._sweep(data, probes, ["k", "__s"], {"v": ("sum", 1, F.col("v"))})
+    assert {r["name"]: r["v"] for r in met.collect()} == {"0-1": None, "2-1": 50, "9-1": 100, "0-2": 100, "2-2": 50, "9-2": None}
+    lines = [x.strip(" :+-") for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert not any(a.startswith("Window") and b.startswith("Window") for a, b in zip(lines, lines[1:]))
