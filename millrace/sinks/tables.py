@@ -150,13 +150,17 @@ def _write_filters(spark: SparkSession, path: str, keys: Sequence[str], partitio
     if not names:
         return
     target = spark.read.parquet(path)
-    rows = target.filter(_is_in(target, partition_by, names)).select(_partition_name(target, partition_by).alias("p"), *[F.col(k) for k in keys])
+    rows = target.filter(_is_in(target, partition_by, names)).select(_partition_name(target, partition_by).alias("p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     size = rows.groupBy("p").agg(F.expr(f"cast(pow(2, ceil(log2(greatest(count(*) / {BLOCK_KEYS}, 1)))) as long)").alias("blocks"))
     stamps = [(p, s) for p, s, _ in _partition_files(spark, path, partition_by) if p in names]
     # One row for each partition.
-    size = size.join(spark.createDataFrame(stamps, "p string, s long"), "p")
-    placed = rows.join(F.broadcast(size), "p").select("p", "s", "blocks", *_key_bits(keys, F.col("blocks")))
-    made = placed.select("p", "s", "blocks", "block", F.explode("bits").alias("bit")).groupBy("p", "s", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    size = size.join(spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(sorted(stamps))], "p string, s long, __id int"), "p")
+    # A block is made where all its keys meet, of narrow rows: bitmaps are aggregated by sorting, and before a shuffle
+    # that would sort all rows of a scan. Each bit of a key has a bitmap of its own, put together afterwards.
+    placed = rows.join(F.broadcast(size), "p").select("__id", *_key_bits([f"__k{i}" for i in range(len(keys))], F.col("blocks"))).select("__id", "block", *[F.col("bits")[i].cast("int").alias(f"b{i}") for i in range(KEY_BITS)])
+    each = placed.repartition("__id", "block").groupBy("__id", "block").agg(*[F.bitmap_construct_agg(f"b{i}").alias(f"m{i}") for i in range(KEY_BITS)])
+    whole = each.select("__id", "block", F.explode(F.array(*[f"m{i}" for i in range(KEY_BITS)])).alias("m")).groupBy("__id", "block").agg(F.bitmap_or_agg("m").alias("bitmap"))
+    made = whole.join(F.broadcast(size), "__id").select("p", "s", "blocks", "block", "bitmap")
     made = made.withColumn("folder", F.sha1("p"))
     overwrite_partitions(made, path.rstrip("/") + KEY_FILTERS, ["folder"])
 

@@ -385,3 +385,25 @@ def test_merge_reads_only_partitions_that_may_hold_the_keys(spark, rows, tmp_pat
     merge(*[(i, 3, 4.0) for i, (p, _) in list(want.items()) if p is None])  # the null partition is left empty
     assert not glob.glob(f"{tmp_path}/t/p=__HIVE*")
     merge(*[(i, None, 5.0) for i in range(3)])
+
+
+def test_key_filters_meet_their_block_before_they_are_aggregated(spark, tmp_path, monkeypatch):
+    import re
+
+    path = f"file://{tmp_path}/t"
+    tables.overwrite_partitions(spark.range(5000).selectExpr("id", "id % 3 AS p"), path, ["p"])
+    names = {p for p, _, _ in tables._partition_files(spark, path, ["p"])}
+    made = []
+    monkeypatch.setattr(tables, "overwrite_partitions", lambda df, *_: made.append(df))
+    tables._write_filters(spark, path, ["id"], ["p"], names)
+    found = made[0].collect()
+    assert len(found) == 3 and {r["blocks"] for r in found} == {1}  # up to 2,048 keys have one block
+    for r in found:
+        part = int(re.search(r"\d+", r["p"]).group())
+        keys = spark.range(5000).filter(F.col("id") % 3 == part).select(*tables._key_bits(["id"], F.lit(1)))
+        want = {b for k in keys.collect() for b in k["bits"]}
+        assert {i for i in range(32768) if r["bitmap"][i // 8] >> i % 8 & 1} == want
+    # No task of a scan sorts its rows for the bitmaps: they are shuffled by block first.
+    plan = made[0]._jdf.queryExecution().sparkPlan().toString() + made[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    below = plan[plan.rindex("partial_bitmap_construct_agg") :]
+    assert re.search(r"Exchange hashpartitioning|HashJoin", below).group().startswith("Exchange")
