@@ -1,4 +1,4 @@
-"""Checked sizes: nothing is broadcast unless its rows and bytes have been proven few."""
+"""Checked sizes: nothing is broadcast unless its rows and bytes have been proven few, no task sorts too large a share."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20
 #: Bytes of a field beside its text, and of a row beside its fields.
 FIELD_BYTES, ROW_BYTES = 8, 32
+#: Bytes of input, as stored, for each task of a sort; up to so many tasks' worth Spark's own layout will do, and
+#: beyond so many the session's number of shuffle partitions has to.
+SORT_BYTES, PLAIN_SORTS, MOST_SORTS = 16 << 20, 4, 8192
+#: What Spark says of inputs whose size it does not know is beyond this.
+KNOWN_BYTES = 1 << 50
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -30,3 +35,16 @@ def one_row(df: DataFrame, **columns: Column) -> Column:
     """A one-row aggregate as a scalar struct: Spark runs it once and reuses the value."""
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.agg(packed.alias("stats")).scalar()
+
+
+def sort_pieces(df: DataFrame) -> int:
+    """Into how many tasks a sort of the frame is cut; 0 where the input is small or of unknown size.
+
+    The number follows the bytes of the inputs, so a task's share does not grow with them, and no job runs for it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    pieces = -(-size // SORT_BYTES)
+    if pieces <= PLAIN_SORTS or size > KNOWN_BYTES:
+        return 0
+    return max(min(pieces, MOST_SORTS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import need, need_columns
+from ..functions.sizes import sort_pieces
 
 SLICE, MAIN = "__slice", "__main"
 
@@ -74,7 +75,9 @@ def dedupe(
     """First ``top`` rows per key; without keys, distinct rows.
 
     Spark prunes each map task to the leading rows of a key before the shuffle, so hot keys
-    arrive already reduced.
+    arrive already reduced. A large input is pruned behind a shuffle instead, where the rows of a
+    key that one task has read meet, and both sorts are cut into tasks by the size of the input:
+    a task that scans sorts nothing, and small partitions are not joined into large ones.
     """
     if not keys:
         return df.distinct()
@@ -84,9 +87,15 @@ def dedupe(
     if method == "row_number":
         ordering.append(row_fallback(df).asc())
     need(bool(ordering), "MISSING_ORDER", f"{method} needs an order")
-    w = Window.partitionBy(*keys).orderBy(*ordering)
-    ranked = df.withColumn("__rank", getattr(F, method)().over(w))
-    return ranked.filter(F.col("__rank") <= top).drop("__rank")
+
+    def leading(rows: DataFrame, *by: str) -> DataFrame:
+        ranked = rows.withColumn("__rank", getattr(F, method)().over(Window.partitionBy(*by).orderBy(*ordering)))
+        return ranked.filter(F.col("__rank") <= top).drop("__rank")
+
+    if pieces := sort_pieces(df):
+        read = df.withColumn("__task", F.spark_partition_id()).repartition(pieces, *keys, "__task")
+        df = leading(read, *keys, "__task").drop("__task").repartition(pieces, *keys)
+    return leading(df, *keys)
 
 
 def dedupe_priority(

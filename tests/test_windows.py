@@ -146,6 +146,24 @@ def test_dedupe_is_pruned_before_the_shuffle(series):
     assert "row_number(), 1, Partial" in plan
 
 
+@pytest.mark.parametrize(("method", "order", "top"), [("row_number", ["d desc"], 2), ("rank", ["d"], 1), ("dense_rank", ["d", "v"], 3)])
+def test_dedupe_of_a_large_input_sorts_in_pieces(spark, series, values, tmp_path, monkeypatch, method, order, top):
+    from millrace.functions import sizes
+
+    path = str(tmp_path / "series")
+    series.unionAll(series.filter("id < 100")).repartition(3).write.parquet(path)
+    large = spark.read.parquet(path)
+    plain = values(W.dedupe(large, ["k"], order, method, top))
+    assert sizes.sort_pieces(large) == 0
+    monkeypatch.setattr(sizes, "SORT_BYTES", 512)
+    cut = W.dedupe(large, ["k"], order, method, top)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    # No sort stands on the scan, and no partition of either shuffle is left to be joined with others.
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert values(cut) == plain
+    assert sizes.sort_pieces(spark.createDataFrame(large.rdd, large.schema)) == 0  # of unknown size
+
+
 def test_priority(rows, values):
     df = rows("k string, src string, v int", ("a", "crm", 1), ("a", "erp", 2), ("b", "web", 3), ("b", "x", 4))
     assert values(W.dedupe_priority(df, ["k"], "src", ["erp", "crm", "web"])) == [("a", "erp", 2), ("b", "web", 3)]
