@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from ..errors import ConfigError, need, need_columns
 from ..functions.keys import row_hash
 from ..operators.columns import Split
 from ..operators.merge import upsert
-from ..operators.windows import dedupe
+from ..operators.windows import dedupe, row_fallback
 from ..session import materialise, scratch_path
 
 
@@ -281,6 +283,10 @@ def evolve_write(df: DataFrame, path: str, policy: str = "strict", mode: str = "
     write_files(padded, path, mode=mode)
 
 
+#: Rows, and bytes as stored, up to which a file is sorted by the task that writes it.
+SORT_ROWS, SORT_BYTES = 2_000_000, 64 << 20
+
+
 def compact(
     spark: SparkSession, path: str, *, target_files: int, cluster_by: Sequence[str] = (),
     partition: Mapping[str, object] | None = None, partition_by: Sequence[str] = (),
@@ -290,17 +296,29 @@ def compact(
     A table in partitions keeps them: ``partition_by`` names all its partition columns, and
     ``partition`` limits the work to some of them, leaving the others as they are. The rows
     are copied to the shared folder first, from which a failed replacement can be repeated.
+
+    Files of more than ``SORT_ROWS`` rows or ``SORT_BYTES`` are not sorted by the tasks that write them: the copy is
+    made of sorted slices in several times as many tasks, and each file is put together from its slices in their order.
+    Files of a table in partitions that ``partition`` does not name in full are always sorted where they are written.
     """
     need(not partition or bool(partition_by), "MISSING_PARTITIONS", "a part of a table needs its partition columns")
     rows = spark.read.parquet(path)
     need_columns(rows, [*partition_by, *(partition or {})])
     outside = [c for c in partition or {} if c not in partition_by]
     need(not outside, "NOT_A_PARTITION", f"{outside}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     for c, v in (partition or {}).items():
-        rows = rows.filter(F.col(c) == F.lit(v))
+        rows, files = rows.filter(F.col(c) == F.lit(v)), files.filter(F.col(c) == F.lit(v))
+    stored = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    slices = math.ceil(max(rows.count() / SORT_ROWS, stored / SORT_BYTES) / target_files)
     inner = [*partition_by, *cluster_by]
-    staged = materialise(rows, "compact")
-    laid_out = staged.repartitionByRange(target_files, *inner).sortWithinPartitions(*inner) if inner else staged.repartition(target_files)
+    if slices > 1 and cluster_by and set(partition or {}) == set(partition_by):
+        laid_out = _from_slices(rows.drop(*partition_by), cluster_by, target_files, slices)
+        # Constants, by which the writer need not sort.
+        laid_out = laid_out.select("*", *[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in (partition or {}).items()])
+    else:
+        staged = materialise(rows, "compact")
+        laid_out = staged.repartitionByRange(target_files, *inner).sortWithinPartitions(*inner) if inner else staged.repartition(target_files)
     if partition_by:
         overwrite_partitions(laid_out, path, partition_by)
     else:
@@ -308,6 +326,23 @@ def compact(
     return path
 
 
+def _from_slices(rows: DataFrame, cluster_by: Sequence[str], target_files: int, slices: int) -> DataFrame:
+    """The rows in order, one partition for each file; they are read from sorted slices in the shared folder."""
+    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, "compact")
+    # The hash cuts a frequent value, too, into several slices.
+    ranges = rows.repartitionByRange(target_files * slices, *cluster_by, row_fallback(rows))
+    ranges.sortWithinPartitions(*cluster_by).write.parquet(folder)
+    # Written files are numbered by their range; ranges without rows have none.
+    names = {name: int(name.split("-")[1]) for name in (f.rsplit("/", 1)[1] for f in spark.read.parquet(folder).inputFiles())}
+    each = math.ceil((max(names.values()) + 1) / target_files)
+    groups: dict[int, list[DataFrame]] = {}
+    for name in sorted(names, key=lambda n: (names[n], n)):
+        groups.setdefault(names[name] // each, []).append(spark.read.schema(rows.schema).parquet(f"{folder}/{name}"))
+    # A union of single partitions alone would be one partition; a scan of no file beside them keeps them apart.
+    nothing = spark.read.schema(rows.schema).parquet(folder).filter(F.col("_metadata.file_name") == "")
+    return reduce(DataFrame.union, [*[reduce(DataFrame.union, group).coalesce(1) for group in groups.values()], nothing])
+
+
 def table_ddl(
     name: str, schema: T.StructType, *, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (), buckets: int = 32, location: str | None = None, fmt: str = "parquet"
 ) -> str:

@@ -203,6 +203,38 @@ def test_compact_keeps_partitions(spark, tmp_path, rows, values):
         tables.compact(spark, path, target_files=1, partition={"ds": date(2024, 1, 1)})
 
 
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_compact_puts_large_files_together_from_sorted_slices(spark, tmp_path, values, monkeypatch, partitioned):
+    # Half of the rows have one value of the cluster column, some have none.
+    made = spark.range(6000).select("id", F.expr("CASE WHEN id % 2 = 0 THEN 7 WHEN id % 9 > 0 THEN id * 37 % 1000 END").alias("k"))
+    path, folder = str(tmp_path / "t"), tmp_path / "t"
+    if partitioned:
+        made.withColumn("ds", F.expr("date_add(DATE '2024-01-01', cast(id % 3 as int))")).repartition(7).write.partitionBy("ds").parquet(path)
+        folder = folder / "ds=2024-01-02"
+    else:
+        made.repartition(7).write.parquet(path)
+    rows = values(spark.read.parquet(path))
+    folders = []
+    real = tables.scratch_path
+    monkeypatch.setattr(tables, "scratch_path", lambda s, label: folders.append(real(s, label)) or folders[-1])
+    monkeypatch.setattr(tables, "SORT_ROWS", 100)
+    part = {"partition": {"ds": date(2024, 1, 2)}, "partition_by": ["ds"]} if partitioned else {}
+    others = {p.name for p in tmp_path.glob("t/ds=*/*.parquet") if p.parent != folder}
+    tables.compact(spark, path, target_files=3, cluster_by=["k"], **part)
+    assert values(spark.read.parquet(path)) == rows
+    assert {p.name for p in tmp_path.glob("t/ds=*/*.parquet") if p.parent != folder} == others
+    # No slice holds much more than its share, even of the frequent value.
+    slices = spark.read.parquet(folders[0]).groupBy(F.col("_metadata.file_name")).count()
+    assert slices.count() >= 15 and slices.agg(F.max("count")).first()[0] <= 400
+    # Each file is in order, and files follow each other.
+    files = sorted(folder.glob("*.parquet"))
+    assert len(files) == 3
+    inside = [[r["k"] for r in spark.read.parquet(str(f)).select("k").coalesce(1).collect()] for f in files]
+    key = lambda v: (v is not None, v or 0)
+    assert [v for f in inside for v in f] == sorted((v for f in inside for v in f), key=key)
+    assert min(map(len, inside)) > max(map(len, inside)) / 2
+
+
 def parts_by_batch(path):
     return {(p.parent.name, p.name) for p in path.glob("batch=*/part=*")}
 
