@@ -2,19 +2,26 @@
 
 A byte goes when it lies in a string of ``length`` bytes that also starts in a document with a
 smaller id. This stands in for prefix doubling: no pairs of ranks are sorted at growing offsets.
-Positions are compared at three widths instead: 16 bytes, then a context of up to 84 bytes around
-them, then single 50-byte strings; a position that is alone at a width is carried no further.
+Positions are compared at four widths instead: 16 bytes, then a context of up to 84 bytes around
+them, then the 33 bytes that end and the 34 that begin with the 16, then single 50-byte strings; a
+position that is alone at a width is carried no further.
 
 Not every suffix is sorted. Of all 16-byte strings inside any 50 bytes the one with the smallest
 hash is an anchor, so equal 50-byte strings have an anchor at the same place, and one position in
 about eighteen suffices:
 
-1. Anchors of all documents are ranked by their 16 bytes. Inside a task, anchors with equal contexts
-   are settled at once: later documents lose the context, the first one speaks for it.
-2. Sorted by (rank, context, document): an anchor whose context stands in an earlier document loses
-   all of it; anchors alone at their rank are done; first holders of different contexts go on.
+1. Anchors of all documents are dealt to buckets by their 16 bytes. Inside a task, anchors with equal
+   contexts are settled at once: later documents lose the context, the first one speaks for it.
+2. Sorted by (key, context, document): an anchor whose context stands in an earlier document loses
+   all of it. A 50-byte string around an anchor holds its left or its right half, so of the first
+   holders of different contexts only those go on that share a half with another document. Chance
+   repeats of 16 bytes, whose number grows faster than the input, end here; the key has room for
+   both halves, so they cost no byte of the shuffle.
 3. Contexts that share a rank are compared string by string; the earliest document keeps each.
-   Ranks with very many contexts are first combined per string on the map side.
+   Buckets with very many contexts are first combined per string on the map side.
+
+Disk: the anchors' shuffle is deleted once the marks are written, and the texts are shuffled once for
+both joins that read them.
 
 Ranks are named by 64-bit hashes instead of counted, contexts by two of them. Defined cases: a null
 text is empty; ids are integers, rows that repeat an id are separate texts that never remove each
@@ -28,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -39,9 +47,16 @@ from .bytesio import BASE, BASE_INVERSE, groups_of_rows, mix, powers, text_bytes
 LENGTH = 50
 RANK = 16
 REACH = LENGTH - RANK
+HALF = REACH // 2
 MANY = 1 << 16
-CHUNK_BYTES = 1 << 20
+HOLD = 1 << 20  # first holders of one bucket that are compared by halves; a larger bucket goes on whole
+#: A key: the bucket of the rank, then what stands for the left and the right half; 0 is a half that the text cuts off.
+SIDE_BITS = 20
+SIDE = np.uint64((1 << SIDE_BITS) - 1)
+BUCKET_SHIFT = 2 * SIDE_BITS
+CHUNK_BYTES = 1 << 18
 BATCH_BYTES = 16 << 20
+PIECE_BYTES = 2 << 20
 COPY = 40  # bits of a position; texts that repeat an id are told apart above them
 LAST = (1 << 63) - 1
 
@@ -57,10 +72,10 @@ def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, bounds: np.ndarray, first: int = 0, stop: int | None = None):
-    """Anchor positions with their rank and context hashes; windows start in [first, stop) only.
+    """Anchor positions with their key and context hashes; windows start in [first, stop) only.
 
     ``bounds`` are the offsets of the texts in ``raw``. A context is what of [p - 34, p + 50) lies
-    inside the text.
+    inside the text, the halves are [p - 17, p + 16) and [p, p + 34).
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     n = len(raw)
@@ -88,25 +103,36 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, first: int = 0, stop: int | Non
     lo, hi = np.maximum(at - REACH, bounds[row]), np.minimum(at + LENGTH, bounds[row + 1])
     shape = ((at - lo) * 128 + (hi - at)).astype(np.uint64)
     context = mix((sums[hi] - sums[lo]) * inverse[lo] + shape * np.uint64(0xD6E8FEB86659FD93))
-    return at, rank[at], context
+
+    def half(start, end, inside):
+        value = mix((sums[np.where(inside, end, 0)] - sums[np.where(inside, start, 0)]) * inverse[np.where(inside, start, 0)])
+        return np.where(inside, np.maximum(value >> np.uint64(64 - SIDE_BITS), np.uint64(1)), np.uint64(0))
+
+    left, right = half(at - HALF, at + RANK, at - HALF >= lo), half(at, at + LENGTH - HALF + 1, at + LENGTH - HALF + 1 <= hi)
+    return at, _bucket(rank[at]) << np.uint64(BUCKET_SHIFT) | left << np.uint64(SIDE_BITS) | right, context
+
+
+def _bucket(rank: np.ndarray) -> np.ndarray:
+    """The low bits of a rank, without the one that is always set; an anchor's high bits are low as it is a least one."""
+    return rank << np.uint64(BUCKET_SHIFT - 1) >> np.uint64(BUCKET_SHIFT)
 
 
 def _text_anchors(raw: np.ndarray, bounds: np.ndarray):
-    """Row, position in the row, rank and context of all anchors of some texts, in order."""
+    """Row, position in the row, key and context of all anchors of some texts, in order."""
     found = []
     for first, last in groups_of_rows(bounds, CHUNK_BYTES):
         start, stop = int(bounds[first]), int(bounds[last])
         if last - first > 1 or stop - start <= 2 * CHUNK_BYTES:
             inner = bounds[first : last + 1] - start
-            at, rank, context = anchors(raw[start:stop], inner)
+            at, key, context = anchors(raw[start:stop], inner)
             row = np.searchsorted(inner, at, side="right") - 1
-            found.append((row + first, at - inner[row], rank, context))
+            found.append((row + first, at - inner[row], key, context))
             continue
         parts = []
         for a in range(start, stop, CHUNK_BYTES):  # a very long text in pieces, with what their contexts need
             lo, hi = max(start, a - 2 * LENGTH), min(stop, a + CHUNK_BYTES + 4 * LENGTH)
-            at, rank, context = anchors(raw[lo:hi], np.array([0, hi - lo]), a - lo, a - lo + CHUNK_BYTES)
-            parts.append((at + lo - start, rank, context))
+            at, key, context = anchors(raw[lo:hi], np.array([0, hi - lo]), a - lo, a - lo + CHUNK_BYTES)
+            parts.append((at + lo - start, key, context))
         at, keep = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         found.append((np.full(len(at), first), at, *(np.concatenate([p[k] for p in parts])[keep] for k in (1, 2))))
     return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
@@ -127,7 +153,7 @@ def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
     return owner[heads], start[heads], reach[np.concatenate([heads[1:], [len(owner)]]) - 1] - shift[heads] * width
 
 
-#: Rows of the first sort: a rank, a context, a document, and a position. A position below zero marks
+#: Rows of the first sort: a key, a context, a document, and a position. A position below zero marks
 #: a span that is settled already: it starts at -1 - position and ends at what the context column holds.
 ANCHOR = "k long, c long, doc long, pos long"
 
@@ -137,17 +163,17 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raw, bounds = text_bytes(batch.column("text"))
         docs, bases = batch.column("doc").to_numpy(), batch.column("base").to_numpy()
         for first, last in groups_of_rows(bounds, BATCH_BYTES):
-            row, pos, rank, context = _text_anchors(raw, bounds[first : last + 1])
+            row, pos, key, context = _text_anchors(raw, bounds[first : last + 1])
             if not len(row):
                 continue
             row = row + first
             sizes = np.diff(bounds)
             by_doc = np.argsort(docs[row], kind="stable")
-            key = (mix(rank) ^ (context * np.uint64(0x9E3779B97F4A7C15)))[by_doc]
-            order = by_doc[np.argsort(key, kind="stable")]
-            row, pos, rank, context = row[order], pos[order], rank[order], context[order]
+            name = (mix(key) ^ (context * np.uint64(0x9E3779B97F4A7C15)))[by_doc]
+            order = by_doc[np.argsort(name, kind="stable")]
+            row, pos, key, context = row[order], pos[order], key[order], context[order]
             new = np.ones(len(row), bool)
-            new[1:] = (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])
+            new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
             later = docs[row] != docs[row[head]]
             texts = bases[row]
@@ -157,7 +183,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = a + bases[own], b + bases[own]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([rank[new], mix(docs[own].astype(np.uint64))]).view(np.int64)),
+                    pa.array(np.concatenate([key[new], mix(docs[own].astype(np.uint64))]).view(np.int64)),
                     pa.array(np.concatenate([context[new].view(np.int64), b])),
                     pa.array(np.concatenate([docs[row[new]], docs[own]])),
                     pa.array(np.concatenate([pos[new] + bases[row[new]], -1 - a])),
@@ -167,17 +193,44 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 #: What the first sort settles: ``kind`` 0 asks for a comparison of contexts around ``a``; 1 removes the
-#: context [a, b) of an anchor; 2 removes a span that a task had settled before; 3 names in ``a`` a rank
-#: with more than MANY contexts to compare.
+#: context [a, b) of an anchor; 2 removes a span that a task had settled before; 3 asks as 0 does, in a
+#: bucket with more than MANY contexts to compare.
 MARK = "doc long, a long, b long, kind int"
 
 
-def _settle(many: int):
-    """Rows sorted by (rank, context, document) in, marks out; keeps one open rank between batches."""
+def _share_a_half(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a row has its left or its right half in common with a row of its bucket from another document."""
+    key, n = key.view(np.uint64), np.uint64(SIDE_BITS)
+    out = np.zeros(len(key), bool)
+    for name in (key >> n, key >> n + n << n | key & SIDE):
+        has = np.flatnonzero(name & SIDE)
+        if not len(has):
+            continue
+        order = has[np.argsort(name[has], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+        mixed = np.minimum.reduceat(doc[order], cuts) != np.maximum.reduceat(doc[order], cuts)
+        out[order] |= np.repeat(mixed, np.diff(np.concatenate([cuts, [len(order)]])))
+    return out
+
+
+def _settle(many: int, hold: int):
+    """Rows sorted by (key, context, document) in, marks out; keeps the first holders of one open bucket between batches."""
+
+    def ask(bucket, key, doc, pos, hot):
+        """Marks of the holders that go on: those that share a half, and all of the bucket ``hot``."""
+        on = (bucket == hot) | _share_a_half(key, doc)
+        bucket = bucket[on]
+        _, group, sizes = np.unique(bucket, return_inverse=True, return_counts=True)
+        crowded = (bucket == hot) | (sizes[group] > many)
+        return doc[on], pos[on], np.zeros(len(bucket), np.int64), np.where(crowded, 3, 0).astype(np.int32)
+
+    def marks(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[x] for p in parts])) for x in range(4)], ["doc", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # rank, context, its first document, whether the rank has two first documents, positions asked for
-        waiting = np.zeros((0, 2), np.int64)  # first holders of the open rank, all of one document
+        last = None  # key, context and its first document
+        waiting, hot = -1, -1  # the open bucket, and the last one with more than ``hold`` first holders
+        held: list[tuple[np.ndarray, ...]] = []  # first holders of the open bucket: bucket, key, document, position
 
         for batch in batches:
             k, c, doc, pos = (batch.column(x).to_numpy() for x in ("k", "c", "doc", "pos"))
@@ -190,36 +243,25 @@ def _settle(many: int):
                 new[0] = last is None or last[0] != k[0] or last[1] != c[0]
                 head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
                 first = np.where(head >= 0, doc[head], last[2] if last else 0)
+                last = (k[-1], c[-1], first[-1])
                 lost = doc != first
                 out.append((doc[lost], pos[lost] - REACH, pos[lost] + LENGTH, np.ones(int(lost.sum()), np.int32)))
 
-                same = last is not None and last[0] == k[0]
-                ranks, holders, places = k[~lost], doc[~lost], pos[~lost]
-                if same and len(waiting):
-                    ranks = np.concatenate([np.full(len(waiting), k[0]), ranks])
-                    holders, places = np.concatenate([waiting[:, 0], holders]), np.concatenate([waiting[:, 1], places])
-                mixed_last, asked_last = False, 0
-                waiting = np.zeros((0, 2), np.int64)
-                if len(ranks):
-                    cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-                    mixed = np.minimum.reduceat(holders, cuts) != np.maximum.reduceat(holders, cuts)
-                    if same and ranks[0] == k[0]:
-                        mixed[0] |= last[3]
-                    sizes = np.diff(np.concatenate([cuts, [len(ranks)]]))
-                    ask, asked = np.repeat(mixed, sizes), sizes * mixed
-                    if same and ranks[0] == k[0]:
-                        asked[0] += last[4]
-                    big = ranks[cuts[asked > many]]
-                    out.append((np.zeros(len(big), np.int64), big, np.zeros(len(big), np.int64), np.full(len(big), 3, np.int32)))
-                    if ranks[-1] == k[-1]:
-                        mixed_last, asked_last = bool(mixed[-1]), int(asked[-1])
-                        if not mixed_last:
-                            waiting = np.stack([holders[cuts[-1] :], places[cuts[-1] :]], 1)
-                    out.append((holders[ask], places[ask], np.zeros(int(ask.sum()), np.int64), np.zeros(int(ask.sum()), np.int32)))
-                if same and k[-1] == last[0]:
-                    mixed_last, asked_last = mixed_last or last[3], max(asked_last, last[4])
-                last = (k[-1], c[-1], first[-1], mixed_last, asked_last)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[x] for o in out])) for x in range(4)], ["doc", "a", "b", "kind"])
+                bucket = (k.view(np.uint64) >> np.uint64(BUCKET_SHIFT)).view(np.int64)
+                held.append((bucket[~lost], k[~lost], doc[~lost], pos[~lost]))
+                if not waiting == bucket[0] == bucket[-1]:
+                    waiting = bucket[-1]
+                    rows = [np.concatenate([h[x] for h in held]) for x in range(4)]
+                    closed = rows[0] != waiting
+                    out.append(ask(*(r[closed] for r in rows), hot))
+                    held = [tuple(r[~closed] for r in rows)]
+                if sum(len(h[0]) for h in held) > hold:
+                    hot = waiting
+                    out.append(ask(*(np.concatenate([h[x] for h in held]) for x in range(4)), hot))
+                    held = []
+            yield marks(out)
+        if held:
+            yield marks([ask(*(np.concatenate([h[x] for h in held]) for x in range(4)), hot)])
 
     return run
 
@@ -309,9 +351,17 @@ def _compare_many(contexts: DataFrame) -> DataFrame:
     return lost.select("doc", "pos", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + LENGTH).alias("b"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices with a few megabytes of a column each, so what is made of one is small, in Python and in the JVM that reads it."""
+    for batch in batches:
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))])
+        for first, last in groups_of_rows(bounds, PIECE_BYTES):
+            yield batch.slice(first, last - first)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _pieces(batches, "text"):
         z = [pack.compress(t.as_buffer()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("base"), pa.array(z, pa.binary())], ["doc", "base", "z"])
 
@@ -319,7 +369,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the spans that go; what a first holder loses, its equal contexts in the same text lose too."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _pieces(batches, "z"):
         spans_out, kept_out, sizes_out = [], [], []
         for i in range(batch.num_rows):
             text = unpack.decompress(batch.column("z")[i].as_py())
@@ -364,21 +414,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.withColumn("base", base)
     found = texts.filter(F.octet_length("text") >= LENGTH).select("doc", "base", "text").mapInArrow(_find_anchors, ANCHOR)
     order = ["k", "c", "doc", "pos"]
-    marks = materialise(found.repartition("k").sortWithinPartitions(*order).mapInArrow(_settle(MANY), MARK), "marks")
+    dealt = found.repartition(F.shiftrightunsigned("k", BUCKET_SHIFT)).sortWithinPartitions(*order)
+    marks = materialise(dealt.mapInArrow(_settle(MANY, HOLD), MARK), "marks", release=True)
 
-    packed = texts.mapInArrow(_pack, "doc long, base long, z binary")
+    # The filter is what an inner join adds by itself: with it both joins read one shuffle of the texts.
+    packed = texts.mapInArrow(_pack, "doc long, base long, z binary").filter("doc is not null and base is not null")
     owner = F.shiftleft(F.shiftright("a", COPY), COPY).alias("base")
-    asked = marks.filter("kind = 0").groupBy("doc", owner).agg(F.collect_list("a").alias("at"))
-    contexts = packed.join(asked, ["doc", "base"]).mapInArrow(_cut_contexts, CONTEXT)
-    many = marks.filter("kind = 3").select(F.col("a").alias("k")).distinct()
-    crowded = many.limit(1).count() > 0
-    few = contexts
-    if crowded:
-        contexts = materialise(contexts, "contexts")
-        few = contexts.join(many, "k", "left_anti")
-    parts = few.repartition("k").sortWithinPartitions("k").mapInArrow(_compare_contexts, SPAN)
-    if crowded:
-        parts = parts.unionByName(_compare_many(contexts.join(many, "k", "left_semi")))
+
+    def contexts(kind: int) -> DataFrame:
+        asked = marks.filter(f"kind = {kind}").groupBy("doc", owner).agg(F.collect_list("a").alias("at"))
+        return packed.join(asked, ["doc", "base"]).mapInArrow(_cut_contexts, CONTEXT)
+
+    parts = contexts(0).repartition("k").sortWithinPartitions("k").mapInArrow(_compare_contexts, SPAN)
+    if marks.filter("kind = 3").limit(1).count():
+        parts = parts.unionByName(_compare_many(materialise(contexts(3), "contexts", release=True)))
     parts = parts.select("doc", F.col("pos"), "a", "b", F.shiftleft(F.shiftright("pos", COPY), COPY).alias("base"))
     return _removed(marks, parts, packed, id_col)
 

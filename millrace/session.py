@@ -57,8 +57,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back, for a frame used by several branches."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark deletes the shuffle files of an execution as it ends, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write once to the shared folder and read back, for a frame used by several branches.
+
+    ``release`` deletes the shuffle files of the write when it ends; the frame that was written holds none afterwards.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true" if release else before)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
